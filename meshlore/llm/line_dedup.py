@@ -58,8 +58,9 @@ def windows(texts: list[list[str]], min_words: int) -> tuple[np.ndarray, ...]:
         least[go] = np.minimum(least[go], h[first[go] + d])
         d += 1
     with np.errstate(over="ignore"):
-        power = np.concatenate([[1], np.cumprod(np.full(len(h), P, np.uint64))]).astype(np.uint64)
-        back = np.concatenate([[1], np.cumprod(np.full(len(h), pow(P, -1, 1 << 64), np.uint64))]).astype(np.uint64)
+        one = np.ones(1, np.uint64)  # of the arrays' own type, lest they turn into floats
+        power = np.concatenate([one, np.cumprod(np.full(len(h), P, np.uint64), dtype=np.uint64)])
+        back = np.concatenate([one, np.cumprod(np.full(len(h), pow(P, -1, 1 << 64), np.uint64), dtype=np.uint64)])
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
         whole = (run[last + 1] - run[first]) * back[first]
     whole ^= whole >> np.uint64(31)
@@ -80,6 +81,10 @@ def _fingerprint_task(min_words: int):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]))
                 stop = np.append(new[1:], len(doc))
+                group = np.repeat(np.arange(len(new)), stop - new)  # windows that repeat within one list: all but the first are later
+                order = np.lexsort((first, last - first, whole, group))
+                again = order[1:][(group[order][1:] == group[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & ((last - first)[order][1:] == (last - first)[order][:-1])]
+                later += [(int(ids[doc[i]]), int(keys[doc[i]]), int(first[i]), int(last[i]) + 1) for i in again.tolist()]
                 packed = np.stack([whole & np.uint64(0xFFFFFFFF), (first - first[np.repeat(new, stop - new)]).astype(np.uint64) << np.uint64(16) | (last - first).astype(np.uint64)], 1).astype("<u4").tobytes()
                 for a, b in zip(new.tolist(), stop.tolist(), strict=True):
                     mine, d = packed[8 * a : 8 * b], doc[a]
@@ -93,6 +98,13 @@ def _fingerprint_task(min_words: int):
             for (k, mine), (did, rk, at, to) in known.items():
                 for c, v in zip(rows, (k, did, rk, at, to, mine), strict=True):
                     rows[c].append(v)
+            merged: list[list[int]] = []
+            for run in sorted(later):
+                if merged and merged[-1][:2] == list(run[:2]) and run[2] <= merged[-1][3]:
+                    merged[-1][3] = max(merged[-1][3], run[3])
+                else:
+                    merged.append(list(run))
+            later = merged
             n, m = len(rows["k"]), len(later)
             cols = list(zip(*later, strict=True)) or [()] * 4
             k = np.array(rows["k"], np.uint64).view(np.int64)
