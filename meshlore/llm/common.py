@@ -52,7 +52,7 @@ class Scratch:
 class WordIds(dict):
     """word -> 32-bit hash, the same in every process; emptied when it gets large, so memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

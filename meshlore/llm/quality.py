@@ -30,7 +30,7 @@ def slots(ids: WordIds, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 3, l1: float = 0.05, seed: int = 7) -> np.ndarray:
     model, ids, rng = Ftrl(1 << BITS, alpha=0.5, l1=l1, l2=0.01), WordIds(), np.random.default_rng(seed)
-    rows = [slots(ids, t) for t in texts]
+    rows = [(at.astype(np.int32), x.astype(np.float32)) for at, x in (slots(ids, t) for t in texts)]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x = np.append(rows[i][0], model.size), np.append(rows[i][1], 1.0)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read, ship
 from .components import connected_components
 
-BITS, BUCKET, BLOCK, CHUNK, MANY_HOT = 64, 2048, 1024, 32768, 20_000
+BITS, BUCKET, BLOCK, CHUNK, MANY_HOT = 64, 4096, 2048, 8192, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -30,7 +30,7 @@ def byte_letters() -> dict[str, int]:
 class Encoder(dict):
     """part (without its leading blank) -> its ids as little-endian `kind`; emptied when it gets large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

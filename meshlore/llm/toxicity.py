@@ -61,7 +61,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 3, l1: float = 1.0, see
         mine = distinct_slots(ids, words)
         other = None if other is None else distinct_slots(ids, other)
         # one vector of each pair's difference: +1 only here, -1 only in the counterfactual
-        rows.append((mine, None if other is None else (np.setdiff1d(mine, other), np.setdiff1d(other, mine))))
+        rows.append((mine.astype(np.int32), None if other is None else (np.setdiff1d(mine, other), np.setdiff1d(other, mine))))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             mine, pair = rows[i]
