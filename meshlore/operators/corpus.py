@@ -56,3 +56,24 @@ def set_scores(found: DataFrame, gold: DataFrame, key: str, item: str) -> DataFr
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def words(x: Column) -> Column:
+    return F.split(F.lower(x), " +")
+
+
+def bleu1(found: Column, gold: Column) -> Column:
+    """Share of found words that gold has, each at most as often as there, times exp(1 - gold / found) where found is the shorter."""
+    x, y = words(found), words(gold)
+    times = lambda a, w: F.size(F.filter(a, lambda v: v == w))
+    hits = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(times(x, w), times(y, w)))
+    return hits / F.size(x) * F.when(F.size(x) < F.size(y), F.exp(1 - F.size(y) / F.size(x))).otherwise(1.0)
+
+
+def rouge_l(found: Column, gold: Column) -> Column:
+    """F1 of the longest common subsequence of words; its table is folded row by row."""
+    x, y = words(found), words(gold)
+    cell = lambda row, done, w, j: F.when(F.get(y, j) == w, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), F.get(done, j)))
+    line = lambda row, w: F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), F.array(F.lit(0)), lambda done, j: F.array_append(done, cell(row, done, w, j)))
+    common = F.element_at(F.aggregate(x, F.array_repeat(F.lit(0), F.size(y) + 1), line), -1)
+    return 2.0 * common / (F.size(x) + F.size(y))

@@ -155,3 +155,12 @@ def beam(t: DataFrame, seeds: DataFrame, scores: DataFrame, depth: int, paths: i
         live = ext.select("seed", "nodes", "t_ids", "acc")
     every = reduce(DataFrame.unionByName, done + [live])
     return every.select("seed", "nodes", "t_ids", (F.col("acc") / F.pow(F.size("t_ids").cast("double"), F.lit(alpha))).alias("cost"))
+
+
+def expand_by_names(t: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seeds (seed): (seed, direction, t_id, other), object triplets with the seed as start (forward) or end (backward), in any case and with '_' for blanks or not."""
+    forms = F.array("seed", F.translate("seed", "_", " "), F.translate("seed", " ", "_"))
+    forms = seeds.select("seed", F.explode(F.transform(forms, F.lower)).alias("form")).distinct()
+    simple = t.filter("s_type = 'object' and e_type = 'object'")
+    side = lambda mine, other, direction: simple.join(forms, F.lower(mine) == F.col("form")).select("seed", F.lit(direction).alias("direction"), "t_id", F.col(other).alias("other"))
+    return side("s_name", "e_name", "forward").union(side("e_name", "s_name", "backward")).distinct()

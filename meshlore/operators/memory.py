@@ -108,3 +108,11 @@ def clue_queries(matches: DataFrame, most: int) -> DataFrame:
     right = F.transform("e", lambda x, i: F.aggregate(F.slice("e", i + 2, F.size("e")), F.lit(1).cast("long"), lambda s, y: s * F.size(y.names)))
     pick = F.transform(F.arrays_zip("e", "w"), lambda z: F.element_at(z.e.names, (F.pmod(F.floor(F.col("n") / z.w), F.size(z.e.names)) + 1).cast("int")))
     return rows.withColumn("w", right).select("query_id", F.col("n").alias("combination"), pick.alias("names"))
+
+
+def tree_health(edges: DataFrame) -> DataFrame:
+    """edges (parent, child): one row of counts; a sound tree has one root, no node with two parents and no more inner nodes than leaves."""
+    inner = edges.select(F.col("parent").alias("node")).distinct().withColumn("p", F.lit(1))
+    below = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("c"))
+    n = inner.join(below, "node", "full_outer").agg(F.count_if(F.col("c").isNull()).alias("n_roots"), F.count("p").alias("n_inner"), F.count_if(F.col("p").isNull()).alias("n_leaves"), F.count_if(F.col("c") > 1).alias("n_two_parents"))
+    return n.withColumn("sound", (F.col("n_roots") == 1) & (F.col("n_two_parents") == 0) & (F.col("n_inner") <= F.col("n_leaves")))

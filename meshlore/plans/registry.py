@@ -178,6 +178,12 @@ def t4_astar(spark, sf_dir):
     return astar.astar(edges, pairs, near.select("seed", "b")).select("start", "goal", F.concat_ws(",", "path").alias("path"))
 
 
+@query(graph_sql("SELECT DISTINCT seed, 'forward' direction, t_id, e_name other FROM t JOIN f ON lower(s_name) = n WHERE s_type = 'object' AND e_type = 'object' UNION SELECT seed, 'backward', t_id, s_name FROM t JOIN f ON lower(e_name) = n WHERE s_type = 'object' AND e_type = 'object'", False, ", f AS (SELECT replace(n_name, '_', ' ') seed, lower(unnest([replace(n_name, '_', ' '), replace(n_name, ' ', '_')])) n FROM nation)\n"))
+def t9_name_expansion(spark, sf_dir):
+    seeds = read(spark, sf_dir, "nation").select(F.translate("n_name", "_", " ").alias("seed"))
+    return graph.expand_by_names(triplets(spark, sf_dir, episodes=False), seeds)
+
+
 # dense retrieval
 _DOT = "list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _V5 = f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id query_id, v.vec_id id, round({_DOT}, 6) score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10"
@@ -427,6 +433,12 @@ def tr6_children(spark, sf_dir):
     return tree(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_TREE}, n AS (SELECT count(DISTINCT parent) n_inner, count(DISTINCT parent) FILTER (parent NOT IN (SELECT child FROM tree)) n_roots, count(DISTINCT child) FILTER (child NOT IN (SELECT parent FROM tree)) n_leaves,
+ (SELECT count(*) FROM (SELECT child FROM tree GROUP BY child HAVING count(*) > 1)) n_two_parents FROM tree) SELECT n_roots, n_inner, n_leaves, n_two_parents, n_roots = 1 AND n_two_parents = 0 AND n_inner <= n_leaves sound FROM n""")
+def tr7_consistency(spark, sf_dir):
+    return memory.tree_health(tree(spark, sf_dir))
+
+
 @query("SELECT DISTINCT s_suppkey % 5 AS depth, round(CASE WHEN 0.3 * exp(0.4 * (s_suppkey % 5) / 2) > 1 THEN 0.98 ELSE 0.3 * exp(0.4 * (s_suppkey % 5) / 2) END, 9) threshold FROM supplier")
 def tr8_threshold(spark, sf_dir):
     d = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("depth")).distinct()
@@ -492,6 +504,26 @@ def e2_token_f1(spark, sf_dir):
     return a.join(b, "item_id").select("item_id", F.round(corpus.token_f1(F.col("text"), F.col("other")), 6).alias("f1"), corpus.exact_match(F.col("text"), F.col("other")).alias("em"))
 
 
+_W = "string_split(regexp_replace(lower({x}.text), ' +', ' ', 'g'), ' ')"
+_CLEAN = "regexp_replace(lower({x}.text), '[^a-z0-9 ]', '', 'g')"
+
+
+@query(f"""SELECT item_id, levenshtein(ca, cb)::INT edits, round(h / len(x)::DOUBLE * CASE WHEN len(x) < len(y) THEN exp(1 - len(y) / len(x)::DOUBLE) ELSE 1 END, 6) bleu1 FROM (SELECT *, list_sum(list_transform(list_distinct(x), lambda g: least(len(list_filter(x, lambda w: w = g)), len(list_filter(y, lambda w: w = g))))) h
+ FROM (SELECT a.item_id, {_CLEAN.format(x="a")} ca, {_CLEAN.format(x="b")} cb, {_W.format(x="a")} x, {_W.format(x="b")} y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1))""")
+def e4_overlap(spark, sf_dir):
+    a = read(spark, sf_dir, "benchmark")
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    clean = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9 ]", "")
+    return a.join(b, "item_id").select("item_id", F.levenshtein(clean("text"), clean("other")).alias("edits"), F.round(corpus.bleu1(F.col("text"), F.col("other")), 6).alias("bleu1"))
+
+
+@query()
+def e4_rouge_l(spark, sf_dir):
+    a = read(spark, sf_dir, "benchmark")
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return a.join(b, "item_id").select("item_id", F.round(corpus.rouge_l(F.col("text"), F.col("other")), 6).alias("rouge_l"))
+
+
 @query("""WITH f AS (SELECT DISTINCT o_custkey AS key, o_orderpriority item FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT DISTINCT o_custkey AS key, o_orderpriority item FROM orders WHERE o_orderkey % 3 = 0),
  j AS (SELECT coalesce(f.key, g.key) k, f.item fi, g.item gi FROM f FULL JOIN g ON f.key = g.key AND f.item = g.item) SELECT k AS key, CASE WHEN count(fi) = 0 THEN 0.0::DOUBLE ELSE round(count(fi) FILTER (gi IS NOT NULL) / count(fi)::DOUBLE, 5) END "precision", CASE WHEN count(gi) = 0 THEN 0.0::DOUBLE ELSE round(count(fi) FILTER (gi IS NOT NULL) / count(gi)::DOUBLE, 5) END recall FROM j GROUP BY k""")
 def e6_set_scores(spark, sf_dir):

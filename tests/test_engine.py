@@ -1,5 +1,6 @@
 """Goldens of ids and renderings, and graph and fusion operators against plain models."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from meshlore.functions import ids, parsers
-from meshlore.operators import astar, graph, memory, retrieval
+from meshlore.operators import astar, corpus, graph, memory, retrieval
 from meshlore.sources.parquet import Store, Workspace
 
 
@@ -63,6 +64,65 @@ def test_hops_and_astar(spark):
         assert len(path) == d + 1 and path[0] == goal and path[-1] == start
 
 
+def test_bfs(spark):
+    t = made_graph(spark)
+    near: dict = {}
+    for r in graph.undirected(t).select("a", "b", "t_id").collect():
+        near.setdefault(r.a, {}).setdefault(r.b, set()).add(r.t_id)
+    for width in (2, 100):
+        got, want = graph.bfs(t, spark.createDataFrame([(x,) for x in near], "seed string"), 3, width, Workspace(spark, "t").save), set()
+        for seed in near:
+            seen, front = {seed}, {seed}
+            for _ in range(3):
+                step = {(a, b) for a in front for b in sorted(x for x in near[a] if x not in seen)[:width]}
+                want |= {(seed, i) for a, b in step for i in near[a][b]}
+                front = {b for _, b in step}
+                seen |= front
+        assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("paths", [1, 100_000])
+def test_beam(spark, paths):
+    """All paths of up to 3 edges that can't go on, or the cheapest step each time."""
+    t, rng = made_graph(spark, 12, 14), random.Random(2)
+    edges = graph.undirected(t).select("a", "b", "t_id", "r_id").collect()
+    seeds, cost = sorted({e.a for e in edges})[:3], {r: rng.uniform(0.1, 1) for r in sorted({e.r_id for e in edges})}
+    scores = spark.createDataFrame([(s, r, x) for s in seeds for r, x in cost.items()], "seed string, r_id string, s double")
+    got = graph.beam(t, spark.createDataFrame([(s,) for s in seeds], "seed string"), scores, 3, paths, 0.75, Workspace(spark, "t").save)
+    want = {}
+    for seed in seeds:
+        live = [((seed,), (), 0.0)]
+        for _ in range(3):
+            out = []
+            for nodes, ids_, acc in live:
+                more = [((*nodes, e.b), (*ids_, e.t_id), acc - math.log(cost[e.r_id])) for e in edges if e.a == nodes[-1] and e.b not in nodes]
+                more.sort(key=lambda x: (x[2], x[1]))
+                if not more and ids_:
+                    want[seed, ids_] = acc / len(ids_) ** 0.75
+                out += more[:paths]
+            live = out
+        want |= {(seed, i): acc / len(i) ** 0.75 for _, i, acc in live}
+    assert {(r.seed, tuple(r.t_ids)): r.cost for r in got.collect()} == pytest.approx(want)
+
+
+def test_overlap(spark):
+    pairs = [("a b c d", "a c d e f"), ("a", "b"), ("a a a", "a b"), ("X y", "x Y z"), ("b a", "a b")]
+
+    def common(x, y):
+        return 0 if not x or not y else 1 + common(x[1:], y[1:]) if x[0] == y[0] else max(common(x[1:], y), common(x, y[1:]))
+
+    for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", corpus.bleu1(F.col("x"), F.col("y")).alias("bleu"), corpus.rouge_l(F.col("x"), F.col("y")).alias("rouge")).collect():
+        x, y = r.x.lower().split(), r.y.lower().split()
+        assert r.rouge == pytest.approx(2 * common(x, y) / (len(x) + len(y)))
+        hits = sum(min(x.count(w), y.count(w)) for w in set(x))
+        assert r.bleu == pytest.approx(hits / len(x) * min(1, math.exp(1 - len(y) / len(x))))
+
+
+def test_tree_health(spark):
+    sound = lambda rows: memory.tree_health(spark.createDataFrame(rows, "parent string, child string")).first().sound
+    assert sound([("r", "a"), ("r", "b")]) and not sound([("r", "a"), ("s", "b")]) and not sound([("r", "a"), ("r", "b"), ("b", "a")])
+
+
 def test_fusion(spark):
     row = lambda *x: spark.createDataFrame([(0, i, r + 1) for r, i in enumerate(x)], "query_id int, id string, rank int")
     got = {r.id: r.score for r in retrieval.fused([row("x", "y", "z"), row("z", "x")], [0.7, 0.3], 10).collect()}
