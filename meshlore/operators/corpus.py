@@ -62,12 +62,27 @@ def words(x: Column) -> Column:
     return F.split(F.lower(x), " +")
 
 
+def _clipped(x: Column, y: Column) -> Column:
+    """Number of items of x that y has, each at most as often as there."""
+    times = lambda a, w: F.size(F.filter(a, lambda v: v == w))
+    return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(times(x, w), times(y, w)))
+
+
+def _brevity(x: Column, y: Column) -> Column:
+    return F.when(F.size(x) < F.size(y), F.exp(1 - F.size(y) / F.size(x))).otherwise(1.0)
+
+
 def bleu1(found: Column, gold: Column) -> Column:
     """Share of found words that gold has, each at most as often as there, times exp(1 - gold / found) where found is the shorter."""
     x, y = words(found), words(gold)
-    times = lambda a, w: F.size(F.filter(a, lambda v: v == w))
-    hits = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(times(x, w), times(y, w)))
-    return hits / F.size(x) * F.when(F.size(x) < F.size(y), F.exp(1 - F.size(y) / F.size(x))).otherwise(1.0)
+    return _clipped(x, y) / F.size(x) * _brevity(x, y)
+
+
+def bleu2(found: Column, gold: Column) -> Column:
+    """As bleu1, of the geometric mean of the shares of words and of pairs of neighbours; 0 without a common pair."""
+    x, y = words(found), words(gold)
+    pairs = lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda v, w: F.concat_ws(" ", v, w))
+    return F.sqrt(_clipped(x, y) / F.size(x) * _clipped(pairs(x), pairs(y)) / F.greatest(F.size(x) - 1, F.lit(1))) * _brevity(x, y)
 
 
 def rouge_l(found: Column, gold: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlore.functions import ids, parsers
-from meshlore.operators import astar, corpus, graph, memory, retrieval
+from meshlore.operators import astar, corpus, graph, memory, retrieval, tasks, theses
 from meshlore.plans.tables import graph_sql, read, saver, triplets
 
 QUERIES: dict = {}
@@ -561,3 +561,73 @@ def d3_noise_documents(spark, sf_dir):
 @query("SELECT doc_id, i::INT chunk, sha1(substring(text, i * 960 + 1, 1024)) hash FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 65, 0) // 960 + 1)) i FROM documents)")
 def d7_chunks(spark, sf_dir):
     return corpus.chunks(read(spark, sf_dir, "documents"), 1024, 64).select("doc_id", "chunk", "hash")
+
+
+_G = "list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
+_CLIP = "coalesce(list_sum(list_transform(list_distinct({x}), lambda g: least(len(list_filter({x}, lambda w: w = g)), len(list_filter({y}, lambda w: w = g))))), 0)"
+
+
+@query(f"""SELECT item_id, round(sqrt({_CLIP.format(x="x", y="y")} / len(x)::DOUBLE * {_CLIP.format(x="gx", y="gy")} / greatest(len(gx), 1)) * CASE WHEN len(x) < len(y) THEN exp(1 - len(y) / len(x)::DOUBLE) ELSE 1 END, 6) bleu2
+ FROM (SELECT *, {_G.format(x="x")} gx, {_G.format(x="y")} gy FROM (SELECT a.item_id, {_W.format(x="a")} x, {_W.format(x="b")} y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1))""")
+def e4_bleu2(spark, sf_dir):
+    a = read(spark, sf_dir, "benchmark")
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return a.join(b, "item_id").select("item_id", F.round(corpus.bleu2(F.col("text"), F.col("other")), 6).alias("bleu2"))
+
+
+# events as the lines of twenty logs
+@query("""WITH l AS (SELECT user_id % 20 log, *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 20 ORDER BY event_id) question FROM events),
+ c AS (SELECT log, question::BIGINT question, count(*) FILTER (event_type = 'view')::BIGINT s, coalesce(sum(event_id % 4) FILTER (event_type = 'purchase'), 0)::BIGINT c FROM l WHERE question > 0 GROUP BY ALL)
+ SELECT log, question, s entities_extractor, s clueanswers_summarizer, s answer_classify, s - 1 searchplan_enhance_classify, s - 1 plan_enhancing, c cluequeries_generator, c clueanswer_generator, 1::BIGINT plan_initialing, (s = 3)::BIGINT strict_answer_gen, (s <> 3)::BIGINT casual_answer_gen FROM c""")
+def e9_call_counts(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumns({"log": F.col("user_id") % 20, "line_no": F.col("event_id")})
+    kind = F.col("event_type")
+    return tasks.call_counts(e, kind == "signup", kind == "view", F.when(kind == "purchase", F.col("event_id") % 4), 3)
+
+
+@query("""SELECT item_id, 'yes' result, 'success' status, text IN (SELECT text FROM benchmark WHERE item_id % 2 = 0) cache_hit, sha1(sha1('Be brief.') || sha1('Text: ' || text || ' Answer?') || sha1('__<|None|>__') || sha1('t=0')) AS "key" FROM benchmark""")
+def u3_tasks(spark, sf_dir):
+    rows = read(spark, sf_dir, "benchmark")
+    prompts = spark.createDataFrame([("en", "Be brief.", "Text: {text} Answer?", None)], "lang string, system string, user string, assistant string")
+    run = lambda df, cache, label: tasks.solve(df, {"text": F.col("text")}, prompts, tasks.stub(["So: [Answer] yes"]), lambda raw: parsers.after_marker(raw, "answer"), saver(spark, label), "en", cache, "t=0")
+    made = run(rows.filter("item_id % 2 = 0"), None, "tasks_half")[1]
+    return run(rows, made, "tasks_all")[0].drop("text")
+
+
+# questions over the theses of a nation: a benchmark item asks for its nation and for words of its text
+def question_seeds(spark, sf_dir):
+    w = F.split("text", "\\s+")
+    named = [(0, F.concat(F.lit("NATION_"), F.col("item_id") % 25)), (1, F.get(w, 0)), (1, F.get(w, 1)), (2, F.get(w, 3))]
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("entity"), s.alias("seed")) for e, s in named])).alias("x")
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), each).select("query", "x.entity", "x.seed").filter("seed is not null").distinct()
+
+
+def question_theses(spark, sf_dir):
+    b, c = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "conversations")
+    rows = b.select((F.col("item_id") % 25).alias("k"), F.lit("hyper").alias("kind"), "text", F.lower(F.get(F.split("text", "\\s+"), 0)).alias("value"))
+    rows = rows.union(c.select(F.col("conv_id") % 25, F.lit("episodic"), "text", "role")).withColumn("t_id", F.md5(F.concat_ws("|", "kind", "value", "text")))
+    asked = b.select(F.col("item_id").alias("query"), (F.col("item_id") % 25).alias("k"))
+    return rows.join(asked, "k").select("query", F.lit(0).alias("entity"), F.concat(F.lit("NATION_"), F.col("k")).alias("seed"), "kind", "text", "t_id", F.array("value").alias("values"))
+
+
+_MENTIONS = r"""WITH q AS (SELECT item_id query, item_id % 25 k, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') w FROM benchmark),
+ s0 AS (SELECT query, 1 entity, w[1] seed FROM q UNION SELECT query, 1, w[2] FROM q UNION SELECT query, 2, w[4] FROM q),
+ s AS (SELECT *, lower(seed) low, CASE WHEN regexp_matches(lower(seed), '^[а-яё]') AND length(seed) >= 4 THEN left(lower(seed), CASE WHEN length(seed) > 4 THEN length(seed) - 2 ELSE 3 END) ELSE lower(seed) END stem FROM s0 WHERE seed IS NOT NULL),
+ th AS (SELECT item_id % 25 k, 'hyper' kind, text, lower(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[1]) AS value FROM benchmark UNION ALL SELECT conv_id % 25, 'episodic', text, role FROM conversations),
+ r AS (SELECT query, kind, text, value, md5(concat_ws('|', kind, value, text)) t_id FROM th JOIN q USING (k) QUALIFY row_number() OVER (PARTITION BY query, kind, trim(text) ORDER BY md5(concat_ws('|', kind, value, text))) = 1),
+ m AS (SELECT r.query, kind, t_id, entity, max(CASE WHEN contains(lower(text), low) THEN CASE WHEN regexp_matches(seed, '^.?[\p{Lu}\p{Nd}]') THEN 1.0 ELSE 0.5 END WHEN contains(lower(text), stem) THEN CASE WHEN regexp_matches(seed, '^[\p{Lu}\p{Nd}]') THEN 1.0 ELSE 0.5 END ELSE 0.0 END)::DOUBLE v, bool_or(value = low) f
+  FROM r JOIN s ON r.query = s.query GROUP BY ALL)
+ SELECT query, kind, t_id, round(sum(v), 6) score, bool_or(f) flag FROM m GROUP BY ALL""".replace("\\\\", "\\")
+
+
+@query(_MENTIONS)
+def t11_mention_scores(spark, sf_dir):
+    return theses.mention_scores(question_theses(spark, sf_dir), question_seeds(spark, sf_dir)).select("query", "kind", "t_id", "score", "flag")
+
+
+@query()
+def t12_choose_theses(spark, sf_dir):
+    seeds = question_seeds(spark, sf_dir)
+    save = saver(spark, "theses")
+    scored = save(theses.mention_scores(question_theses(spark, sf_dir), seeds), "scored")
+    return theses.choose(scored, seeds, save).select("query", "kind", "rank", "t_id", "score")

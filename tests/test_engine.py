@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from meshlore.functions import ids, parsers
-from meshlore.operators import astar, corpus, graph, memory, retrieval
+from meshlore.operators import astar, corpus, graph, memory, retrieval, tasks, theses
 from meshlore.sources.parquet import Store, Workspace
 
 
@@ -161,3 +161,91 @@ def test_store(spark, tmp_path):
 
 def test_contract():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plain_choice(rows, seeds, last):
+    """The choice of one question's texts, step by step: rows (entity, seed, kind, text, score, flag), seeds of each entity."""
+    rows = sorted(rows, key=lambda r: (r[0], -r[4], r[3]))
+    share = [1.0, 0.67, 0.5][min(len(seeds), 3) - 1]
+    cap = {k: int(share * n) for k, n in theses.MOST.items()}
+    seen, out = set(), {"hyper": [], "episodic": []}
+
+    def go(mine, levels, flagged):
+        got = []
+        for v in levels:
+            if len(got) > 1 or (v == 0.6 and got):
+                break
+            for r in mine:
+                if r[4] > v and (r[5] or not flagged) and r[3] not in seen:
+                    seen.add(r[3])
+                    got.append(r)
+        return got
+
+    got = go(rows, theses.LEVELS, True)
+    if got:
+        for k in out:
+            out[k] = [r[3] for r in got if r[2] == k][: cap[k]]
+        return out
+    for e in sorted(seeds):
+        first = min(seeds[e])
+        got = go([r for r in rows if r[0] == e], theses.OWN_LEVELS, False) if first[:1].isupper() else []
+        for k in out:
+            out[k] += [r[3] for r in got if r[2] == k][: cap[k]]
+    if not out["hyper"] and not out["episodic"]:
+        for k in out:
+            out[k] = [r[3] for r in rows if r[0] == last and r[2] == k][: cap[k]]
+    return {k: v[: theses.MOST[k]] for k, v in out.items()}
+
+
+def test_choice_of_theses(spark, tmp_path):
+    rng = random.Random(3)
+    seeds, rows, want = [], [], set()
+    for q in range(40):
+        names = {e: [rng.choice(["Ann", "oak", "Bob", "elm"]) + str(e)] for e in range(rng.randint(1, 3))}
+        names = {e: [n.rstrip("0123456789") + "xyz"[e] for n in v] for e, v in names.items()}
+        seeds += [(q, e, n) for e, v in names.items() for n in v]
+        mine = []
+        for e in names:
+            for i in range(rng.choice([0, 1, 3, 40])):
+                mine.append((e, names[e][0], rng.choice(["hyper", "hyper", "episodic"]), f"t{q}.{e}.{i:03d}", rng.choice([0.0, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0]), q % 3 == 0 and rng.random() < 0.3))
+        rows += [(q, *r) for r in mine]
+        for kind, texts in plain_choice(mine, names, max(names)).items():
+            want |= {(q, kind, x) for x in texts}
+    space = Workspace(spark, "test_theses")
+    s = spark.createDataFrame(seeds, "query int, entity int, seed string")
+    r = spark.createDataFrame(rows, "query int, entity int, seed string, kind string, text string, score double, flag boolean").withColumn("t_id", F.col("text"))
+    got = {(x.query, x.kind, x.text) for x in theses.choose(r, s, space.save).collect()}
+    assert got == want
+    same = theses.choose(r, s, space.save, same_types=True)
+    assert same.groupBy("query", "kind").agg(F.max("rank").alias("m")).filter("m > if(kind = 'hyper', 25, 15)").count() == 0
+    assert theses.choose(r.limit(0), s.limit(0), Workspace(spark, "test_no_theses").save).count() == 0
+
+
+def test_mentions(spark):
+    seeds = spark.createDataFrame([(1, 0, "Anna"), (1, 1, "кошка"), (1, 2, "red Fox"), (1, 2, None), (2, 0, "Solo")], "query int, entity int, seed string")
+    made = [(1, 0, "Anna", "hyper", "Anna saw a FOX, red", "a", ["кошка"]), (1, 0, "Anna", "hyper", "кошку", "b", None), (1, 0, "Anna", "hyper", None, "c", None), (2, 0, "Solo", "hyper", "Solo", "d", [])]
+    t = spark.createDataFrame(made, "query int, entity int, seed string, kind string, text string, t_id string, values array<string>")
+    got = {r.t_id: (r.score, r.flag) for r in theses.mention_scores(t, seeds).collect()}
+    assert got == {"a": (1.2, True), "b": (0.5, False), "d": (0.0, False)}
+
+
+def test_tasks(spark):
+    rows = spark.createDataFrame([(1, "hi {x}"), (2, ""), (3, "123"), (4, "hi {x}"), (5, "привет")], "id int, t string")
+    prompts = spark.createDataFrame([("en", "s", "Say {text}!", None), ("ru", "s", "{text} {gone}", None)], "lang string, system string, user string, assistant string")
+    space = Workspace(spark, "test_tasks")
+    calls = tasks.batched(lambda system, user, assistant: (f"[Answer] {user}", 1, 2, 0.0))
+    go = lambda cache: tasks.solve(rows, {"text": F.col("t")}, prompts, calls, lambda raw: parsers.after_marker(raw, "answer"), Workspace(spark, "test_solve").save, cache=cache)
+    got, new = go(None)
+    want = {1: ("Say hi {x}!", "success"), 2: (None, "empty_input_text"), 3: (None, "not_supported_lang"), 4: ("Say hi {x}!", "success"), 5: (None, "bad_user_prompt")}
+    assert {r.id: (r.result, r.status) for r in got.collect()} == want
+    assert new.count() == 1
+    kept = space.save(new, "kept")
+    again, newer = go(kept)
+    assert {r.id for r in again.filter("cache_hit").collect()} == {1, 4} and newer.count() == 0
+
+
+def test_bleu2(spark):
+    score = lambda a, b: one(spark, corpus.bleu2(F.lit(a), F.lit(b)))
+    assert score("a b c", "a b c") == pytest.approx(1.0)
+    assert score("a b d", "a b c d") == pytest.approx(math.sqrt(1.0 * 0.5) * math.exp(1 - 4 / 3))
+    assert score("b a", "a b") == 0.0 and score("a", "a") == 0.0
