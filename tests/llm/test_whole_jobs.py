@@ -45,3 +45,18 @@ def test_near_copies_by_blocks(spark, monkeypatch, block):
     want = [(i, texts[i]) for i in sorted(set(comp))] + [(0, rows[-3][1]), (None, texts[0])]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_pairs_around_the_bound():
+    """Pairs of similarity 0.6 to 0.95 by block edits: all from 0.8 on are linked, none below."""
+    rng, ids, seen = random.Random(1), near_copies.WordHashes(), set()
+    for _ in range(300):
+        base = prose(rng, rng.randint(200, 400))
+        n = max(1, int(rng.uniform(0.03, 0.45) * len(base)))
+        a, b = " ".join(base), " ".join(rng.choice([base + prose(rng, n), base[n:]]))
+        sets = [near_copies.shingle_set(ids, t) for t in (a, b)]
+        met = len(set(near_copies.band_keys(sets[0]).tolist()) & set(near_copies.band_keys(sets[1]).tolist())) > 0
+        linked = met and near_copies.similar_links(sets, [0, 1]) == [(0, 1)]
+        assert linked == (jaccard(a, b) >= 0.8)
+        seen.add(linked)
+    assert seen == {True, False}
