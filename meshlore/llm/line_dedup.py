@@ -85,9 +85,10 @@ def _fingerprint_task(min_words: int):
                 order = np.lexsort((first, last - first, whole, group))
                 again = order[1:][(group[order][1:] == group[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & ((last - first)[order][1:] == (last - first)[order][:-1])]
                 later += [(int(ids[doc[i]]), int(keys[doc[i]]), int(first[i]), int(last[i]) + 1) for i in again.tolist()]
-                packed = np.stack([whole & np.uint64(0xFFFFFFFF), (first - first[np.repeat(new, stop - new)]).astype(np.uint64) << np.uint64(16) | (last - first).astype(np.uint64)], 1).astype("<u4").tobytes()
+                hashes = whole.astype("<u8").tobytes()
+                sizes, offsets = (x.astype("<u4").tobytes() for x in (last - first, first - first[np.repeat(new, stop - new)]))
                 for a, b in zip(new.tolist(), stop.tolist(), strict=True):
-                    mine, d = packed[8 * a : 8 * b], doc[a]
+                    mine, d = hashes[8 * a : 8 * b] + sizes[4 * a : 4 * b] + offsets[4 * a : 4 * b], doc[a]
                     here = (int(ids[d]), int(keys[d]), int(first[a]), int(last[b - 1]) + 1)
                     seen = known.get((kk := int(k[a]), mine))
                     if seen is None or here < seen:
@@ -119,6 +120,12 @@ def _fingerprint_task(min_words: int):
     return task
 
 
+def _windows_in(packed: bytes) -> list[bytes]:
+    """Hash and size of each window of a list: n hashes of 8 bytes, n sizes and n offsets of 4."""
+    n = len(packed) // 16
+    return [packed[8 * i : 8 * i + 8] + packed[8 * n + 4 * i : 8 * n + 4 * i + 4] for i in range(n)]
+
+
 def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, k, did, rk, at): of each fingerprint, windows that an earlier row had."""
     names = [x.split()[0] for x in RUNS.split(", ")]
@@ -133,12 +140,12 @@ def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, held, seen = k, packed, None
                 continue
             if seen is None:  # most fingerprints have one row; only now its windows matter
-                seen = {bytes(held[i : i + 4]) + bytes(held[i + 4 : i + 6]) for i in range(0, len(held), 8)}
-            for i in range(0, len(packed), 8):
-                w = packed[i : i + 4] + packed[i + 4 : i + 6]
+                seen = set(_windows_in(held))
+            n = len(packed) // 16
+            for i, w in enumerate(_windows_in(packed)):
                 if w in seen:
-                    a = at + int.from_bytes(packed[i + 6 : i + 8], "little")
-                    out.append((did, rk, a, a + int.from_bytes(packed[i + 4 : i + 6], "little") + 1))
+                    a = at + int.from_bytes(packed[12 * n + 4 * i : 12 * n + 4 * i + 4], "little")
+                    out.append((did, rk, a, a + int.from_bytes(w[8:], "little") + 1))
                 else:
                     seen.add(w)
         if out:

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from meshlore.llm import near_copies
+from meshlore.llm import line_dedup, near_copies
 
 NAMED = "doc_id long, text string"
 
@@ -60,3 +62,24 @@ def test_pairs_around_the_bound():
         assert linked == (jaccard(a, b) >= 0.8)
         seen.add(linked)
     assert seen == {True, False}
+
+
+def later_runs(rows):
+    """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
+    (found,) = line_dedup._fingerprint_task(30)(iter([batch]))
+    order = found.sort_by([(c, "ascending") for c in ("kind", "k", "did", "rk", "at")])
+    return [tuple(r.values()) for out in line_dedup._later_task(iter([order])) for r in out.to_pylist()]
+
+
+def test_windows_alike_in_32_bits_differ(monkeypatch):
+    doc, first, k = np.array([0, 1, 2]), np.array([0, 0, 0]), np.full(3, 5, np.uint64)
+    whole = np.array([7, 7 + (1 << 32), 7 + (1 << 32)], np.uint64)
+    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, whole))
+    assert later_runs([(1, 1, "x"), (2, 2, "y"), (3, 3, "z")]) == [(3, 3, 0, 3)]
+
+
+def test_offsets_over_16_bits(monkeypatch):
+    doc, first, k = np.array([0, 1, 1]), np.array([0, 0, 70_000]), np.full(3, 5, np.uint64)
+    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, np.array([9, 8, 9], np.uint64)))
+    assert later_runs([(1, 1, "x"), (2, 2, "y")]) == [(2, 2, 70_000, 70_003)]
