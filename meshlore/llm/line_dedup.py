@@ -91,6 +91,8 @@ def _fingerprint_task(min_words: int):
                     mine, d = hashes[8 * a : 8 * b] + sizes[4 * a : 4 * b] + offsets[4 * a : 4 * b], doc[a]
                     here = (int(ids[d]), int(keys[d]), int(first[a]), int(last[b - 1]) + 1)
                     seen = known.get((kk := int(k[a]), mine))
+                    if here == seen:  # a repeated row
+                        continue
                     if seen is None or here < seen:
                         known[kk, mine] = here
                         here = seen
@@ -129,7 +131,7 @@ def _windows_in(packed: bytes) -> list[bytes]:
 def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, k, did, rk, at): of each fingerprint, windows that an earlier row had."""
     names = [x.split()[0] for x in RUNS.split(", ")]
-    now, held, seen = None, None, set()
+    now, held, seen, before = None, None, None, None
     for batch in batches:
         kind = batch.column(1).to_numpy()
         if (passed := kind == 0).any():
@@ -137,8 +139,11 @@ def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k, did, rk, at, packed in zip(*(batch.column(i).filter(pa.array(~passed)).to_pylist() for i in (2, 3, 4, 5, 7)), strict=True):
             if k != now:
-                now, held, seen = k, packed, None
+                now, held, seen, before = k, packed, None, (did, rk, at)
                 continue
+            if before == (did, rk, at):  # a repeated row, from another batch
+                continue
+            before = did, rk, at
             if seen is None:  # most fingerprints have one row; only now its windows matter
                 seen = set(_windows_in(held))
             n = len(packed) // 16

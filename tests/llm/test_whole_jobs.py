@@ -83,3 +83,13 @@ def test_offsets_over_16_bits(monkeypatch):
     doc, first, k = np.array([0, 1, 1]), np.array([0, 0, 70_000]), np.full(3, 5, np.uint64)
     monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, np.array([9, 8, 9], np.uint64)))
     assert later_runs([(1, 1, "x"), (2, 2, "y")]) == [(2, 2, 70_000, 70_003)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_stay_whole(spark, parts):
+    rng = random.Random(8)
+    long, other = (". ".join(" ".join(prose(rng, 12)) for _ in range(8)) + "." for _ in range(2))
+    rows = [(3, long), (3, long), (None, other), (None, other), (4, long), (4, long), (5, "Start here. " + other)]
+    docs = spark.createDataFrame(rows, NAMED).repartition(parts)
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(spark, docs).collect()), key=repr)
+    assert got == sorted([(3, long), (3, long), (None, other), (None, other), (4, ""), (4, ""), (5, "Start here. ")], key=repr)
