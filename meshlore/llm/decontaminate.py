@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case; shingles have WIDTH words (a
 SimHash of its shingles with their counts, and so has every window of a document with as many words. Fingerprints are cut into BLOCKS
 blocks; two that differ in at most RADIUS bits differ in at most RADIUS // BLOCKS bits in some block, so tables of each block's values
 within that distance find all pairs within the radius. These are verified by the weighted Jaccard similarity of their shingles,
-sum of min / sum of max of the counts; from SIMILARITY on, a pair is a leak. A window without a single shingle of any item has
+sum of min / sum of max of the counts; from SIMILARITY on, a pair is a leak. A document shorter than an item is one window for it, compared
+without fingerprints where it has enough of the items' shingles. A window without a single shingle of any item has
 similarity 0, so fingerprints are taken only where windows hold one.
 
 The benchmark is read in parts of at most ITEMS_BYTES of text, each broadcast for one pass over the documents. Null and empty texts and
@@ -82,10 +83,18 @@ class Items:
                 marks[n] = (s, np.flatnonzero(known[at] == s))
         for n, (items, tables) in self.by_size.items():
             width = min(n, WIDTH)
-            if len(h) < n or width not in marks or not len(marks[width][1]):
+            if width not in marks or not len(marks[width][1]):
                 continue
             s, hits = marks[width]
             span = n - width + 1
+            if len(h) < n:
+                if len(hits) / span >= SIMILARITY:  # as many shingles must be common
+                    whole = Counter(s.tolist())
+                    for y in items.tolist():
+                        sim = self._similarity(whole, self.counts[y])
+                        if sim >= SIMILARITY:
+                            best[y] = (sim, 0)
+                continue
             cover = np.zeros(len(h) - n + 2, np.int64)  # windows that hold a hit
             np.add.at(cover, np.maximum(0, hits - span + 1), 1)
             np.add.at(cover, np.minimum(len(cover) - 1, hits + 1), -1)
@@ -109,10 +118,10 @@ class Items:
                 prints = np.ascontiguousarray(own).view(">u8").ravel().astype(np.uint64)
                 ok = np.bitwise_count(prints[w] ^ self.prints[items[i]]) <= self.radius
                 for x, y in zip(part[w[ok]].tolist(), items[i[ok]].tolist(), strict=True):
-                    sim = self._similarity(Counter(s[x : x + span].tolist()), self.counts[y], span)
+                    sim = self._similarity(Counter(s[x : x + span].tolist()), self.counts[y])
                     if sim >= SIMILARITY and sim > best.get(y, (0.0, 0))[0]:
                         best[y] = (sim, x)
-        return [(y, sim, x, int(self.words[y])) for y, (sim, x) in sorted(best.items())]
+        return [(y, sim, x, min(len(h), int(self.words[y]))) for y, (sim, x) in sorted(best.items())]
 
     @staticmethod
     def _sums(s: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -120,7 +129,7 @@ class Items:
         return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
 
     @staticmethod
-    def _similarity(a: Counter, b: Counter, span: int) -> float:
+    def _similarity(a: Counter, b: Counter) -> float:
         low = sum(min(n, b[k]) for k, n in a.items() if k in b)
         return low / (a.total() + b.total() - low)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meshlore.llm import line_dedup, near_copies
+from meshlore.llm import decontaminate, line_dedup, near_copies
 
 NAMED = "doc_id long, text string"
 
@@ -93,3 +93,22 @@ def test_repeated_rows_stay_whole(spark, parts):
     docs = spark.createDataFrame(rows, NAMED).repartition(parts)
     got = sorted(((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(spark, docs).collect()), key=repr)
     assert got == sorted([(3, long), (3, long), (None, other), (None, other), (4, ""), (4, ""), (5, "Start here. ")], key=repr)
+
+
+def test_documents_shorter_than_an_item():
+    rng = random.Random(5)
+    items = [prose(rng, n) for n in (50, 200, 6, 4)]
+    known = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)])
+
+    ids = decontaminate.WordIds()
+
+    def found(words):
+        return known.leaks(decontaminate.words_hashes(ids, " ".join(words)))
+
+    for item, low in ((0, 41), (1, 161)):  # 37 of 46 and 157 of 196 shingles are the fewest
+        n = len(items[item])
+        for m in range(low - 3, n):
+            want = [(item, pytest.approx((m - 4) / (n - 4)), 0, m)] if m >= low else []
+            assert found(items[item][:m]) == want == found(items[item][n - m :])
+    assert found(items[2][:5]) == found(items[3][:3]) == []
+    assert found(["new", *items[0][:45], "words"]) == [(0, pytest.approx(41 / 48), 0, 47)]
