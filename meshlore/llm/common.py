@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only on one machine, where the session names no spark.checkpoint.dir, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/meshlore"
 
 WORD = re.compile(r"\w+")
@@ -30,13 +30,35 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column of docs (in any case)."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Tables written under the shared checkpoint folder: they cut lineage and outlive lost executors."""
+    """Tables written under the shared checkpoint folder: they cut lineage and outlive lost executors.
+
+    The folder goes when the driver's JVM ends, since results may be read until then; large tables that no result reads are dropped before.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = DEFAULT_SHARED
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -1,15 +1,18 @@
 """Line dedup by winnowing over line hashes: later repeats of runs of lines go.
 
 A line ends at a line end or at a sentence end (sign and blank), so a passage that stands inside a paragraph has lines of its own. The
-window of a line is the shortest run from it on with MIN_WORDS words. Each window's fingerprint is the least line hash in it (the leftmost
-of equals); equal windows have equal fingerprints at equal places, so any run that is repeated shows there. Positions meet by
-fingerprint; there each window is known by its hash, so a match extends from the fingerprint both ways as far as windows agree. A window
-that occurred earlier (smaller doc_id, then place) is a repeat; all lines of repeated windows go, and the first occurrence stays whole.
+windows of a text are the shortest runs with MIN_WORDS words from each line on, and up to each line. A window's fingerprint is the least
+line hash in it; equal windows have equal fingerprints at equal places, so any run that is repeated shows there. Positions meet by
+fingerprint, and a match extends from it both ways: every window around it is known by 128 bits of its lines in order (and their number), and
+a window that occurred earlier (smaller doc_id, then place) is a repeat. All windows of a repeated run of MIN_WORDS words or more cover it from
+end to end, so exactly the lines of such runs go, and the first occurrence stays whole.
 
 Only fingerprints are shuffled, with the hashes of the windows they stand for; every map batch sends each such list once, its later
-owners being repeats already. Blank lines start no window and go with a run that covers them. Null texts are empty; rows with equal
+owners being repeats already. Fingerprints whose lists weigh over HOT_BYTES (lines that very many texts have among different neighbours) are
+not met in one task: their windows are dealt by their own hashes, the first owner of each is found by a pre-aggregated minimum, and its join
+back may be split. Blank lines start and end no window and go with a run that covers them. Null texts are empty; rows with equal
 doc_id and text count as one document; a null doc_id comes first in order; texts under MIN_WORDS words stay; an empty table gives an
-empty result; other columns are kept.
+empty result; other columns are kept, of any name.
 """
 
 from __future__ import annotations
@@ -23,12 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, ship
+from .common import Scratch, fresh, read, ship
 
-MIN_WORDS, DOCS_A_TIME, P = 30, 512, 0x9E3779B97F4A7C15
+MIN_WORDS, DOCS_A_TIME, HOT_BYTES, MANY_HOT = 30, 512, 64 << 10, 100_000
+#: Multipliers of the two hashes of a run.
+TIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CUT = re.compile(r"(?<=[.!?] )|(?<=\n)")
-ROWS = "ek long, kind int, k long, did long, rk long, at int, to int, windows binary"
+ROWS = "kind int, k long, did long, rk long, at int, to int, windows binary"
 RUNS = "did long, rk long, at int, to int"
+#: Bytes of a window in a list: its two hashes, number of lines less one, offset.
+SIZE = 24
 
 
 def lines_of(text: str) -> list[str]:
@@ -38,34 +45,46 @@ def lines_of(text: str) -> list[str]:
     return text.replace(". ", ". \x01").replace("! ", "! \x01").replace("? ", "? \x01").replace("\n", "\n\x01").split("\x01")
 
 
+def _least(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of h[first..last], by tables of the least of 1, 2, 4, ... neighbours."""
+    out, level, n = np.empty(len(first), np.uint64), 0, last - first + 1
+    of = np.frexp(n.astype(np.float64))[1] - 1
+    while len(first):
+        at = np.flatnonzero(of == level)
+        out[at] = np.minimum(h[first[at]], h[last[at] - (1 << level) + 1])
+        if level >= of.max():
+            break
+        h = np.minimum(h[: -(1 << level)], h[1 << level :])
+        level += 1
+    return out
+
+
 def windows(texts: list[list[str]], min_words: int) -> tuple[np.ndarray, ...]:
-    """(doc, first, last, fingerprint, hash) of every window, lines counted within their document."""
+    """(doc, first, last, fingerprint, hash, hash) of every window, lines counted within their document, by first and last line."""
     flat = [x.strip() for lines in texts for x in lines]
     h = np.fromiter((xxhash.xxh64_intdigest(x) for x in flat), np.uint64, len(flat))
     words = np.fromiter((x.count(" ") + 1 if x else 0 for x in flat), np.int64, len(flat))
     size = np.array([len(x) for x in texts], np.int64)
     doc, base = np.repeat(np.arange(len(texts)), size), np.concatenate([[0], np.cumsum(size)])
     total = np.concatenate([[0], np.cumsum(words)])
-    first = np.flatnonzero(words > 0)
-    last = np.searchsorted(total, total[first] + min_words) - 1
-    ok = last < base[doc[first] + 1]
-    first, last = first[ok], last[ok]
-    least, d = h[first].copy(), 1
-    while True:
-        go = np.flatnonzero(first + d <= last)
-        if not len(go):
-            break
-        least[go] = np.minimum(least[go], h[first[go] + d])
-        d += 1
-    with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)  # of the arrays' own type, lest they turn into floats
-        power = np.concatenate([one, np.cumprod(np.full(len(h), P, np.uint64), dtype=np.uint64)])
-        back = np.concatenate([one, np.cumprod(np.full(len(h), pow(P, -1, 1 << 64), np.uint64), dtype=np.uint64)])
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
-        whole = (run[last + 1] - run[first]) * back[first]
-    whole ^= whole >> np.uint64(31)
+    there = np.flatnonzero(words > 0)
+    ahead = np.searchsorted(total, total[there] + min_words) - 1
+    behind = np.searchsorted(total, total[there + 1] - min_words, side="right") - 1
+    on, back = ahead < base[doc[there] + 1], behind >= base[doc[there]]
+    n = len(flat) + 1
+    both = np.unique(np.concatenate([there[on] * n + ahead[on], behind[back] * n + there[back]]))
+    first, last = both // n, both % n
+    hashes = []
+    for times, turned in zip(TIMES, (h, (h << np.uint64(23)) | (h >> np.uint64(41))), strict=True):
+        with np.errstate(over="ignore"):
+            one = np.ones(1, np.uint64)  # of the arrays' own type, lest they turn into floats
+            power = np.concatenate([one, np.cumprod(np.full(len(h), times, np.uint64), dtype=np.uint64)])
+            inverse = np.concatenate([one, np.cumprod(np.full(len(h), pow(times, -1, 1 << 64), np.uint64), dtype=np.uint64)])
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(turned * power[:-1])])
+            whole = (run[last + 1] - run[first]) * inverse[first]
+        hashes.append(whole ^ (whole >> np.uint64(31)))
     shift = base[doc[first]]
-    return doc[first], first - shift, last - shift, least, whole
+    return doc[first], first - shift, last - shift, _least(h, first, last), *hashes
 
 
 def _fingerprint_task(min_words: int):
@@ -76,20 +95,23 @@ def _fingerprint_task(min_words: int):
             for start in range(0, batch.num_rows, DOCS_A_TIME):
                 part = batch.slice(start, DOCS_A_TIME)
                 ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
-                doc, first, last, k, whole = windows([lines_of(x or "") for x in part.column(2).to_pylist()], min_words)
+                doc, first, last, k, h0, h1 = windows([lines_of(x or "") for x in part.column(2).to_pylist()], min_words)
                 if not len(doc):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]))
                 stop = np.append(new[1:], len(doc))
                 group = np.repeat(np.arange(len(new)), stop - new)  # windows that repeat within one list: all but the first are later
-                order = np.lexsort((first, last - first, whole, group))
-                again = order[1:][(group[order][1:] == group[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & ((last - first)[order][1:] == (last - first)[order][:-1])]
+                order = np.lexsort((first, last - first, h1, h0, group))
+                same = np.ones(len(order) - 1, bool)
+                for x in (group, h0, h1, last - first):
+                    same &= x[order][1:] == x[order][:-1]
+                again = order[1:][same]
                 later += [(int(ids[doc[i]]), int(keys[doc[i]]), int(first[i]), int(last[i]) + 1) for i in again.tolist()]
-                hashes = whole.astype("<u8").tobytes()
+                hashes = np.stack([h0, h1], 1).astype("<u8").tobytes()
                 sizes, offsets = (x.astype("<u4").tobytes() for x in (last - first, first - first[np.repeat(new, stop - new)]))
                 for a, b in zip(new.tolist(), stop.tolist(), strict=True):
-                    mine, d = hashes[8 * a : 8 * b] + sizes[4 * a : 4 * b] + offsets[4 * a : 4 * b], doc[a]
-                    here = (int(ids[d]), int(keys[d]), int(first[a]), int(last[b - 1]) + 1)
+                    mine, d = hashes[16 * a : 16 * b] + sizes[4 * a : 4 * b] + offsets[4 * a : 4 * b], doc[a]
+                    here = (int(ids[d]), int(keys[d]), int(first[a]), int(last[a:b].max()) + 1)
                     seen = known.get((kk := int(k[a]), mine))
                     if here == seen:  # a repeated row
                         continue
@@ -113,7 +135,7 @@ def _fingerprint_task(min_words: int):
             k = np.array(rows["k"], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([k, np.array(cols[0], np.int64) ^ np.array(cols[1], np.int64)])), pa.array([1] * n + [0] * m, pa.int32()), pa.array(np.concatenate([k, np.zeros(m, np.int64)])), pa.array(rows["did"] + list(cols[0]), pa.int64()),
+                    pa.array([1] * n + [0] * m, pa.int32()), pa.array(np.concatenate([k, np.zeros(m, np.int64)])), pa.array(rows["did"] + list(cols[0]), pa.int64()),
                     pa.array(rows["rk"] + list(cols[1]), pa.int64()), pa.array(rows["at"] + list(cols[2]), pa.int32()), pa.array(rows["to"] + list(cols[3]), pa.int32()), pa.array(rows["windows"] + [None] * m, pa.binary()),
                 ],
                 [x.split()[0] for x in ROWS.split(", ")],
@@ -123,21 +145,22 @@ def _fingerprint_task(min_words: int):
 
 
 def _windows_in(packed: bytes) -> list[bytes]:
-    """Hash and size of each window of a list: n hashes of 8 bytes, n sizes and n offsets of 4."""
-    n = len(packed) // 16
-    return [packed[8 * i : 8 * i + 8] + packed[8 * n + 4 * i : 8 * n + 4 * i + 4] for i in range(n)]
+    """Hashes and size of each window of a list: n times 16 bytes, then n sizes and n offsets of 4."""
+    n = len(packed) // SIZE
+    return [packed[16 * i : 16 * i + 16] + packed[16 * n + 4 * i : 16 * n + 4 * i + 4] for i in range(n)]
+
+
+def _offsets_in(packed: bytes) -> np.ndarray:
+    n = len(packed) // SIZE
+    return np.frombuffer(packed, "<u4", n, 20 * n).astype(np.int64)
 
 
 def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (kind, k, did, rk, at): of each fingerprint, windows that an earlier row had."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+    """Lists (k, did, rk, at, windows) sorted by these: of each fingerprint, windows that an earlier row had."""
     now, held, seen, before = None, None, None, None
     for batch in batches:
-        kind = batch.column(1).to_numpy()
-        if (passed := kind == 0).any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed)) for c in batch.columns[3:7]], names)
         out = []
-        for k, did, rk, at, packed in zip(*(batch.column(i).filter(pa.array(~passed)).to_pylist() for i in (2, 3, 4, 5, 7)), strict=True):
+        for k, did, rk, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != now:
                 now, held, seen, before = k, packed, None, (did, rk, at)
                 continue
@@ -146,15 +169,23 @@ def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = did, rk, at
             if seen is None:  # most fingerprints have one row; only now its windows matter
                 seen = set(_windows_in(held))
-            n = len(packed) // 16
-            for i, w in enumerate(_windows_in(packed)):
+            for w, offset in zip(_windows_in(packed), _offsets_in(packed).tolist(), strict=True):
                 if w in seen:
-                    a = at + int.from_bytes(packed[12 * n + 4 * i : 12 * n + 4 * i + 4], "little")
-                    out.append((did, rk, a, a + int.from_bytes(w[8:], "little") + 1))
+                    out.append((did, rk, at + offset, at + offset + int.from_bytes(w[16:], "little") + 1))
                 else:
                     seen.add(w)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+
+
+def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (k, did, rk, at, windows) -> a row for each window: (w, did, rk, at, to)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            _, did, rk, at, packed = (c[row].as_py() for c in batch.columns)
+            w, first = _windows_in(packed), at + _offsets_in(packed)
+            size = np.frombuffer(packed, "<u4", len(w), 16 * len(w))
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(len(w), did)), pa.array(np.full(len(w), rk)), pa.array(first.astype(np.int32)), pa.array((first + size + 1).astype(np.int32))], ["w", "did", "rk", "at", "to"])
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +210,36 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(removed, kind)], [*batch.schema.names[:-2], "text", "line_dedup_n", "line_dedup_removed"])
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` less its later repeats, line_dedup_n (lines before) and line_dedup_removed (runs of removed lines, end exclusive)."""
+def later_runs(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(did, rk, at, to) of windows that occurred earlier; docs: (did, rk, text). A window's rows may repeat."""
+    prints = scratch.save(docs.select("did", "rk", "text").mapInArrow(_fingerprint_task(min_words), ROWS), "prints")
+    known, lists = prints.filter("kind = 0").select("did", "rk", "at", "to"), prints.filter("kind = 1").select("k", "did", "rk", "at", "windows")
+    hot = scratch.save(lists.groupBy("k").agg(F.sum(F.octet_length("windows")).alias("n"), F.count("*").alias("rows")).filter((F.col("n") > hot_bytes) & (F.col("rows") > 1)).select("k"), "hot")
+    n_hot = hot.count()
+    cool = lists
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= MANY_HOT else hot
+        cool = lists.join(side, "k", "left_anti")
+        split = scratch.save(lists.join(side, "k", "left_semi").mapInArrow(_windows_task, "w binary, " + RUNS), "windows")
+        first = split.groupBy("w").agg(F.min(F.struct("did", "rk", "at")).alias("first"), F.max(F.struct("did", "rk", "at")).alias("final")).filter("first < final")
+        known = known.union(split.join(first.select("w", "first"), "w").filter(F.struct("did", "rk", "at") > F.col("first")).select("did", "rk", "at", "to"))
+    return known.union(cool.repartition("k").sortWithinPartitions("k", "did", "rk", "at").mapInArrow(_later_task, RUNS))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """docs with `text` less its later repeats, line_dedup_n (lines before) and line_dedup_removed (runs of removed lines, end exclusive).
+
+    Columns of the last two names are replaced.
+    """
     ship(spark)
+    docs = docs.drop("line_dedup_n", "line_dedup_removed")
+    did, rk, runs, own_did, own_rk = fresh(docs, "did", "rk", "runs", "own_did", "own_rk")
     least = F.lit(-(2**63)).cast("long")
-    did, rk = F.coalesce(F.col("doc_id").cast("long"), least), F.xxhash64("doc_id", "text")
-    prints = docs.select(did.alias("did"), rk.alias("rk"), "text").mapInArrow(_fingerprint_task(min_words), ROWS)
-    later = prints.repartition("ek").sortWithinPartitions("kind", "k", "did", "rk", "at").mapInArrow(_later_task, RUNS)
-    runs = later.groupBy("did", "rk").agg(F.collect_set(F.struct("at", "to")).alias("runs")).select(F.col("did").alias("_did"), F.col("rk").alias("_rk"), F.col("runs").alias("_runs"))
-    others = [c for c in docs.columns if c != "text"]
-    joined = docs.withColumns({"_d": did, "_r": rk}).join(runs, (F.col("_d") == F.col("_did")) & (F.col("_r") == F.col("_rk")), "left").select(*others, "text", "_runs")
+    keyed = docs.withColumns({own_did: F.coalesce(F.col("doc_id").cast("long"), least), own_rk: F.xxhash64("doc_id", "text")})
+    later = later_runs(spark, keyed.select(F.col(own_did).alias("did"), F.col(own_rk).alias("rk"), "text"), Scratch(spark, "lines"), min_words, hot_bytes)
+    each = later.groupBy("did", "rk").agg(F.collect_set(F.struct("at", "to")).alias("runs")).select(F.col("did").alias(did), F.col("rk").alias(rk), F.col("runs").alias(runs))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    joined = keyed.join(each, (F.col(own_did) == F.col(did)) & (F.col(own_rk) == F.col(rk)), "left").select(*others, "text", runs)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "text string, line_dedup_n int, line_dedup_removed array<struct<at:int,to:int>>"])
     return joined.mapInArrow(_cut_task, schema)
 

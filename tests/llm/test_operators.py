@@ -193,31 +193,48 @@ def test_leaks(spark, empty):
 
 
 def brute_lines(texts, min_words):
+    """Without every line of a run of min_words words or more that an earlier place had, runs of any length."""
     seen, out = set(), []
     for t in texts:
         lines = line_dedup.lines_of(t or "")
         flat, gone = [x.strip() for x in lines], set()
         words = [x.count(" ") + 1 if x else 0 for x in flat]
         for a in range(len(lines)):
-            if words[a]:
-                n, b = 0, a
-                while b < len(lines) and n < min_words:
-                    n += words[b]
-                    b += 1
-                if n >= min_words:
-                    key = tuple(flat[a:b])
+            n = 0
+            for b in range(a, len(lines) if words[a] else a):
+                n += words[b]
+                if n >= min_words and words[b]:
+                    key = hash(tuple(flat[a : b + 1]))
                     if key in seen:
-                        gone |= set(range(a, b))
+                        gone |= set(range(a, b + 1))
                     seen.add(key)
         out.append("".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-def test_repeated_lines(spark, docs, texts, empty):
-    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark, docs).collect()}
+@pytest.mark.parametrize("hot", [line_dedup.HOT_BYTES, 1])
+def test_repeated_lines(spark, docs, texts, empty, hot):
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark, docs, hot_bytes=hot).collect()}
     assert [got[i].text or "" for i in range(len(texts))] == brute_lines(texts, line_dedup.MIN_WORDS)
     assert set(docs.columns) < set(got[0].asDict()) and got[0].score == "en"
-    assert line_dedup.drop_repeated_lines(spark, empty).count() == 0
+    assert line_dedup.drop_repeated_lines(spark, empty, hot_bytes=hot).count() == 0
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT_BYTES, 500])
+def test_lines_under_one_fingerprint(spark, hot):
+    """Lines of many sizes around one common line, blank lines, repeats inside a text, names that the operator uses itself."""
+    rng = random.Random(12)
+    common, made = sentence(rng, 3)[:-1] + ".", []
+    parts = [sentence(rng, rng.choice([1, 2, 3, 12, 40])) for _ in range(30)]
+    for _ in range(120):
+        mid = [rng.choice(parts) if rng.random() < 0.5 else sentence(rng, rng.randint(1, 9)) for _ in range(rng.randint(1, 8))]
+        mid += rng.choice([[], ["\n", common], [common, common], ["\n\n"]])
+        made.append(" ".join([*rng.sample(parts, 2), common, *mid, common, *rng.sample(parts, 2)]))
+    rows = [(i, t, "a", "b", "c") for i, t in enumerate(made)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, own_did string, runs string, line_dedup_n string").repartition(4)
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark, odd, hot_bytes=hot).collect()}
+    assert [got[i].text for i in range(len(made))] == brute_lines(made, line_dedup.MIN_WORDS)
+    assert got[0].own_did == "a" and got[0].runs == "b" and got[0].line_dedup_n == len(line_dedup.lines_of(made[0]))
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)

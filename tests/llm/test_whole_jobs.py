@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from meshlore.llm import decontaminate, line_dedup, near_copies
@@ -68,23 +69,37 @@ def later_runs(rows):
     """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
     (found,) = line_dedup._fingerprint_task(30)(iter([batch]))
-    order = found.sort_by([(c, "ascending") for c in ("kind", "k", "did", "rk", "at")])
-    return [tuple(r.values()) for out in line_dedup._later_task(iter([order])) for r in out.to_pylist()]
+    order = found.filter(pa.compute.equal(found["kind"], 1)).select(["k", "did", "rk", "at", "windows"])
+    order = order.sort_by([(c, "ascending") for c in ("k", "did", "rk", "at")])
+    known = [(r["did"], r["rk"], r["at"], r["to"]) for r in found.to_pylist() if not r["kind"]]
+    return known + [tuple(r.values()) for out in line_dedup._later_task(iter([order])) for r in out.to_pylist()]
 
 
-def test_windows_alike_in_32_bits_differ(monkeypatch):
-    doc, first, k = np.array([0, 1, 2]), np.array([0, 0, 0]), np.full(3, 5, np.uint64)
-    whole = np.array([7, 7 + (1 << 32), 7 + (1 << 32)], np.uint64)
-    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, whole))
+def test_windows_alike_in_one_hash_differ(monkeypatch):
+    doc, first, k, none = np.array([0, 1, 2]), np.array([0, 0, 0]), np.full(3, 5, np.uint64), np.zeros(3, np.uint64)
+    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, none, np.array([7, 8, 8], np.uint64)))
     assert later_runs([(1, 1, "x"), (2, 2, "y"), (3, 3, "z")]) == [(3, 3, 0, 3)]
 
 
 def test_offsets_over_16_bits(monkeypatch):
     doc, first, k = np.array([0, 1, 1]), np.array([0, 0, 70_000]), np.full(3, 5, np.uint64)
-    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, np.array([9, 8, 9], np.uint64)))
+    monkeypatch.setattr(line_dedup, "windows", lambda texts, n: (doc, first, first + 2, k, np.array([9, 8, 9], np.uint64), np.zeros(3, np.uint64)))
     assert later_runs([(1, 1, "x"), (2, 2, "y")]) == [(2, 2, 70_000, 70_003)]
 
 
+def test_passage_late_in_a_text_of_one_fingerprint(spark):
+    """Every second line of a text of 80,000 lines is the same; a passage that an earlier text holds starts at line 71,000."""
+    rng = random.Random(2)
+    common = next(x for x in (f"common {i} line" for i in range(10**6)) if line_dedup.xxhash.xxh64_intdigest(x) < 1 << 46)
+    passage = [x for _ in range(20) for x in (" ".join(prose(rng, 4)), common)]
+    lines = [x for _ in range(40_000) for x in (" ".join(prose(rng, 4)), common)]
+    lines[71_000:71_040] = passage
+    docs = spark.createDataFrame([(1, "\n".join(passage)), (2, "\n".join(lines))], NAMED)
+    for hot in (line_dedup.HOT_BYTES, 1 << 30):
+        got = {r.doc_id: [tuple(x) for x in r.line_dedup_removed] for r in line_dedup.drop_repeated_lines(spark, docs, hot_bytes=hot).collect()}
+        assert got[1] == [] and len(got[2]) == 1 and got[2][0][0] in (70_999, 71_000) and got[2][0][1] in (71_039, 71_040, 71_041)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_repeated_rows_stay_whole(spark, parts):
     rng = random.Random(8)
