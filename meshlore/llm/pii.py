@@ -1,10 +1,11 @@
 """Personal data: base patterns, and further spans from a semi-Markov conditional random field.
 
 Base kinds are found by their patterns, leftmost and without overlap for each kind; matches that fail their test are dropped.
-The field scores whole candidate segments of a zone (a stretch of a line around digits): features of the whole span - shape, groups of
-digits, checksums, length, words before it - have a weight for each type, and dynamic programming over segments that have at most
-MAX_GROUPS groups of digits or MAX_LENGTH characters picks boundaries and types jointly, the rest of the zone being free. It is trained
-here, by gradient steps on the conditional likelihood (forward and backward over segments), on sentences made from a fixed seed. It knows
+The field scores whole candidate segments of a zone (a stretch of a line around digits, or after a name such as `password` and a sign of
+assignment; zones end between runs, never inside one): features of the whole span - shape, groups of digits, checksums, length, letters, words
+before it - have a weight for each type, and dynamic programming over segments picks boundaries and types jointly, the rest of the zone being
+free. A segment has at most MAX_GROUPS groups of digits and MAX_LENGTH characters, or is one run without spaces of any length. The field is
+trained here, by gradient steps on the conditional likelihood (forward and backward over segments), on sentences made from a fixed seed. It knows
 the base kinds too, which compete for segments, but adds only kinds that no base pattern has: secret, tel, iban, ssn; a span that
 touches a base span is not added.
 
@@ -38,6 +39,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 DIGIT = re.compile(r"[0-9]")
+SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -78,18 +80,25 @@ GROUP = re.compile(r"[0-9]+")
 JOINT = re.compile(r"[\x20().-]{1,3}\Z")
 RUN = re.compile(r"[^\s\"'=<>,;]+")
 WORDS_BEFORE = re.compile(r"[^\W\d_]+")
+#: A name of a secret with a sign of assignment; what follows may be one without a digit.
+ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|bearer|credentials?)[\"']?(?:\s*[:=]\s*|\s+is\s+|\s+)(?:bearer\s+)?[\"']?\Z")
+NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|bearer|credentials?)[\"']?\s*[:=]")
 
 
 def candidates(zone: str) -> list[tuple[int, int]]:
-    """Segments that may be entities: runs without spaces that hold a digit, and up to MAX_GROUPS neighbouring groups of digits."""
+    """Segments that may be entities: runs without spaces that hold a digit or are assigned to a name of secrets, and up to MAX_GROUPS neighbouring groups of digits."""
     found = set()
     for m in RUN.finditer(zone):
         s = m[0].rstrip(".:!?)")
-        if len(s) <= MAX_LENGTH and DIGIT.search(s):
-            found.add((m.start(), m.start() + len(s)))
+        start = m.start()
+        if DIGIT.search(s) or (len(s) >= 6 and ASSIGNED.search(zone, max(0, start - 32), start)):
+            found.add((start, start + len(s)))
+        if (at := s.find(":")) > 0 and at + 1 < len(s) and ASSIGNED.search(s[: at + 1]):  # name:value
+            found.add((start + at + 1, start + len(s)))
     groups = [m.span() for m in GROUP.finditer(zone)]
     for i, (a, _) in enumerate(groups):
-        for lead in {a, a - 1 if a and zone[a - 1] in "+(" else a, a - 2 if a > 1 and zone[a - 2 : a] == "+(" else a}:
+        country = a > 1 and zone[a - 2 : a].isalpha() and zone[a - 2 : a].isupper() and not (a > 2 and zone[a - 3].isalnum())
+        for lead in {a, a - 1 if a and zone[a - 1] in "+(" else a, a - 2 if a > 1 and zone[a - 2 : a] == "+(" or country else a}:
             for j in range(i, min(len(groups), i + MAX_GROUPS)):
                 if j > i and not JOINT.match(zone[groups[j - 1][1] : groups[j][0]]):
                     break
@@ -109,6 +118,14 @@ def features(zone: str, a: int, b: int) -> list[str]:
     out += ["word " + w for w in before] + ["left " + zone[a - 1 : a], "right " + zone[b : b + 1]]
     if zone[b : b + 1].isalnum() or (a and zone[a - 1].isalnum()):
         out.append("inside a word")
+    if ASSIGNED.search(zone, max(0, a - 32), a):
+        out.append("assigned" + (" sign" if any(c in ":=" for c in zone[max(0, a - 3) : a]) else ""))
+        out.append(f"assigned n {min(20, len(digits)) // 3} len {min(24, len(s)) // 4}")
+    if not digits:
+        letters = [c for c in s if c.isalpha()]
+        vowels = sum(c in "aeiouyAEIOUY" for c in letters)
+        turns = sum(x.islower() and y.isupper() for x, y in zip(s, s[1:], strict=False))
+        out.append(f"letters: vowels {10 * vowels // max(1, 2 * len(letters))}, turns {min(3, turns)}, signs {min(2, len(s) - len(letters))}, len {min(24, len(s)) // 4}")
     if "@" in s:
         out.append("at")
     if 13 <= len(digits) <= 19 and luhn(digits):
@@ -206,17 +223,35 @@ def made_sentence(rng: random.Random) -> tuple[str, dict[tuple[int, int], str]]:
         return d if rng.random() < 0.6 else rng.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
 
     area = lambda: f"{num(3)}"
+    signed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ_-!@#$%") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    low = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    named = ["password", "Password", "passwd", "pwd", "token", "api_key", "secret", "key", "access_key", "auth_token", "client_secret", "passphrase"]
+
+    def secret():
+        body = rng.choice([lambda: hexa(rng.choice([16, 18, 32, 40, 64, 128])), lambda: mixed(rng.choice([10, 16, 20, 24, 40, 88, 200])), lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+                           lambda: "sk_live_" + hexa(24), lambda: "ghp_" + mixed(36), lambda: f"{low(rng.randint(4, 9))}{num(rng.randint(1, 4))}", lambda: f"{low(5).capitalize()}{num(2)}!", lambda: signed(rng.randint(8, 40)),
+                           lambda: low(rng.choice([16, 24, 32, 64])), lambda: f"eyJ{mixed(20)}.eyJ{mixed(30)}.{mixed(40)}"])()
+        lead = rng.choice(named) + rng.choice(["=", " = ", ": ", ":", ' = "', '="', ': "'])
+        if any(c.isdigit() for c in body) and rng.random() < 0.3:
+            lead = rng.choice(["password is ", "the password is ", "passphrase is ", "password ", "Authorization: Bearer ", "token "])
+        return lead, body
+
     kinds = {
         "email": lambda: ("", f"{word()}.{num(2)}@{word()}{num(1)}.example.com"),
         "ip": lambda: ("", ".".join(str(rng.randint(0, 255)) for _ in range(4))),
         "card": lambda: ("", card()),
         "phone": lambda: ("", rng.choice([f"+1 ({area()}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)}", f"+{num(11)}"])),
-        "tel": lambda: (rng.choice(["", "call ", "phone ", "tel "]), rng.choice([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"{area()}.{num(3)}.{num(4)}"])),
-        "secret": lambda: (rng.choice(["password=", "password = ", 'token = "', "api_key=", "secret: ", 'key = "', "passwd="]), rng.choice([hexa(40), hexa(18), hexa(32), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "sk_live_" + hexa(24), "ghp_" + hexa(36)])),
-        "iban": lambda: (rng.choice(["", "iban "]), rng.choice(["DE", "FR", "ES", "GB"]) + num(20)),
-        "ssn": lambda: (rng.choice(["", "ssn ", "social security "]), f"{num(3)}-{num(2)}-{num(4)}"),
+        "tel": lambda: (rng.choice(["", "", "call ", "phone ", "phone: ", "tel ", "tel. ", "fax ", "mobile ", "cell: ", "ring me at "]), rng.choice([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"{area()}.{num(3)}.{num(4)}", f"{area()} {num(3)} {num(4)}"])),
+        "secret": secret,
+        "iban": lambda: (rng.choice(["", "iban ", "IBAN: ", "account "]), rng.choice([lambda c: c + num(20), lambda c: c + num(2) + "".join(" " + num(4) for _ in range(4)) + " " + num(2)])(rng.choice(["DE", "FR", "ES", "GB", "NL", "IT"]))),
+        "ssn": lambda: (rng.choice(["", "ssn ", "SSN: ", "social security ", "social security number "]), f"{num(3)}-{num(2)}-{num(4)}"),
     }
-    none = [lambda: num(rng.randint(1, 6)), lambda: f"{num(2)}.{num(2)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}-{num(2)}", lambda: f"{num(2)}%", lambda: word() + num(2), lambda: f"{num(12)}", lambda: f"20{num(2)}", lambda: f"{num(1)},{num(3)}"]
+    label = lambda: rng.choice(["order", "order no ", "ref", "reference", "invoice", "ticket", "case", "item", "serial", "part number", "id", "isbn", "tracking", "flight", "version", "model"]).strip()
+    like = lambda: rng.choice([f"{area()}-{num(3)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}", f"{area()} {num(3)} {num(4)}", f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(4)}-{num(4)}", f"{num(10)}", f"{mixed(12)}"])
+    none = [lambda: num(rng.randint(1, 6)), lambda: f"{num(2)}.{num(2)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}-{num(2)}", lambda: f"{num(2)}%", lambda: word() + num(2), lambda: f"{num(12)}", lambda: f"20{num(2)}", lambda: f"{num(1)},{num(3)}",
+            lambda: f"{label()} {like()}", lambda: f"{label()}: {like()}", lambda: f"{rng.choice(['commit', 'sha', 'md5', 'checksum', 'hash', 'digest'])} {hexa(rng.choice([8, 32, 40, 64]))}", lambda: f"{rng.choice(named)}{rng.choice([' = ', ': ', '='])}{rng.choice([num(1), num(2), 'none', 'true', 'null', 'required', word(), word() + ' ' + word(), 'unknown', 'missing'])}",
+            lambda: f"1{num(3)}-1{num(3)}", lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"http://{word()}.org/{word()}/{num(5)}/{word()}-{num(3)}.html", lambda: f"{num(2)}.{num(2)}.20{num(2)}", lambda: f"{num(4)} {num(4)} {num(4)}"]
     text, gold = "", {}
     for _ in range(rng.randint(4, 9)):
         r = rng.random()
@@ -225,7 +260,7 @@ def made_sentence(rng: random.Random) -> tuple[str, dict[tuple[int, int], str]]:
             lead, s = kinds[kind]()
             text += lead
             gold[len(text), len(text) + len(s)] = kind
-            text += s + ('"' if lead.endswith('"') else "")
+            text += s + ('"' if lead.endswith('"') else "")  # a run ends at a quote
         elif r < 0.45:
             text += rng.choice(none)()
         else:
@@ -235,7 +270,7 @@ def made_sentence(rng: random.Random) -> tuple[str, dict[tuple[int, int], str]]:
 
 
 @lru_cache(maxsize=1)
-def trained(sentences: int = 700, epochs: int = 3, seed: int = 3) -> SemiCrf:
+def trained(sentences: int = 1500, epochs: int = 3, seed: int = 3) -> SemiCrf:
     rng, model = random.Random(seed), SemiCrf()
     made = [made_sentence(rng) for _ in range(sentences)]
     for _ in range(epochs):
@@ -247,14 +282,25 @@ def trained(sentences: int = 700, epochs: int = 3, seed: int = 3) -> SemiCrf:
 
 
 def zones(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, stretch) around digits: REACH characters each way within the line, cut at spaces; stretches don't overlap."""
+    """(offset, stretch) around digits and after names of secrets: REACH characters each way within the line, and on to the end of a run; stretches don't overlap."""
     start = end = -1
-    for m in GROUP.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if (x := text.rfind("\n", a, m.start())) >= 0:
+    marks = sorted([m.span() for m in GROUP.finditer(text)] + [m.span() for m in NAMED.finditer(text)])
+    for first, last in marks:
+        if last <= end:
+            continue
+        a, b = max(0, first - REACH), min(len(text), last + REACH)
+        a, b = max(0, a, end if a < end <= first else 0), b
+        if (x := text.rfind("\n", a, first)) >= 0:
             a = x + 1
-        if (x := text.find("\n", m.end(), b)) >= 0:
+        else:
+            while a > max(0, end) and not text[a - 1].isspace():
+                a -= 1
+        if (x := text.find("\n", last, b)) >= 0:
             b = x
+        elif m := SPACE.search(text, b):
+            b = m.start()
+        else:
+            b = len(text)
         if a <= end and start >= 0:
             end = max(end, b)
         else:
@@ -300,4 +346,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), *[count(k) for k in ADDED], F.size("spans").cast("long").alias("n_spans"))

