@@ -176,7 +176,8 @@ def test_packing_is_whole(spark, docs, texts, empty):
     assert packing.pack(spark, empty).count() == 0
 
 
-def test_leaks(spark, empty):
+@pytest.mark.parametrize("items_bytes", [decontaminate.ITEMS_BYTES, 300])
+def test_leaks(spark, empty, items_bytes):
     rng = random.Random(3)
     items = [(i, sentence(rng, 12 + i)) for i in range(12)] + [(50, None), (51, ""), (52, "two words")]
     body = lambda: " ".join(sentence(rng) for _ in range(12))
@@ -185,9 +186,9 @@ def test_leaks(spark, empty):
     words = long.split()
     near, far = " ".join([*words[:-1], "changed."]), " ".join(w if k % 5 else "other" for k, w in enumerate(words))
     bench = spark.createDataFrame([*items, (60, long)], "item_id long, text string")
-    rows += [(200, body() + " " + near), (201, far)]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench, items_bytes=300).collect()}
-    assert set(got) == {(i, i) for i in range(12)} | {(103, 52), (200, 60)}
+    rows += [(200, body() + " " + near), (201, far), (None, near)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench, items_bytes, 1 << 16).collect()}
+    assert set(got) == {(i, i) for i in range(12)} | {(103, 52), (200, 60), (None, 60)}
     assert got[200, 60] == pytest.approx(55 / 57) and all(got[i, i] == 1 for i in range(12))
     assert decontaminate.leaks(spark, empty, bench).count() == 0 and decontaminate.leaks(spark, bench.withColumnRenamed("item_id", "doc_id"), bench.limit(0)).count() == 0
 

@@ -1,6 +1,7 @@
 """Cases that earlier versions of the operators did not cover."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +128,60 @@ def test_documents_shorter_than_an_item():
             assert found(items[item][:m]) == want == found(items[item][n - m :])
     assert found(items[2][:5]) == found(items[3][:3]) == []
     assert found(["new", *items[0][:45], "words"]) == [(0, pytest.approx(41 / 48), 0, 47)]
+
+
+def brute_leaks(items, words):
+    """{item: (similarity, first word)} of a text, over all its windows of an item's size; a shorter text is one window."""
+    out = {}
+    for i, item in enumerate(items):
+        w = min(5, len(item))
+        want = Counter(tuple(item[k : k + w]) for k in range(len(item) - w + 1))
+        n = min(len(item), len(words))
+        for x in range(len(words) - n + 1 if n >= w else 0):
+            have = Counter(tuple(words[k : k + w]) for k in range(x, x + n - w + 1))
+            low = (want & have).total()
+            sim = low / (want.total() + have.total() - low)
+            if sim >= 0.8 and sim > out.get(i, (0, 0))[0]:
+                out[i] = (sim, x)
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_windows_against_brute_force(monkeypatch, few):
+    """Items copied whole, edited, cut, repeated and run together; stretches shorter than a text."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    rng, ids = random.Random(4), decontaminate.WordIds()
+    items = [prose(rng, n) for n in [1, 2, 3, 4, 5, 6, 9, 15, 15, 15, 18, 24, 30, 30, 41, 59, 59, 120]] + [["a", "b"] * 20]
+    items += [items[12][:20] + prose(rng, 3), items[12]]
+    known = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)], few)
+    found = wanted = right = 0
+    for _ in range(250):
+        words = prose(rng, rng.choice([0, 3, 40]))
+        for _ in range(rng.randint(1, 4)):
+            item = list(rng.choice(items))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                at = rng.randrange(len(item) + 1)
+                item[at : at + rng.choice([0, 1])] = rng.choice([[], ["x1"], ["x2", "x3"]])
+            words += item[rng.choice([0, 0, 1, 3]) :] + prose(rng, rng.choice([0, 0, 5, 90]))
+        want = brute_leaks(items, words)
+        got = {y: (sim, x) for y, sim, x, _ in known.leaks(decontaminate.words_hashes(ids, " ".join(words)))}
+        found, wanted = found + len(got), wanted + len(want)
+        right += sum(want.get(y) == (pytest.approx(sim), x) for y, (sim, x) in got.items())
+    assert right == found and found >= 0.995 * wanted and wanted > 250
+
+
+def test_blocks_find_all_within_the_radius_and_little_else():
+    rng = np.random.default_rng(3)
+    items = rng.integers(0, 1 << 32, (3000, 4), np.uint64).astype(np.uint32)
+    known = decontaminate.Items([(i, f"w{i} a b c d e") for i in range(3000)], 0)
+    (n,) = known.by_size
+    known.prints, known.tables = items, {n: decontaminate.HalfTables(items)}
+    own = items[:200].copy()
+    for row in own:
+        for bit in rng.choice(128, rng.integers(0, 34), replace=False).tolist():
+            row[bit // 32] ^= np.uint32(1 << bit % 32)
+    apart = np.bitwise_count(own[:, None] ^ items[None]).sum(2, dtype=np.int64)
+    w, i = known.pairs(own, n)
+    assert sorted(zip(w.tolist(), i.tolist())) == sorted(map(tuple, np.argwhere(apart <= decontaminate.RADIUS).tolist()))
+    passed = (np.bitwise_count(own[:, None] ^ items[None]) <= decontaminate.IN_BLOCK).any(2).mean()
+    assert passed < 0.01
