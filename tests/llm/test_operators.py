@@ -123,19 +123,37 @@ def test_thresholds_sum_and_cost():
     assert simhash.allocate([[1, 5, 9], [100, 200, 300], [2, 3, 50]], 0) in ([1, -1, 0], [0, -1, 1])
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("made", ["gaussian 256", "uneven norms", "clusters", "small norms beside large"])
+def test_recall_on_vectors_of_all_sorts(made):
+    rng, n = np.random.default_rng(6), 6000
+    x = rng.standard_normal((n, 256 if "256" in made else 64))
+    if made == "uneven norms":
+        x *= np.exp(rng.standard_normal((n, 1)))
+    elif made == "clusters":
+        x += 3 * rng.standard_normal((60, 64))[rng.integers(0, 60, n)]
+    elif made == "small norms beside large":
+        x[: n // 2] *= 1e-3
+    asked = rng.choice(n, 60, replace=False)
+    hit = 0
+    for i, (rows, _) in zip(asked, ann.Cell(x).search(x[asked], 21)):
+        hit += len(set(rows.tolist()) & set(np.argsort(-(x @ x[i]), kind="stable")[:21].tolist()))
+    assert hit / (21 * 60) >= 0.9
+
+
+@pytest.mark.parametrize("cell_values", [ann.CELL_VALUES, 1000])
+def test_nearest_neighbours(spark, cell_values):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 16)).astype(np.float32)
     x[100:130] = x[7]
-    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (5, [float(c) for c in x[5]])]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(4000 + i, [float(i), 1.0, -1.0]) for i in range(4)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (5, [float(c) for c in x[5]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     from pyspark.sql import functions as F
 
-    got = ann.nearest(spark, df, F.col("vec_id") % 20 == 0).collect()
+    got = ann.nearest(spark, df, F.col("vec_id") % 20 == 0, cell_values=cell_values).collect()
     by: dict = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(by) == set(range(0, 900, 20))
+    assert set(by) == set(range(0, 900, 20)) | {4000} and [v for v, _ in by.pop(4000)] == [4001, 4002, 4003]
     hit, d = 0, x.astype(np.float64)
     for q, found in by.items():
         s = (d * d[q]).sum(1)
