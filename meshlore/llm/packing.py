@@ -1,11 +1,14 @@
 """Packing by lexical retrieval: sequences filled with a seed document's BM25 neighbours.
 
-Documents are encoded once and dealt by a hash into shards of about SHARD_TOKENS tokens; each shard holds an inverted index over its
-pieces, with document frequencies and mean length of the whole corpus (one number for each vocabulary entry, so broadcast whatever the
+Documents are encoded once and dealt into shards of about SHARD_TOKENS tokens by content: by the least-hashed of a document's KEY_TERMS largest
+token ids (a byte-pair vocabulary numbers its entries by frequency, so these are its rarest), so that texts which share rare words meet as often as
+they share them, whatever the number of shards. Keys of more than a shard's tokens are split by a hash. Each shard holds an inverted index over
+its pieces, with document frequencies and mean length of the whole corpus (one number for each vocabulary entry, so broadcast whatever the
 corpus). Full-length stretches of long documents are sequences of their own. Of the rest, the longest unused piece is the seed; its
-heaviest terms are the query, and its unused neighbours fill the sequence, best first, as long as they fit; what room is left goes
-to the front part of the best neighbour that doesn't fit (or, if no neighbour is left, of the next unused piece), whose rest stays unused. So only
-a shard's last sequence is padded, and gaps of under MIN_CUT.
+heaviest terms are the query (QUERY_TERMS of them, or all), and its unused neighbours fill the sequence, best first, as long as they fit; what room
+is left goes to the front part of the best neighbour that doesn't fit (or, if no neighbour is left, of the next unused piece), whose rest stays
+unused. So only a shard's last sequence is padded, and gaps of under MIN_CUT. A shard takes its documents in order of id and tokens, so a
+task that runs again packs them alike.
 
 Every id lies in exactly one piece. Null and empty texts are the end id alone. Repeated rows are packed each; null doc_ids stay null;
 an empty table gives an empty result. Extra columns are left out.
@@ -18,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,21 @@ from .common import Scratch, read, ship
 from .tokens import default_path, encoder
 
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS, MIN_CUT, K1, B = 2048, 1, 3_000_000, 24, 8, 1.2, 0.75
+KEY_TERMS, KEYS = 16, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def content_key(ids: np.ndarray) -> int:
+    """The least-hashed of the KEY_TERMS largest ids, as a number under KEYS."""
+    terms = np.unique(ids)[-KEY_TERMS:].astype(np.uint64)
+    h = (terms + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = int((h ^ (h >> np.uint64(31))).min())
+    return least * 0xD6E8FEB86659FD93 % (1 << 64) >> 48
+
+
 def encoded(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the text's ids and the end id, as little-endian numbers of the vocabulary's width."""
+    """(doc_id, n, key, ids): the text's ids and the end id, as little-endian numbers of the vocabulary's width."""
     ship(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,9 +52,10 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> Dat
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [enc.encode(x.as_py() or "") + end for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                keys = [content_key(np.frombuffer(x, enc.kind)) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()), pa.array(keys, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "key", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, key int, ids binary")
 
 
 def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
@@ -60,11 +73,28 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.nda
     return out
 
 
+def dealt_keys(sizes: dict[int, int], shard_tokens: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(key, first shard, shards) of every key with its tokens, and the number of shards: neighbours fill one up, larger keys have their own."""
+    out, shard, room = [], -1, 0
+    for key, n in sorted(sizes.items()):
+        if n > shard_tokens:
+            continue
+        if shard < 0 or n > room:
+            shard, room = shard + 1, shard_tokens
+        out.append((key, shard, 1))
+        room -= n
+    for key, n in sorted(sizes.items()):
+        if n > shard_tokens:
+            out.append((key, shard + 1, -(-n // shard_tokens)))
+            shard += out[-1][2]
+    return out, shard + 1
+
+
 class Shard:
-    """Greedy filling of windows from one shard's documents: arrays of ids, in the order they came."""
+    """Greedy filling of windows from one shard's documents: arrays of ids, in their order."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
-        self.docs, self.window = docs, window
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int | None = QUERY_TERMS):
+        self.docs, self.window, self.query_terms = docs, window, query_terms
         self.full = [(d, at, window) for d, ids in enumerate(docs) for at in range(0, len(ids) - len(ids) % window, window)]
         rest = [(d, len(ids) - len(ids) % window) for d, ids in enumerate(docs) if len(ids) % window]
         self.doc = np.array([d for d, _ in rest], np.int64)
@@ -85,11 +115,16 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.posting_owner, self.posting_weight = owner[order], weight[order]
         self.at = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.held = len(rest)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused pieces that share a query term with the seed, best first (ties: the earlier)."""
+        if (left := int(unused.sum())) < 0.5 * self.held:  # postings of used pieces go from time to time
+            keep = unused[self.posting_owner]
+            self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+            self.posting_owner, self.posting_weight, self.held = self.posting_owner[keep], self.posting_weight[keep], left
         a, b = self.first[seed], self.first[seed + 1]
-        best = np.argsort(-self.weight[a:b], kind="stable")[:QUERY_TERMS]
+        best = np.argsort(-self.weight[a:b], kind="stable")[: self.query_terms]
         score = np.zeros(len(self.left), np.float32)
         for t in self.terms[a:b][best]:
             x, y = self.at[t], self.at[t + 1]
@@ -147,8 +182,8 @@ class Shard:
         return piece
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Pieces of documents in sequences, with their ids (little-endian, unsigned, 32 bits): see PIECES."""
+def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = QUERY_TERMS) -> DataFrame:
+    """Pieces of documents in sequences, with their ids (little-endian, unsigned, 32 bits): see PIECES. query_terms None: all terms of a seed."""
     path = path or default_path()
     scratch = Scratch(spark, "packing")
     tokens = scratch.save(encoded(spark, docs, path, end_id), "tokens")
@@ -157,27 +192,22 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     n, total = n or 0, total or 0
     df = document_frequencies(tokens, kind, size)
     model = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, total / max(1, n))))
-    shards = max(1, -(-total // shard_tokens))
+    dealt, shards = dealt_keys({r.key: r.n for r in tokens.groupBy("key").agg(F.sum("n").alias("n")).collect()}, shard_tokens)  # at most KEYS rows
+    keys = spark.createDataFrame(dealt, "key int, first int, parts int")
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = model.value
-        ids, names = [], []
-        for batch in batches:
-            names += batch.column(0).to_pylist()
-            ids += [np.frombuffer(x.as_py(), kind) for x in batch.column(1)]
-        if not ids:
-            return
-        base, rows = TaskContext.get().partitionId() << 32, []
+    def packed(shard: int, owners: list[int | None], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = []
 
         def out():
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
 
-        for k, pieces in enumerate(Shard(ids, idf, mean, window).sequences()):
+        for k, pieces in enumerate(Shard(ids, *model.value, window, query_terms).sequences()):
             offset = 0
             for d, start, length in pieces:
                 raw = ids[d][start : start + length].astype("<u4").tobytes()
-                rows.append((names[d], start, length, zlib.crc32(raw), len(ids[d]), base + k, offset, raw))
+                rows.append((owners[d], start, length, zlib.crc32(raw), len(ids[d]), (shard << 32) + k, offset, raw))
                 offset += length
             if len(rows) >= 2000:
                 yield out()
@@ -185,8 +215,23 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
         if rows:
             yield out()
 
-    dealt = tokens.repartition(int(shards), F.xxhash64("doc_id", "ids")).select("doc_id", "ids")
-    return dealt.mapInArrow(task, PIECES)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, doc_id, ids) in this order."""
+        now, owners, ids = None, [], []
+        for batch in batches:
+            for shard, owner, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if shard != now:
+                    if ids:
+                        yield from packed(now, owners, ids)
+                    now, owners, ids = shard, [], []
+                owners.append(owner)
+                ids.append(np.frombuffer(raw.as_py(), kind))
+        if ids:
+            yield from packed(now, owners, ids)
+
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")
+    placed = tokens.join(F.broadcast(keys), "key").select(shard.alias("shard"), "doc_id", "ids")
+    return placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(task, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

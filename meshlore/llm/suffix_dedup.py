@@ -12,9 +12,11 @@ for texts of 100,000 bytes and more that is out of reach. So the construction ru
    (the column's Burrows-Wheeler segment) and an update of the common prefixes of neighbours (one more than the least in between, or
    zero). A window repeats just if its common prefix with a neighbour is L or more. Rows come in order from sorted shuffle files and
    go through in bounded collections, a round at a time.
-4. Anchor strings with over HOT different contexts are split by whole windows instead: counts of window hashes, combined before the
+4. Anchor strings with over HOT different contexts are split by whole windows instead: counts of 128-bit window hashes, combined before the
    shuffle.
 
+Contexts meet by the hash of their anchor string and their own, 128 bits in all.
+
 Null texts are empty; matches never cross documents; equal rows count as repeats of one another; texts under L bytes stay whole; an
 empty table gives an empty result; extra columns are left out. Strings are compared on the input, never on what is left.
 """
@@ -277,9 +279,9 @@ def _context_task(length: int, hot: bool):
                 did, rk = row.column(0)[0].as_py(), row.column(1)[0].as_py()
                 if hot:
                     starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(text[j : j + length]) for j in starts.tolist()), np.uint64, len(starts)).view(np.int64)
+                    h = [xxhash.xxh3_128_digest(text[j : j + length]) for j in starts.tolist()]
                     twice = np.repeat(settled, hi - lo + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.where(twice, 2, 1)), pa.array(np.full(len(h), did)), pa.array(np.full(len(h), rk)), pa.array(starts.astype(np.int32))], ["h", "n", "did", "rk", "jlo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(np.where(twice, 2, 1)), pa.array(np.full(len(h), did)), pa.array(np.full(len(h), rk)), pa.array(starts.astype(np.int32))], ["h", "n", "did", "rk", "jlo"])
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k), pa.array(settled), pa.array(np.full(len(k), did)), pa.array(np.full(len(k), rk)), pa.array(p), pa.array(lo), pa.array([bytes(text[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())],
@@ -334,7 +336,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, h
     if n_hot:
         side = F.broadcast(many) if n_hot <= 20_000 else many
         cool = cand.join(side, "k", "left_anti")
-        windows = scratch.save(with_texts(cand.join(side, "k", "left_semi")).mapInArrow(_context_task(length, True), "h long, n long, did long, rk long, jlo int"), "windows")
+        windows = scratch.save(with_texts(cand.join(side, "k", "left_semi")).mapInArrow(_context_task(length, True), "h binary, n long, did long, rk long, jlo int"), "windows")
         twice = windows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
         spans = spans.union(windows.filter("n = 1").join(twice, "h").select("did", "rk", "jlo", (F.col("jlo") + length).alias("jhi")))
     contexts = with_texts(cool).mapInArrow(_context_task(length, False), "k long, settled boolean, did long, rk long, p int, jlo int, bytes binary")

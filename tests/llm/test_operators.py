@@ -192,6 +192,33 @@ def test_packing_is_whole(spark, docs, texts, empty):
     assert set(by_doc) == set(want)
     assert sum(map(len, want.values())) / (128 * len(by_sequence)) > 0.9
     assert packing.pack(spark, empty).count() == 0
+    again = packing.pack(spark, docs.repartition(7, "text"), window=128, shard_tokens=4000)  # whatever the order of arrival
+    assert sorted(map(repr, rows)) == sorted(repr(r.asDict()) for r in again.collect())
+
+
+def test_neighbours_and_keys(spark):
+    """The index against a plain BM25 over all pieces, also after used ones left it; near copies share their key, hot keys are split."""
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 300, rng.integers(5, 60)).astype(np.uint16) for _ in range(80)]
+    idf, mean = rng.random(300) + 0.1, 30.0
+    for terms in (None, 6):
+        shard, unused = packing.Shard(docs, idf, mean, 64, terms), np.ones(80, bool)
+
+        def weights(d):
+            t, n = np.unique(docs[d], return_counts=True)
+            return dict(zip(t.tolist(), idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))))
+
+        for seed in range(60):
+            unused[seed] = False
+            query = sorted(weights(seed).items(), key=lambda x: (-np.float32(x[1]), x[0]))[:terms]
+            score = {d: sum(w.get(t, 0.0) for t, _ in query) for d in range(80) if unused[d] for w in [weights(d)]}
+            want = sorted((d for d, x in score.items() if x), key=lambda d: (-score[d], d))
+            got = shard.neighbours(seed, unused).tolist()
+            assert set(got) == set(want) and [score[d] for d in got] == pytest.approx([score[d] for d in want], rel=1e-5)
+    same = [packing.content_key(np.concatenate([d[:-2], d[-1:] // 2])) == packing.content_key(d) for d in [rng.integers(0, 50_000, 400) for _ in range(200)]]
+    assert np.mean(same) > 0.8
+    assert packing.dealt_keys({1: 5, 2: 6, 3: 25, 4: 4, 9: 1}, 10) == ([(1, 0, 1), (2, 1, 1), (4, 1, 1), (9, 2, 1), (3, 3, 3)], 6)
+    assert packing.dealt_keys({}, 10) == ([], 0)
 
 
 @pytest.mark.parametrize("items_bytes", [decontaminate.ITEMS_BYTES, 300])
