@@ -2,7 +2,8 @@
 
 Each word or run of signs is a token; its unigrams and bigrams fall into 2**18 slots with value count / sqrt(sum of count**2).
 Training runs row by row over a bounded labelled sample (linear.MAX_TRAINING_ROWS); scoring is a sparse dot product.
-Null and empty texts get the intercept's score; repeated rows are scored alike; no labels at all give score 0; extra columns stay.
+Null and empty texts get the intercept's score; repeated rows are scored alike, equal texts (ties) too; a null id is never held out nor labelled;
+no labels at all give score 0; an empty table gives an empty result; texts are read whole; extra columns stay.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").filter(~held_out)
     return quality_scores(spark, docs, labels).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@
 
 A fingerprint bit is 1 if set in over half of the hashes of a text's word shingles. The 64 bits are grouped into partitions of
 correlated bits; a dynamic programme gives each partition its own threshold (-1 leaves it out), so that the thresholds sum to
-tau - m + 1 and the estimated number of candidates is least. If two fingerprints differ in at most tau bits, some partition differs in
+tau - m + 1 and the estimated number of candidates, and of the probes that find them, is least. If two fingerprints differ in at most tau bits, some partition differs in
 at most its threshold; so every fingerprint probes its partitions' values within the thresholds, and candidates are verified.
 
 Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node, however many rows share
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import Scratch, read, ship
 from .components import connected_components
 
 BITS, BUCKET, BLOCK, CHUNK, MANY_HOT = 64, 4096, 2048, 8192, 20_000
+#: What a probe costs, in candidate pairs.
+PROBE = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -191,7 +194,7 @@ def links_within(spark: SparkSession, nodes: DataFrame, scratch: Scratch, tau: i
     """(a, b): links among `nodes` (node, a, b0, b1: written, distinct) that have the same components as all pairs within tau."""
     groups, differ = correlated_partitions(nodes, m)
     home = nodes.select(_probe(groups, [0] * m).alias("p")).groupBy("p.part", "p.val").count()
-    squares = {r.part: float(r.s) for r in home.groupBy("part").agg(F.sum(F.col("count").cast("double") ** 2).alias("s")).collect()}
+    squares = {r.part: (float(r.s), r.n) for r in home.groupBy("part").agg(F.sum(F.col("count").cast("double") ** 2).alias("s"), F.sum("count").alias("n")).collect()}
     costs = []
     for i, bits in enumerate(groups):
         ways = [1.0] + [0.0] * tau  # elementary symmetric sums of the odds that a bit differs
@@ -199,7 +202,8 @@ def links_within(spark: SparkSession, nodes: DataFrame, scratch: Scratch, tau: i
             q = min(differ[b], 0.499)
             for k in range(tau, 0, -1):
                 ways[k] += ways[k - 1] * q / (1 - q)
-        costs.append([squares.get(i, 0.0) * sum(ways[: t + 1]) for t in range(tau + 1)])
+        pairs, n = squares.get(i, (0.0, 0))
+        costs.append([pairs * sum(ways[: t + 1]) + PROBE * max(1, n) * sum(comb(len(bits), k) for k in range(t + 1)) for t in range(tau + 1)])
     thresholds = allocate(costs, tau - m + 1)
     rows = nodes.withColumn("p", _probe(groups, thresholds)).select(F.col("p.part").cast("long").alias("k0"), F.col("p.val").alias("k1"), F.col("p.role").alias("role"), "node", "a", "b0", "b1")
     hot = scratch.save(rows.groupBy("k0", "k1").count().filter(F.col("count") > BUCKET), "hot")

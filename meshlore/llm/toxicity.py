@@ -4,7 +4,8 @@ Words (lower case, of letters and digits), their bigrams and their stems (first
 per text. In every labelled text that names a group, the
 identity terms are swapped for another group's; the squared change of the score enters the loss with weight PAIR_WEIGHT, so that
 naming a group does not move the score. A sample of the other labelled texts gets a neutral mention put in, with the same penalty.
-Null and empty texts get the intercept's score; repeated rows are scored alike; no labels at all give score 0; extra columns stay.
+Null and empty texts get the intercept's score; repeated rows are scored alike, equal texts (ties) too; a null id is never held out nor labelled;
+no labels at all give score 0; an empty table gives an empty result; texts are read whole; extra columns stay.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, max
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").filter(~held_out)
     return toxicity_scores(spark, docs, labels).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
