@@ -34,8 +34,8 @@ TIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CUT = re.compile(r"(?<=[.!?] )|(?<=\n)")
 ROWS = "kind int, k long, did long, rk long, at int, to int, windows binary"
 RUNS = "did long, rk long, at int, to int"
-#: Bytes of a window in a list: its two hashes, number of lines less one, offset.
-SIZE = 24
+#: A window in a list: its two hashes, number of lines less one, offset from the list's first line.
+WINDOW = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("size", "<u4"), ("offset", "<u4")])
 
 
 def lines_of(text: str) -> list[str]:
@@ -70,10 +70,14 @@ def windows(texts: list[list[str]], min_words: int) -> tuple[np.ndarray, ...]:
     there = np.flatnonzero(words > 0)
     ahead = np.searchsorted(total, total[there] + min_words) - 1
     behind = np.searchsorted(total, total[there + 1] - min_words, side="right") - 1
-    on, back = ahead < base[doc[there] + 1], behind >= base[doc[there]]
-    n = len(flat) + 1
-    both = np.unique(np.concatenate([there[on] * n + ahead[on], behind[back] * n + there[back]]))
-    first, last = both // n, both % n
+    until = np.full(len(flat), -1)
+    until[there] = np.where(ahead < base[doc[there] + 1], ahead, -1)
+    more = behind >= base[doc[there]]
+    more[more] = until[behind[more]] != there[more]  # most windows are the shortest from both ends
+    first, last = np.concatenate([np.flatnonzero(until >= 0), behind[more]]), np.concatenate([until[until >= 0], there[more]])
+    if more.any():
+        turn = np.lexsort((last, first))
+        first, last = first[turn], last[turn]
     hashes = []
     for times, turned in zip(TIMES, (h, (h << np.uint64(23)) | (h >> np.uint64(41))), strict=True):
         with np.errstate(over="ignore"):
@@ -87,105 +91,136 @@ def windows(texts: list[list[str]], min_words: int) -> tuple[np.ndarray, ...]:
     return doc[first], first - shift, last - shift, _least(h, first, last), *hashes
 
 
+def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, later): of rows with equal keys, that of the least order and those that differ from it in order; keys[0] is a hash."""
+    turn = np.argsort(keys[0], kind="stable")
+    many = np.zeros(len(turn), bool)
+    many[1:] = keys[0][turn][1:] == keys[0][turn][:-1]
+    many[:-1] |= many[1:]
+    alone, turn = turn[~many], turn[many]
+    turn = turn[np.lexsort([x[turn] for x in [*order[::-1], *keys[::-1]]])]
+    same, equal = np.zeros(len(turn), bool), np.zeros(len(turn), bool)
+    if len(turn):
+        same[1:], equal[1:] = True, True
+        for x in keys:
+            same[1:] &= x[turn][1:] == x[turn][:-1]
+        lead = turn[np.flatnonzero(~same)][np.cumsum(~same) - 1]
+        equal = np.all([x[turn] == x[lead] for x in order], axis=0)
+    return np.concatenate([alone, turn[~same]]), turn[same & ~equal]
+
+
+def _runs(did: np.ndarray, rk: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+    """Overlapping or touching runs of a document as one."""
+    if not len(did):
+        return [did, rk, at, to]
+    turn = np.lexsort((at, rk, did))
+    did, rk, at, to = did[turn], rk[turn], at[turn], to[turn]
+    doc = np.cumsum(np.concatenate([[0], (did[1:] != did[:-1]) | (rk[1:] != rk[:-1])])) << 32
+    reach = np.maximum.accumulate(to + doc)
+    new = np.flatnonzero(np.concatenate([[True], (at + doc)[1:] > reach[:-1]]))
+    return [did[new], rk[new], at[new], (reach - doc)[np.append(new[1:], len(at)) - 1]]
+
+
+def _run_columns(did: np.ndarray, rk: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[pa.Array]:
+    return [pa.array(did, pa.int64()), pa.array(rk, pa.int64()), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32))]
+
+
 def _fingerprint_task(min_words: int):
+    """Documents (did, rk, text) -> ROWS: kind 1, lists of windows of one fingerprint, the first of equal ones; kind 0, runs known to be later."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, known = {c: [] for c in ("k", "did", "rk", "at", "to", "windows")}, {}
-            later = []
+            lists, packed, known = [], [], []
             for start in range(0, batch.num_rows, DOCS_A_TIME):
                 part = batch.slice(start, DOCS_A_TIME)
-                ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
+                did, rk = part.column(0).to_numpy(), part.column(1).to_numpy()
                 doc, first, last, k, h0, h1 = windows([lines_of(x or "") for x in part.column(2).to_pylist()], min_words)
                 if not len(doc):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]))
-                stop = np.append(new[1:], len(doc))
-                group = np.repeat(np.arange(len(new)), stop - new)  # windows that repeat within one list: all but the first are later
-                order = np.lexsort((first, last - first, h1, h0, group))
-                same = np.ones(len(order) - 1, bool)
-                for x in (group, h0, h1, last - first):
-                    same &= x[order][1:] == x[order][:-1]
-                again = order[1:][same]
-                later += [(int(ids[doc[i]]), int(keys[doc[i]]), int(first[i]), int(last[i]) + 1) for i in again.tolist()]
-                hashes = np.stack([h0, h1], 1).astype("<u8").tobytes()
-                sizes, offsets = (x.astype("<u4").tobytes() for x in (last - first, first - first[np.repeat(new, stop - new)]))
-                for a, b in zip(new.tolist(), stop.tolist(), strict=True):
-                    mine, d = hashes[16 * a : 16 * b] + sizes[4 * a : 4 * b] + offsets[4 * a : 4 * b], doc[a]
-                    here = (int(ids[d]), int(keys[d]), int(first[a]), int(last[a:b].max()) + 1)
-                    seen = known.get((kk := int(k[a]), mine))
-                    if here == seen:  # a repeated row
-                        continue
-                    if seen is None or here < seen:
-                        known[kk, mine] = here
-                        here = seen
-                    if here is not None:
-                        later.append(here)
-            for (k, mine), (did, rk, at, to) in known.items():
-                for c, v in zip(rows, (k, did, rk, at, to, mine), strict=True):
-                    rows[c].append(v)
-            merged: list[list[int]] = []
-            for run in sorted(later):
-                if merged and merged[-1][:2] == list(run[:2]) and run[2] <= merged[-1][3]:
-                    merged[-1][3] = max(merged[-1][3], run[3])
-                else:
-                    merged.append(list(run))
-            later = merged
-            n, m = len(rows["k"]), len(later)
-            cols = list(zip(*later, strict=True)) or [()] * 4
-            k = np.array(rows["k"], np.uint64).view(np.int64)
+                size = np.diff(np.append(new, len(doc)))
+                group, at = np.repeat(np.arange(len(new)), size), np.repeat(first[new], size)
+                # windows that repeat within one list: all but the first are later
+                _, again = _firsts([h0 ^ (group.astype(np.uint64) * np.uint64(TIMES[0])), h0, h1, last - first, group], [first])
+                known.append((did[doc[again]], rk[doc[again]], first[again], last[again] + 1))
+                rows = np.empty(len(doc), WINDOW)
+                rows["h0"], rows["h1"], rows["size"], rows["offset"] = h0, h1, last - first, first - at
+                mixed = ((h0 ^ rows["offset"]) + rows["size"]) * np.uint64(TIMES[1])
+                sums = [np.add.reduceat(x, new) for x in (mixed, (mixed ^ (mixed >> np.uint64(32))) * h1)]
+                lists.append((sums[0], sums[1], k[new], did[doc[new]], rk[doc[new]], first[new], np.maximum.reduceat(last, new) + 1, size))
+                packed.append(rows)
+            if not lists:
+                continue
+            sum0, sum1, k, did, rk, at, to, size = (np.concatenate(x) for x in zip(*lists, strict=True))
+            ends = np.concatenate([[0], np.cumsum(size)]) * WINDOW.itemsize
+            every = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(packed))])
+            one, later = _firsts([sum0, sum1, k], [did, rk, at])
+            gone = _runs(*(np.concatenate([*x, y[later]]) for x, y in zip(zip(*known, strict=True), (did, rk, at, to), strict=True)))
+            n, m = len(one), len(gone[0])
+            both = [np.concatenate([x[one], y]) for x, y in zip((did, rk, at, to), gone, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([1] * n + [0] * m, pa.int32()), pa.array(np.concatenate([k, np.zeros(m, np.int64)])), pa.array(rows["did"] + list(cols[0]), pa.int64()),
-                    pa.array(rows["rk"] + list(cols[1]), pa.int64()), pa.array(rows["at"] + list(cols[2]), pa.int32()), pa.array(rows["to"] + list(cols[3]), pa.int32()), pa.array(rows["windows"] + [None] * m, pa.binary()),
-                ],
+                [pa.array(np.repeat([1, 0], [n, m]).astype(np.int32)), pa.array(np.concatenate([k[one].view(np.int64), np.zeros(m, np.int64)])), *_run_columns(*both), pa.concat_arrays([every.take(pa.array(one)), pa.nulls(m, pa.binary())])],
                 [x.split()[0] for x in ROWS.split(", ")],
             )
 
     return task
 
 
-def _windows_in(packed: bytes) -> list[bytes]:
-    """Hashes and size of each window of a list: n times 16 bytes, then n sizes and n offsets of 4."""
-    n = len(packed) // SIZE
-    return [packed[16 * i : 16 * i + 16] + packed[16 * n + 4 * i : 16 * n + 4 * i + 4] for i in range(n)]
+def _unpacked(lists: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Windows of all lists (..., did, rk, at, windows), and their (did, rk, first line)."""
+    packed = lists["windows"].combine_chunks()
+    packed = packed if isinstance(packed, pa.Array) else packed.chunk(0)
+    ends = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4)
+    rows = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(WINDOW)
+    size = np.diff(ends) // WINDOW.itemsize
+    did, rk, at = (np.repeat(lists[c].to_numpy(), size) for c in ("did", "rk", "at"))
+    return rows, [did, rk, at + rows["offset"].astype(np.int64)]
 
 
-def _offsets_in(packed: bytes) -> np.ndarray:
-    n = len(packed) // SIZE
-    return np.frombuffer(packed, "<u4", n, 20 * n).astype(np.int64)
+def _met(lists: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    rows, places = _unpacked(lists)
+    return rows, places, *_firsts([rows[c] for c in ("h0", "h1", "size")], places)
 
 
 def _later_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists (k, did, rk, at, windows) sorted by these: of each fingerprint, windows that an earlier row had."""
-    now, held, seen, before = None, None, None, None
+    """Lists (k, did, rk, at, windows) sorted by k: of each fingerprint, windows that an earlier row had."""
+
+    def later(lists: pa.Table) -> Iterator[pa.RecordBatch]:
+        k = lists["k"].to_numpy()
+        many = np.zeros(len(k), bool)
+        many[1:] = k[1:] == k[:-1]
+        many[:-1] |= many[1:]
+        if many.any():  # most fingerprints have one list
+            rows, (did, rk, first), _, gone = _met(lists.filter(pa.array(many)))
+            if len(gone):
+                merged = _runs(did[gone], rk[gone], first[gone], first[gone] + rows["size"][gone].astype(np.int64) + 1)
+                yield pa.RecordBatch.from_arrays(_run_columns(*merged), [x.split()[0] for x in RUNS.split(", ")])
+
+    held = None
     for batch in batches:
-        out = []
-        for k, did, rk, at, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != now:
-                now, held, seen, before = k, packed, None, (did, rk, at)
-                continue
-            if before == (did, rk, at):  # a repeated row, from another batch
-                continue
-            before = did, rk, at
-            if seen is None:  # most fingerprints have one row; only now its windows matter
-                seen = set(_windows_in(held))
-            for w, offset in zip(_windows_in(packed), _offsets_in(packed).tolist(), strict=True):
-                if w in seen:
-                    out.append((did, rk, at + offset, at + offset + int.from_bytes(w[16:], "little") + 1))
-                else:
-                    seen.add(w)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+        lists = pa.Table.from_batches([batch])
+        lists = lists if held is None else pa.concat_tables([held, lists])
+        k = lists["k"].to_numpy()
+        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+        yield from later(lists.slice(0, cut))
+        held = lists.slice(cut)
+    if held is not None:
+        yield from later(held)
 
 
 def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists (k, did, rk, at, windows) -> a row for each window: (w, did, rk, at, to)."""
+    """Lists (k, did, rk, at, windows) -> (w, did, rk, at, to): the first of a batch's equal windows, with w null runs known to be later."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            _, did, rk, at, packed = (c[row].as_py() for c in batch.columns)
-            w, first = _windows_in(packed), at + _offsets_in(packed)
-            size = np.frombuffer(packed, "<u4", len(w), 16 * len(w))
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(len(w), did)), pa.array(np.full(len(w), rk)), pa.array(first.astype(np.int32)), pa.array((first + size + 1).astype(np.int32))], ["w", "did", "rk", "at", "to"])
+        if not batch.num_rows:
+            continue
+        rows, places, one, gone = _met(pa.Table.from_batches([batch]))
+        to = places[2] + rows["size"].astype(np.int64) + 1
+        merged = _runs(*(x[gone] for x in (*places, to)))
+        names = np.zeros((len(one), 20), np.uint8)
+        names[:] = rows[one].view(np.uint8).reshape(-1, WINDOW.itemsize)[:, :20]
+        w = pa.Array.from_buffers(pa.binary(20), len(one), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
+        both = [np.concatenate([x[one], y]) for x, y in zip((*places, to), merged, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([w, pa.nulls(len(merged[0]), pa.binary())]), *_run_columns(*both)], ["w", *(x.split()[0] for x in RUNS.split(", "))])
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +255,11 @@ def later_runs(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words
     if n_hot:
         side = F.broadcast(hot) if n_hot <= MANY_HOT else hot
         cool = lists.join(side, "k", "left_anti")
-        split = scratch.save(lists.join(side, "k", "left_semi").mapInArrow(_windows_task, "w binary, " + RUNS), "windows")
+        every = scratch.save(lists.join(side, "k", "left_semi").mapInArrow(_windows_task, "w binary, " + RUNS), "windows")
+        split = every.filter("w is not null")
         first = split.groupBy("w").agg(F.min(F.struct("did", "rk", "at")).alias("first"), F.max(F.struct("did", "rk", "at")).alias("final")).filter("first < final")
-        known = known.union(split.join(first.select("w", "first"), "w").filter(F.struct("did", "rk", "at") > F.col("first")).select("did", "rk", "at", "to"))
-    return known.union(cool.repartition("k").sortWithinPartitions("k", "did", "rk", "at").mapInArrow(_later_task, RUNS))
+        known = known.union(every.filter("w is null").drop("w")).union(split.join(first.select("w", "first"), "w").filter(F.struct("did", "rk", "at") > F.col("first")).select("did", "rk", "at", "to"))
+    return known.union(cool.repartition("k").sortWithinPartitions("k").mapInArrow(_later_task, RUNS))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:

@@ -70,10 +70,12 @@ def later_runs(rows):
     """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
     (found,) = line_dedup._fingerprint_task(30)(iter([batch]))
-    order = found.filter(pa.compute.equal(found["kind"], 1)).select(["k", "did", "rk", "at", "windows"])
-    order = order.sort_by([(c, "ascending") for c in ("k", "did", "rk", "at")])
+    order = found.filter(pa.compute.equal(found["kind"], 1)).select(["k", "did", "rk", "at", "windows"]).sort_by("k")
     known = [(r["did"], r["rk"], r["at"], r["to"]) for r in found.to_pylist() if not r["kind"]]
-    return known + [tuple(r.values()) for out in line_dedup._later_task(iter([order])) for r in out.to_pylist()]
+    halves = [order.slice(i, 1) for i in range(order.num_rows)]
+    once = [tuple(r.values()) for out in line_dedup._later_task(iter([order])) for r in out.to_pylist()]
+    assert once == [tuple(r.values()) for out in line_dedup._later_task(iter(halves)) for r in out.to_pylist()]
+    return known + once
 
 
 def test_windows_alike_in_one_hash_differ(monkeypatch):
