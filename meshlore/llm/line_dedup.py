@@ -3,7 +3,7 @@
 A line ends at a line end or at a sentence end (sign and blank), so a passage that stands inside a paragraph has lines of its own. The
 windows of a text are the shortest runs with MIN_WORDS words from each line on, and up to each line. A window's fingerprint is the least
 line hash in it; equal windows have equal fingerprints at equal places, so any run that is repeated shows there. Positions meet by
-fingerprint, and a match extends from it both ways: every window around it is known by 128 bits of its lines in order (and their number), and
+fingerprint, and a match extends from it both ways: every window around it is known by 96 bits of its lines in order and by their number (and meets only those of its fingerprint), and
 a window that occurred earlier (smaller doc_id, then place) is a repeat. All windows of a repeated run of MIN_WORDS words or more cover it from
 end to end, so exactly the lines of such runs go, and the first occurrence stays whole.
 
@@ -35,7 +35,7 @@ CUT = re.compile(r"(?<=[.!?] )|(?<=\n)")
 ROWS = "kind int, k long, did long, rk long, at int, to int, windows binary"
 RUNS = "did long, rk long, at int, to int"
 #: A window in a list: its two hashes, number of lines less one, offset from the list's first line.
-WINDOW = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("size", "<u4"), ("offset", "<u4")])
+WINDOW = np.dtype([("h0", "<u8"), ("h1", "<u4"), ("size", "<u4"), ("offset", "<u4")])
 
 
 def lines_of(text: str) -> list[str]:
@@ -87,6 +87,7 @@ def windows(texts: list[list[str]], min_words: int) -> tuple[np.ndarray, ...]:
             run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(turned * power[:-1])])
             whole = (run[last + 1] - run[first]) * inverse[first]
         hashes.append(whole ^ (whole >> np.uint64(31)))
+    hashes[1] >>= np.uint64(32)
     shift = base[doc[first]]
     return doc[first], first - shift, last - shift, _least(h, first, last), *hashes
 
@@ -216,9 +217,9 @@ def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows, places, one, gone = _met(pa.Table.from_batches([batch]))
         to = places[2] + rows["size"].astype(np.int64) + 1
         merged = _runs(*(x[gone] for x in (*places, to)))
-        names = np.zeros((len(one), 20), np.uint8)
-        names[:] = rows[one].view(np.uint8).reshape(-1, WINDOW.itemsize)[:, :20]
-        w = pa.Array.from_buffers(pa.binary(20), len(one), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
+        names = np.zeros((len(one), 16), np.uint8)
+        names[:] = rows[one].view(np.uint8).reshape(-1, WINDOW.itemsize)[:, :16]
+        w = pa.Array.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
         both = [np.concatenate([x[one], y]) for x, y in zip((*places, to), merged, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([w, pa.nulls(len(merged[0]), pa.binary())]), *_run_columns(*both)], ["w", *(x.split()[0] for x in RUNS.split(", "))])
 
