@@ -1,8 +1,7 @@
 """Packing by lexical retrieval: sequences filled with a seed document's BM25 neighbours.
 
-Documents are encoded once and dealt into shards of about SHARD_TOKENS tokens by content: by the least-hashed of a document's KEY_TERMS largest
-token ids (a byte-pair vocabulary numbers its entries by frequency, so these are its rarest), so that texts which share rare words meet as often as
-they share them, whatever the number of shards. Keys of more than a shard's tokens are split by a hash. Each shard holds an inverted index over
+Documents are encoded once and dealt into shards of about SHARD_TOKENS tokens by content: by the least-hashed of a document's KEY_TERMS
+heaviest terms, so that texts meet as often as they share these, whatever the number of shards. Keys of more than a shard's tokens are split by a hash. Each shard holds an inverted index over
 its pieces, with document frequencies and mean length of the whole corpus (one number for each vocabulary entry, so broadcast whatever the
 corpus). Full-length stretches of long documents are sequences of their own. Of the rest, the longest unused piece is the seed; its
 heaviest terms are the query (QUERY_TERMS of them, or all), and its unused neighbours fill the sequence, best first, as long as they fit; what room
@@ -28,21 +27,29 @@ from .common import Scratch, read, ship
 from .tokens import default_path, encoder
 
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS, MIN_CUT, K1, B = 2048, 1, 3_000_000, 24, 8, 1.2, 0.75
-KEY_TERMS, KEYS = 16, 1 << 16
+KEY_TERMS, KEYS, AT_FIRST = 8, 1 << 16, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def content_key(ids: np.ndarray) -> int:
-    """The least-hashed of the KEY_TERMS largest ids, as a number under KEYS."""
-    terms = np.unique(ids)[-KEY_TERMS:].astype(np.uint64)
-    h = (terms + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, BM25 weights) of a document or piece."""
+    terms, tf = np.unique(ids, return_counts=True)
+    return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32)
+
+
+def content_key(ids: np.ndarray, idf: np.ndarray, mean: float) -> int:
+    """The least-hashed of the KEY_TERMS heaviest terms (ties: the smaller), as a number under KEYS."""
+    terms, w = weights(ids, idf, mean)
+    if len(w) > KEY_TERMS:
+        terms = terms[w >= np.partition(w, len(w) - KEY_TERMS)[len(w) - KEY_TERMS]][:KEY_TERMS]
+    h = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     least = int((h ^ (h >> np.uint64(31))).min())
     return least * 0xD6E8FEB86659FD93 % (1 << 64) >> 48
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, key, ids): the text's ids and the end id, as little-endian numbers of the vocabulary's width."""
+    """(doc_id, n, ids): the text's ids and the end id, as little-endian numbers of the vocabulary's width."""
     ship(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +59,9 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> Dat
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [enc.encode(x.as_py() or "") + end for x in part.column(1)]
-                keys = [content_key(np.frombuffer(x, enc.kind)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()), pa.array(keys, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, key int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, ids binary")
 
 
 def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
@@ -100,16 +106,15 @@ class Shard:
         self.doc = np.array([d for d, _ in rest], np.int64)
         self.start = np.array([s for _, s in rest], np.int64)
         self.left = np.array([len(docs[d]) - s for d, s in rest], np.int64)
-        terms, owners, counts = [], [], []
+        terms, owners, heavy = [], [], []
         for i, (d, s) in enumerate(rest):
-            t, n = np.unique(docs[d][s:], return_counts=True)
+            t, w = weights(docs[d][s:], idf, mean)
             terms.append(t)
-            counts.append(n)
+            heavy.append(w)
             owners.append(np.full(len(t), i, np.int32))
         if not rest:
             return
-        terms, owner, tf = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts).astype(np.float32)
-        weight = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.left[owner] / mean))).astype(np.float32)
+        terms, owner, weight = np.concatenate(terms), np.concatenate(owners), np.concatenate(heavy)
         self.first = np.searchsorted(owner, np.arange(len(rest) + 1))
         self.terms, self.weight = terms, weight
         order = np.argsort(terms, kind="stable")
@@ -117,8 +122,8 @@ class Shard:
         self.at = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.held = len(rest)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a query term with the seed, best first (ties: the earlier)."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """Unused pieces that share a query term with the seed, best first (ties: the earlier), in a short array and one of the rest."""
         if (left := int(unused.sum())) < 0.5 * self.held:  # postings of used pieces go from time to time
             keep = unused[self.posting_owner]
             self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
@@ -130,7 +135,10 @@ class Shard:
             x, y = self.at[t], self.at[t + 1]
             score[self.posting_owner[x:y]] += self.posting_weight[x:y]
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        s = score[found]
+        best = s >= np.partition(s, len(s) - AT_FIRST)[len(s) - AT_FIRST] if len(s) > AT_FIRST else np.ones(len(s), bool)
+        yield found[best][np.argsort(-s[best], kind="stable")]
+        yield found[~best][np.argsort(-s[~best], kind="stable")]
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, start, length)."""
@@ -149,18 +157,23 @@ class Shard:
             out, room = [self._take(seed, int(self.left[seed]))], self.window
             room -= out[0][2]
             if room >= MIN_CUT:
-                near = self.neighbours(seed, unused)
                 over = -1
-                for i in near.tolist():
-                    n = int(self.left[i])
-                    if n <= room:
-                        out.append(self._take(i, n))
-                        unused[i] = False
-                        room -= n
-                        if room < MIN_CUT:
-                            break
-                    elif over < 0:
-                        over = i
+                for near in self.neighbours(seed, unused):
+                    at_near = 0
+                    while room >= MIN_CUT and at_near < len(near):
+                        fit = self.left[near[at_near:]] <= room
+                        step = int(fit.argmax()) if fit.any() else len(fit)
+                        if step and over < 0:  # the best that doesn't fit
+                            over = int(near[at_near])
+                        at_near += step
+                        if at_near < len(near):
+                            i = int(near[at_near])
+                            out.append(self._take(i, int(self.left[i])))
+                            unused[i] = False
+                            room -= out[-1][2]
+                            at_near += 1
+                    if room < MIN_CUT:
+                        break
                 while room >= MIN_CUT:
                     if over < 0:
                         while at < len(by_length) and not unused[by_length[at]]:
@@ -192,7 +205,23 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     n, total = n or 0, total or 0
     df = document_frequencies(tokens, kind, size)
     model = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, total / max(1, n))))
-    dealt, shards = dealt_keys({r.key: r.n for r in tokens.groupBy("key").agg(F.sum("n").alias("n")).collect()}, shard_tokens)  # at most KEYS rows
+
+    def key_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(KEYS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                ids = np.frombuffer(x.as_buffer(), kind)
+                out[content_key(ids, *model.value)] += len(ids)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["key", "n"])
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [content_key(np.frombuffer(x.as_buffer(), kind), *model.value) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["doc_id", "ids", "key"])
+
+    sizes = tokens.select("ids").mapInArrow(key_sizes, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most KEYS rows
+    dealt, shards = dealt_keys({r.key: r.n for r in sizes}, shard_tokens)
     keys = spark.createDataFrame(dealt, "key int, first int, parts int")
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -230,7 +259,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
             yield from packed(now, owners, ids)
 
     shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")
-    placed = tokens.join(F.broadcast(keys), "key").select(shard.alias("shard"), "doc_id", "ids")
+    placed = tokens.select("doc_id", "ids").mapInArrow(with_key, "doc_id long, ids binary, key int").join(F.broadcast(keys), "key").select(shard.alias("shard"), "doc_id", "ids")
     return placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(task, PIECES)
 
 

@@ -1,22 +1,18 @@
-"""Byte-level BPE encoding with a word cache: the same ids as the tokenizer gives, at the cost of a dictionary look-up a word.
+"""Byte-level BPE encoding by merge ranks: the same ids as the tokenizer gives.
 
-The pre-tokenizer never lets a piece run over a single blank between two other characters, and puts that blank before what follows it.
-So a text can be cut at its blanks; each part is encoded on its own, with its blank, and parts that come again are looked up.
-Texts with runs of blanks, special tokens or other spaces than line ends go to the tokenizer whole.
+Where a vocabulary's ids are its merge ranks, texts are cut by the byte-level pattern and merged by rank, which is the same and faster; texts that hold
+one of its added tokens, and other vocabularies, go to the tokenizer.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import sys
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Spaces besides the blank and the line end, on which the parts' ends could depend.
-OTHER_SPACE = re.compile("[\\s\u2000-\u200b\u3000]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -27,24 +23,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """part (without its leading blank) -> its ids as little-endian `kind`; emptied when it gets large."""
-
-    LIMIT = 400_000
+class Encoder:
+    """text -> its ids as little-endian `kind`."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.piece = None
-        self.short = self._ranked(path) or (lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids)
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.line_end = self._packed(self.short("\n"))
-        self.signs = {c: self._packed(self.short(c)) for c in ",."}
+        self.ranked = self._ranked(path)
 
     def _packed(self, ids: list[int]) -> bytes:
         found = array(self.code, ids)
@@ -53,7 +43,7 @@ class Encoder(dict):
         return found.tobytes()
 
     def _ranked(self, path: str):
-        """The same encoding by merge ranks, faster on short texts; None where ids aren't ranks."""
+        """The encoding by merge ranks; None where ids aren't ranks."""
         import tiktoken
 
         model, letter = json.load(open(path))["model"], byte_letters()
@@ -61,39 +51,12 @@ class Encoder(dict):
         if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
             return None
         ranks = {bytes(letter[c] for c in w): i for w, i in vocab.items() if w not in self.added}
-        found = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = getattr(getattr(found, "_core_bpe", None), "encode_single_piece", None)
-        return found.encode_ordinary
-
-    def __missing__(self, part: str) -> bytes:
-        if part[0] == "\n":
-            found = self.line_end + self._packed(self.short(part[1:]))
-        elif part.isalpha():
-            found = self._packed(self.piece((" " + part).encode()) if self.piece else self.short(" " + part))
-        elif part[-1] in self.signs and part[:-1].isalpha():  # letters and a sign are two pieces
-            found = self[part[:-1]] + self.signs[part[-1]]
-        else:
-            found = self._packed(self.short(" " + part))
-        if len(part) < 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[part] = found
-        return found
-
-    def _plain(self, text: str) -> bool:
-        """Every space is a single blank or line end between two other characters."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return False
-        bare = text.replace(" ", "").replace("\n", "")
-        return (bare.isalnum() or not OTHER_SPACE.search(bare)) and not any(t in text for t in self.added)
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self._plain(text):
+        if self.ranked is None or any(t in text for t in self.added):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._packed(self.short(first)) + b"".join(map(self.__getitem__, rest))
+        return self._packed(self.ranked(text))
 
 
 @lru_cache(maxsize=2)

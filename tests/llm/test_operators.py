@@ -171,6 +171,13 @@ def test_encoder_equals_tokenizer(texts):
     odd = [" a", "a ", "a  b", "x\n\ny z", "x \ny", "it's 's", "a\xa0b c", "<|endoftext|> z", "é ²³ x½ ", "ab_cd !!! 12ab", "\n", " ", "a\n\n\n b", "\n a", "x, y. z,\nB", "\x1c a", "日本 語"]
     for t in [*odd, *filter(None, texts)]:
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    rng = random.Random(1)
+    spaces = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", *(chr(x) for x in [0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])]
+    bits = ["a", "the", "Don't", "'s", "'ll", "x", "123", "½", "²", "é", "日本", "ß", "!!", "...", "—", "🙂", "_", "a_b", "<|endoftext", "<|endoftext|>", "İ", "ſ", "ﬁ", "\x00", "\u0301"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) if rng.random() < 0.6 else rng.choice(spaces) for _ in range(rng.randint(1, 14)))
+        t += "".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x1F000)])) for _ in range(rng.randint(0, 3)))
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_packing_is_whole(spark, docs, texts, empty):
@@ -213,10 +220,11 @@ def test_neighbours_and_keys(spark):
             query = sorted(weights(seed).items(), key=lambda x: (-np.float32(x[1]), x[0]))[:terms]
             score = {d: sum(w.get(t, 0.0) for t, _ in query) for d in range(80) if unused[d] for w in [weights(d)]}
             want = sorted((d for d, x in score.items() if x), key=lambda d: (-score[d], d))
-            got = shard.neighbours(seed, unused).tolist()
+            got = np.concatenate(list(shard.neighbours(seed, unused))).tolist()
             assert set(got) == set(want) and [score[d] for d in got] == pytest.approx([score[d] for d in want], rel=1e-5)
-    same = [packing.content_key(np.concatenate([d[:-2], d[-1:] // 2])) == packing.content_key(d) for d in [rng.integers(0, 50_000, 400) for _ in range(200)]]
-    assert np.mean(same) > 0.8
+    rare = rng.random(50_000) + 1
+    key = lambda d: packing.content_key(d, rare, 400.0)
+    assert np.mean([key(np.concatenate([d[:-2], d[-1:] // 2])) == key(d) for d in [rng.integers(0, 50_000, 400) for _ in range(200)]]) > 0.8
     assert packing.dealt_keys({1: 5, 2: 6, 3: 25, 4: 4, 9: 1}, 10) == ([(1, 0, 1), (2, 1, 1), (4, 1, 1), (9, 2, 1), (3, 3, 3)], 6)
     assert packing.dealt_keys({}, 10) == ([], 0)
 
