@@ -86,3 +86,11 @@ def call_counts(log: DataFrame, starts: Column, step: Column, clues: Column, mos
     strict = F.when(F.col("s") == most_steps, 1).otherwise(0).cast("long")
     per_step = [F.col("s").alias(n) for n in ("entities_extractor", "clueanswers_summarizer", "answer_classify")]
     return s.select("log", "question", *per_step, (F.col("s") - 1).alias("searchplan_enhance_classify"), (F.col("s") - 1).alias("plan_enhancing"), F.col("c").alias("cluequeries_generator"), F.col("c").alias("clueanswer_generator"), F.lit(1).cast("long").alias("plan_initialing"), strict.alias("strict_answer_gen"), (1 - strict).alias("casual_answer_gen"))
+
+
+def token_sums(calls: DataFrame, means: DataFrame) -> DataFrame:
+    """(task, calls, prompt_tokens, generated_tokens): calls of each task (its columns of `call_counts`) times means (task, prompt_tokens, generated_tokens)."""
+    names = [c for c in calls.columns if c not in ("log", "question")]
+    total = calls.agg(*[F.sum(c).alias(c) for c in names])
+    each = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("task"), F.col(c).alias("calls")) for c in names])).alias("x")).select("x.*")
+    return each.join(means, "task").select("task", "calls", *[F.round(F.col("calls") * F.col(c), 3).alias(c) for c in ("prompt_tokens", "generated_tokens")])

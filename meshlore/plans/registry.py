@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlore.functions import ids, parsers
-from meshlore.operators import astar, corpus, graph, memory, retrieval, tasks, theses
-from meshlore.plans.tables import graph_sql, read, saver, triplets
+from meshlore.functions import embeddings, ids, parsers
+from meshlore.functions.embeddings import hashed
+from meshlore.operators import astar, chains, corpus, graph, knowledge, memory, reasoning, retrieval, retrievers, tasks, theses, trees
+from meshlore.operators.retrieval import dot
+from meshlore.plans.tables import bm25_sql, embed_sql, graph_sql, questions, read, retrieval_sql, saver, stored, triplets
+from meshlore.plans.tables import vectors as graph_vectors
+from meshlore.sources.index import Composer, LexicalIndex, VectorIndex
+from meshlore.sources.parquet import Store, Workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +29,10 @@ def query(sql: str | None = None):
     return add
 
 
+def new_root(spark: SparkSession, label: str) -> str:
+    return Workspace(spark, label).root
+
+
 def frontier(t: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nations."""
     return read(spark, sf_dir, "nation").select(F.concat(F.lit("object:"), F.md5("n_name")).alias("a"))
@@ -41,32 +50,32 @@ def g1_create(spark, sf_dir):
 
 @query(graph_sql("SELECT r_type, count(*)::BIGINT n FROM t GROUP BY r_type"))
 def g2_idempotent_create(spark, sf_dir):
-    store = triplets(spark, sf_dir, episodes=False)
-    return graph.create(store, triplets(spark, sf_dir)).groupBy("r_type").agg(F.count("*").alias("n"))
+    t = triplets(spark, sf_dir)
+    return graph.create(t.filter("r_type = 'simple'"), t).groupBy("r_type").agg(F.count("*").alias("n"))
 
 
-@query(graph_sql("SELECT t_id, stringified, r_id FROM t WHERE t_id IN (SELECT t_id FROM t WHERE r_name IN ('in region', 'based in'))", False))
+@query(graph_sql("SELECT t_id, stringified, r_id FROM t WHERE t_id IN (SELECT t_id FROM t WHERE r_name IN ('in region', 'based in'))"))
 def g3_read_by_ids(spark, sf_dir):
-    t = triplets(spark, sf_dir, episodes=False)
+    t = triplets(spark, sf_dir)
     return graph.read_by_ids(t, t.filter(F.col("r_name").isin("in region", "based in"))).select("t_id", "stringified", "r_id")
 
 
-@query(graph_sql("SELECT r_name, count(*)::BIGINT n FROM t WHERE r_name <> 'lives in' GROUP BY r_name", False))
+@query(graph_sql("SELECT r_name, count(*)::BIGINT n FROM t WHERE r_name <> 'lives in' GROUP BY r_name"))
 def g5_delete(spark, sf_dir):
-    t = triplets(spark, sf_dir, episodes=False)
+    t = triplets(spark, sf_dir)
     return graph.delete(t, t.filter("r_name = 'lives in'")).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
 @query(graph_sql("""SELECT t_id, NOT EXISTS (SELECT 1 FROM ln WHERE ln.id = s_id AND ln.type = s_type) s_node, NOT EXISTS (SELECT 1 FROM ln WHERE ln.id = e_id AND ln.type = e_type) e_node,
- r_id NOT IN (SELECT r_id FROM l) triplet FROM t WHERE r_name = 'lives in'""", False, ", l AS (SELECT * FROM t WHERE r_name <> 'lives in'), ln AS (SELECT s_type type, s_id id FROM l UNION SELECT e_type, e_id FROM l)\n"))
+ r_id NOT IN (SELECT r_id FROM l) triplet FROM t WHERE r_name = 'lives in'""", ", l AS (SELECT * FROM t WHERE r_name <> 'lives in'), ln AS (SELECT s_type type, s_id id FROM l UNION SELECT e_type, e_id FROM l)\n"))
 def g6_orphan_delete(spark, sf_dir):
-    t = triplets(spark, sf_dir, episodes=False)
+    t = triplets(spark, sf_dir)
     return graph.deletion_flags(t, t.filter("r_name = 'lives in'"))
 
 
 @query(graph_sql("SELECT type, id, name FROM nodes WHERE type = 'object' AND name = 'NATION_2'"))
 def g7_read_by_name(spark, sf_dir):
-    return graph.read_by_name(triplets(spark, sf_dir), F.lit("object"), F.lit("NATION_2"))
+    return graph.read_by_name(triplets(spark, sf_dir), "object", "NATION_2")
 
 
 @query(graph_sql(f"SELECT DISTINCT a, b, b_type, b_name FROM u WHERE {IN_NATION} AND b_type = 'object'"))
@@ -122,16 +131,16 @@ _HOPS = """, h(seed, b, hop, d) AS (SELECT 'object:' || md5(r_name), 'object:' |
 """
 
 
-@query(graph_sql("SELECT seed, b, min(hop)::INT hop FROM h GROUP BY seed, b", False, _HOPS.format(n=3)))
+@query(graph_sql("SELECT seed, b, min(hop)::INT hop FROM h GROUP BY seed, b", _HOPS.format(n=3)))
 def t6_hop_distance(spark, sf_dir):
     seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("object:"), F.md5("r_name")).alias("seed"))
-    return graph.hops(triplets(spark, sf_dir, episodes=False), seeds, 3, saver(spark, "hops"))
+    return graph.hops(triplets(spark, sf_dir), seeds, 3, saver(spark, "hops"))
 
 
-@query(graph_sql("SELECT hop, count(*)::BIGINT n FROM (SELECT seed, b, min(hop)::INT hop FROM h GROUP BY seed, b) GROUP BY hop", False, _HOPS.format(n=4)))
+@query(graph_sql("SELECT hop, count(*)::BIGINT n FROM (SELECT seed, b, min(hop)::INT hop FROM h GROUP BY seed, b) GROUP BY hop", _HOPS.format(n=4)))
 def g16_path_lengths(spark, sf_dir):
     seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("object:"), F.md5("r_name")).alias("seed"))
-    return graph.hops(triplets(spark, sf_dir, episodes=False), seeds, 4, saver(spark, "paths")).groupBy("hop").agg(F.count("*").alias("n"))
+    return graph.hops(triplets(spark, sf_dir), seeds, 4, saver(spark, "paths")).groupBy("hop").agg(F.count("*").alias("n"))
 
 
 @query(graph_sql("SELECT s_type, r_type, e_type, count(*)::BIGINT n FROM t GROUP BY ALL"))
@@ -139,49 +148,214 @@ def g17_health(spark, sf_dir):
     return graph.health(triplets(spark, sf_dir))
 
 
-@query(graph_sql("SELECT type, count(*)::BIGINT n_graph, count(*)::BIGINT n_vectors, true consistent FROM nodes GROUP BY type UNION ALL SELECT 'triplet', count(*), count(DISTINCT r_id), count(DISTINCT r_id) <= count(*) FROM t"))
+#: A second store that lacks vectors: of nodes whose id starts with 0, of relations whose id starts with 1.
+_HELD = """, held AS (SELECT type, id FROM nodes WHERE id NOT LIKE '0%' UNION ALL SELECT DISTINCT 'triplet', r_id FROM t WHERE r_id NOT LIKE '1%'),
+ have AS (SELECT type, id FROM nodes UNION ALL SELECT DISTINCT 'triplet', r_id FROM t), cov AS (SELECT coalesce(a.type, b.type) type, a.id g, b.id v FROM have a FULL JOIN held b ON a.type = b.type AND a.id = b.id)
+"""
+
+
+def held_vectors(spark, sf_dir):
+    first = F.when(F.col("type") == "triplet", "1").otherwise("0")
+    return graph_vectors(spark, sf_dir).select("type", "id").filter(F.substring("id", 1, 1) != first)
+
+
+@query(graph_sql("SELECT c.type, CASE WHEN c.type = 'triplet' THEN (SELECT count(*) FROM t) ELSE n_graph END n_graph, n_vectors, CASE WHEN c.type = 'triplet' THEN n_vectors <= (SELECT count(*) FROM t) ELSE n_vectors = n_graph END consistent FROM (SELECT type, count(g) n_graph, count(v) n_vectors FROM cov GROUP BY type) c", _HELD))
 def g18_consistency(spark, sf_dir):
+    return graph.consistent(triplets(spark, sf_dir), held_vectors(spark, sf_dir))
+
+
+@query(graph_sql("SELECT type, count(g) n_graph, count(v) n_vectors, count(*) FILTER (g IS NOT NULL AND v IS NOT NULL) matched, count(*) FILTER (v IS NULL) only_graph, count(*) FILTER (g IS NULL) only_vectors FROM cov GROUP BY type", _HELD))
+def g23_coverage(spark, sf_dir):
+    return graph.coverage(triplets(spark, sf_dir), held_vectors(spark, sf_dir))
+
+
+@query(graph_sql("""SELECT source, relation, target, count(*) n_targets, min(n) "min", max(n) "max", round(avg(n), 3) mean, round(median(n)::DOUBLE, 3) median, round(stddev_pop(n), 3) std FROM (SELECT source, relation, target, b, count(DISTINCT a) n FROM pairs GROUP BY ALL) GROUP BY source, relation, target""",
+                 ", p0 AS (SELECT DISTINCT split_part(a, ':', 1) source, a, r_type relation, b_type target, b FROM u), pairs AS (SELECT * FROM p0 UNION SELECT 'any', a, 'any', 'any', b FROM p0)\n"))
+def g20_neighbour_counts(spark, sf_dir):
+    return graph.neighbour_counts(triplets(spark, sf_dir))
+
+
+@query(graph_sql("""SELECT unnest(['edges_per_node', 'episodic_per_hyper', 'objects_per_episodic', 'objects_per_hyper']) ratio, unnest([round(e / n, 3), round(ep / hy, 3), round(ob / ep, 3), round(ob / hy, 3)]) AS "value"
+ FROM (SELECT (SELECT count(*) FROM t)::DOUBLE e, count(*)::DOUBLE n, (count(*) FILTER (type = 'episodic'))::DOUBLE ep, (count(*) FILTER (type = 'hyper'))::DOUBLE hy, (count(*) FILTER (type = 'object'))::DOUBLE ob FROM nodes)"""))
+def g20_ratios(spark, sf_dir):
+    return graph.node_ratios(triplets(spark, sf_dir))
+
+
+@query()
+def g21_components(spark, sf_dir):
+    return graph.component_sizes(triplets(spark, sf_dir), saver(spark, "components"))
+
+
+@query(graph_sql("""SELECT what, type, count(*) n, min(x) "min", max(x) "max", round(avg(x), 3) mean, round(median(x)::DOUBLE, 3) median, round(stddev_pop(x), 3) std FROM (SELECT 'node' what, type, length(name)::INT x FROM nodes UNION ALL SELECT 'relation', r_type, length(stringified)::INT FROM (SELECT DISTINCT r_type, r_id, stringified FROM t)) GROUP BY what, type"""))
+def g22_text_lengths(spark, sf_dir):
+    return graph.text_lengths(triplets(spark, sf_dir))
+
+
+@query(graph_sql("SELECT r_id id, count(*) n FROM t WHERE r_id IN (SELECT md5(text) FROM benchmark) GROUP BY r_id"))
+def g13_copies(spark, sf_dir):
+    return graph.copies(triplets(spark, sf_dir), "relation", read(spark, sf_dir, "benchmark").select(F.md5("text").alias("id")))
+
+
+@query(graph_sql("SELECT t_id, s_name, e_name FROM t WHERE r_type = 'simple' AND r_name = 'based in'"))
+def g7_relations_by_name(spark, sf_dir):
+    return graph.relations_by_name(triplets(spark, sf_dir), "simple", "based in").select("t_id", "s_name", "e_name")
+
+
+@query(graph_sql("SELECT type, count(*) n FROM nodes WHERE type || ':' || id NOT IN (SELECT s_type || ':' || s_id FROM t WHERE r_name = 'lives in') GROUP BY type UNION ALL SELECT 'triplet', count(*) FROM t WHERE r_name <> 'lives in'"))
+def g5_delete_with_info(spark, sf_dir):
+    """Customers go with their triplets; nations are flagged to stay."""
+    t = triplets(spark, sf_dir)
+    gone = t.filter("r_name = 'lives in'").select("t_id", F.lit(True).alias("s_node"), F.lit(False).alias("e_node"))
+    n, left = graph.delete_with_info(graph.nodes(t), t, gone)
+    return n.groupBy("type").agg(F.count("*").alias("n")).union(left.agg(F.lit("triplet"), F.count("*")))
+
+
+@query(graph_sql("SELECT 'node' what, type, count(*) n FROM ln2 GROUP BY type UNION ALL SELECT 'vector', type, count(*) FROM ln2 GROUP BY type UNION ALL SELECT 'vector', 'triplet', count(DISTINCT r_id) FROM l",
+                 ", l AS (SELECT * FROM t WHERE r_name <> 'supplied by'), ln2 AS (SELECT s_type type, s_id id FROM l UNION SELECT e_type, e_id FROM l)\n"))
+def g19_add_and_remove(spark, sf_dir):
+    """All triplets are added twice, with their vectors, and those of supplied parts removed again."""
     t = triplets(spark, sf_dir)
-    n = graph.nodes(t)
-    g, v = n.groupBy("type").agg(F.count("*").alias("n_graph")), n.dropDuplicates(["type", "id"]).groupBy("type").agg(F.count("*").alias("n_vectors"))
-    x = g.join(v, "type").select("type", "n_graph", "n_vectors", (F.col("n_graph") == F.col("n_vectors")).alias("consistent"))
-    return x.union(t.agg(F.lit("triplet").alias("type"), F.count("*").alias("n_graph"), F.count_distinct("r_id").alias("n_vectors")).withColumn("consistent", F.col("n_vectors") <= F.col("n_graph")))
+    store = knowledge.Knowledge(spark, new_root(spark, "knowledge"), hashed)
+    store.add(t)
+    store.add(t.filter("r_type = 'simple'"))
+    store.remove(t.filter("r_name = 'supplied by'").select("t_id"))
+    n = graph.nodes(store.triplets.read()).groupBy(F.lit("node").alias("what"), "type").agg(F.count("*").alias("n"))
+    return n.union(store.vectors.read().groupBy(F.lit("vector").alias("what"), "type").agg(F.count("*").alias("n")))
 
 
 # traversal
-@query()
-def t2_bfs(spark, sf_dir):
-    seeds = read(spark, sf_dir, "nation").select(F.concat(F.lit("object:"), F.md5("n_name")).alias("seed"))
-    return graph.bfs(triplets(spark, sf_dir, episodes=False), seeds, 3, 10, saver(spark, "bfs"))
+def nation_seeds(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("object:"), F.md5("n_name")).alias("seed"))
+
+
+def question_nodes(spark, sf_dir):
+    """(query_id, seed): a question's nation, and that seven numbers on."""
+    n = read(spark, sf_dir, "nation")
+    both = n.select(F.col("n_nationkey").alias("query_id"), "n_name").union(n.select(F.pmod(F.col("n_nationkey") - 7, F.lit(25)), "n_name"))
+    return both.select("query_id", F.concat(F.lit("object:"), F.md5("n_name")).alias("seed"))
 
 
-def relation_scores(t, seeds):
-    """A fixed similarity in (0, 1] from the relation id."""
-    s = (F.pmod(F.crc32(F.col("r_id").cast("binary")), F.lit(97)) + 1) / 98
-    return seeds.join(t.select("r_id").distinct()).select("seed", "r_id", s.alias("s"))
+@query()
+def t2_bfs(spark, sf_dir):
+    return graph.bfs(triplets(spark, sf_dir), nation_seeds(spark, sf_dir), 3, 10, saver(spark, "bfs"))
 
 
 @query()
 def t3_beam(spark, sf_dir):
-    t = triplets(spark, sf_dir, episodes=False)
-    seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("object:"), F.md5("r_name")).alias("seed"))
-    return graph.beam(t, seeds, relation_scores(t, seeds), 3, 10, 0.75, saver(spark, "beam")).select("seed", F.concat_ws(",", "t_ids").alias("t_ids"), F.round("cost", 6).alias("cost"))
+    t, q = triplets(spark, sf_dir), questions(spark, sf_dir)
+    seeds = question_nodes(spark, sf_dir).select(F.concat_ws("|", F.col("query_id").cast("string"), "seed").alias("seed"), F.col("seed").alias("start"))
+    found = graph.beam(t, seeds, retrievers.similarity(graph_vectors(spark, sf_dir), q), 3, 10, 0.75, saver(spark, "beam"), 0.1, False, False)
+    return found.select("seed", F.concat_ws(",", "t_ids").alias("t_ids"), F.round("cost", 6).alias("cost"), "ended")
 
 
 @query()
 def t4_astar(spark, sf_dir):
-    t = triplets(spark, sf_dir, episodes=False).filter("r_name in ('in region', 'based in')")
-    seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("object:"), F.md5("r_name")).alias("seed"))
-    edges = graph.undirected(t).select("a", "b").distinct()
-    near = graph.hops(t, seeds, 2, saver(spark, "astar"))
-    pairs = near.filter("hop = 2").select(F.col("seed").alias("start"), F.col("b").alias("goal"))
-    return astar.astar(edges, pairs, near.select("seed", "b")).select("start", "goal", F.concat_ws(",", "path").alias("path"))
+    """Paths between each question's nations over the whole graph, by the similarity heuristic, 25 neighbours of a node at most."""
+    t = triplets(spark, sf_dir)
+    v = graph_vectors(spark, sf_dir).filter("type <> 'triplet'").select(F.col("key").alias("id"), "embedding")
+    pairs = astar.seed_pairs(question_nodes(spark, sf_dir))
+    paths = astar.astar(graph.undirected(t).select("a", "b").distinct(), pairs, saver(spark, "astar"), v, "ip")
+    return paths.select("start", "goal", F.concat_ws(",", "path").alias("path"))
+
+
+_TWO = "SELECT n_nationkey query_id, 'object:' || md5(n_name) seed FROM nation UNION ALL SELECT (n_nationkey + 18) % 25, 'object:' || md5(n_name) FROM nation"
+
+
+@query(graph_sql("""SELECT a.query_id, x.a AS node, round(CASE WHEN x.a = 'object:' || md5(m.n_name) THEN 0 ELSE 1 - list_inner_product(e.emb, g.emb) END, 6) h FROM two a JOIN u x ON x.b = a.seed JOIN nation m ON m.n_nationkey = (a.query_id + 7) % 25 JOIN e ON e.key = x.a JOIN e g ON g.key = 'object:' || md5(m.n_name) WHERE x.r_type = 'simple' GROUP BY ALL""",
+                 f", two AS ({_TWO}), {embed_sql('e', 'SELECT type || chr(58) || id AS key, name AS text FROM nodes')}\n"))
+def t5_heuristic(spark, sf_dir):
+    """Distance by vectors of the neighbours of a question's nodes to its second nation."""
+    n = read(spark, sf_dir, "nation").select(F.pmod(F.col("n_nationkey") - 7, F.lit(25)).alias("query_id"), F.concat(F.lit("object:"), F.md5("n_name")).alias("goal"))
+    near = graph.undirected(triplets(spark, sf_dir)).filter("r_type = 'simple'").select(F.col("a").alias("node"), F.col("b").alias("seed"))
+    rows = question_nodes(spark, sf_dir).join(near, "seed").select("query_id", "node").distinct().join(n, "query_id")
+    v = graph_vectors(spark, sf_dir).select("key", "embedding")
+    rows = rows.join(v.select(F.col("key").alias("node"), F.col("embedding").alias("va")), "node").join(v.select(F.col("key").alias("goal"), F.col("embedding").alias("vb")), "goal")
+    return rows.select("query_id", "node", F.round(astar.heuristic("ip", astar.apart("node", "goal", "va", "vb"), F.lit(0.0), F.lit(0)), 6).alias("h"))
+
+
+@query(graph_sql("""SELECT query_id, node FROM (SELECT query_id, b node, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(e.emb, g.emb), 9) DESC, b) r FROM (SELECT DISTINCT n_nationkey query_id, b, 'object:' || md5(n_name) goal FROM u JOIN nation ON u.a = 'object:' || md5(n_name)) x JOIN e ON e.key = x.b JOIN e g ON g.key = x.goal) WHERE r <= 25""",
+                 f", {embed_sql('e', 'SELECT type || chr(58) || id AS key, name AS text FROM nodes')}\n"))
+def t8_capped_adjacency(spark, sf_dir):
+    """The 25 neighbours of each nation that are most similar to it."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("object:"), F.md5("n_name")).alias("a"))
+    v = graph_vectors(spark, sf_dir).select("key", "embedding")
+    near = graph.undirected(triplets(spark, sf_dir)).select("a", "b").distinct().join(n, "a").join(v.select(F.col("key").alias("b"), F.col("embedding").alias("vb")), "b").join(v.select(F.col("key").alias("a"), F.col("embedding").alias("va")), "a")
+    return astar.closest(near.withColumn("score", F.round(dot("vb", "va"), 9)), ["query_id"], "score", 25).select("query_id", F.col("b").alias("node"))
+
+
+# retrievers over the whole graph
+_FUSE = """, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, f, id) AS rank FROM (SELECT query_id, id, sum(w / (rank + 60)) score, min(list * 1000000 + rank) f FROM
+ (SELECT query_id, id, rank, 0 list, 0.7::DOUBLE w FROM dense WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 1, 0.3::DOUBLE FROM bm WHERE rank <= 50) GROUP BY ALL))
+"""
+
+
+@query(retrieval_sql("SELECT query_id, t_id, r_type, id r_id FROM fused JOIN rel USING (id) WHERE rank <= 25", _FUSE))
+def t1_naive(spark, sf_dir):
+    return retrievers.naive(triplets(spark, sf_dir), graph_vectors(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query(retrieval_sql("""SELECT query_id, max(t_id) t_id, r_type, r_id FROM (SELECT query_id, t_id, r_type, id r_id FROM fused JOIN rel USING (id) WHERE rank <= 25 UNION
+ SELECT n_nationkey, min(t_id), r_type, r_id FROM u JOIN nation ON a = 'object:' || md5(n_name) WHERE r_type IN ('simple', 'hyper') GROUP BY n_nationkey, r_type, r_id) GROUP BY query_id, r_type, r_id""", _FUSE))
+def t14_mixture(spark, sf_dir):
+    """The naive retriever and the simple and hyper triplets of the question's nation."""
+    return retrievers.mixture(retrievers.naive(triplets(spark, sf_dir), graph_vectors(spark, sf_dir), questions(spark, sf_dir)), around(spark, sf_dir))
 
 
-@query(graph_sql("SELECT DISTINCT seed, 'forward' direction, t_id, e_name other FROM t JOIN f ON lower(s_name) = n WHERE s_type = 'object' AND e_type = 'object' UNION SELECT seed, 'backward', t_id, s_name FROM t JOIN f ON lower(e_name) = n WHERE s_type = 'object' AND e_type = 'object'", False, ", f AS (SELECT replace(n_name, '_', ' ') seed, lower(unnest([replace(n_name, '_', ' '), replace(n_name, ' ', '_')])) n FROM nation)\n"))
+def around(spark, sf_dir, kinds=("simple", "hyper")):
+    """(query_id, t_id, r_type, r_id): triplets at the question's nation."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("object:"), F.md5("n_name")).alias("a"))
+    u = graph.undirected(triplets(spark, sf_dir)).filter(F.col("r_type").isin(*kinds))
+    return retrievers.once(n.join(u, "a").select("query_id", "t_id", "r_type", "r_id"))
+
+
+#: At each nation all its triplets; kept are simple and hyper ones, or the best 25 of them.
+_AROUND = """, near AS (SELECT n_nationkey query_id, r_type, r_id id, min(t_id) t_id FROM u JOIN nation ON a = 'object:' || md5(n_name) WHERE r_type IN ('simple', 'hyper') GROUP BY ALL),
+ n_near AS (SELECT query_id, count(*) n FROM near GROUP BY query_id),
+ d2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dense JOIN near USING (query_id, id)), b2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm JOIN near USING (query_id, id)),
+ f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, f, id) AS rank FROM (SELECT query_id, id, sum(w / (rank + 60)) score, min(list * 1000000 + rank) f FROM (SELECT query_id, id, rank, 0 list, 0.7::DOUBLE w FROM d2 WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 1, 0.3::DOUBLE FROM b2 WHERE rank <= 50) GROUP BY ALL)),
+ kept AS (SELECT near.* FROM near JOIN n_near USING (query_id) LEFT JOIN (SELECT * FROM f2 WHERE rank <= 25) f USING (query_id, id) WHERE n <= 25 OR f.id IS NOT NULL)
+"""
+
+
+@query(retrieval_sql("SELECT query_id, t_id, r_type, id r_id FROM kept", _AROUND))
+def t15_filter(spark, sf_dir):
+    found = around(spark, sf_dir, ("simple", "hyper", "episodic"))
+    return retrievers.filtered(found, graph_vectors(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query(retrieval_sql("SELECT n_nationkey query_id, CASE WHEN n IS NULL THEN 'zero_retrieved_triplets' ELSE 'success' END status, coalesce(n, 0) n, coalesce(t_ids, '') t_ids FROM nation LEFT JOIN (SELECT query_id, count(*) n, string_agg(t_id, ',' ORDER BY t_id) t_ids FROM kept WHERE query_id % 5 > 0 GROUP BY query_id) ON query_id = n_nationkey", _AROUND))
+def t16_knowledge_retriever(spark, sf_dir):
+    """The filtered triplets around each question's nation; every fifth question has a traversal that finds nothing."""
+    q, v = questions(spark, sf_dir), graph_vectors(spark, sf_dir)
+    found = around(spark, sf_dir, ("simple", "hyper", "episodic")).filter("query_id % 5 > 0")
+    return retrievers.retrieve(q, found, lambda x: retrievers.filtered(x, v, q)).withColumn("t_ids", F.concat_ws(",", "t_ids"))
+
+
+@query(graph_sql("SELECT t_id, r_type <> 'hyper' in_graph, r_id NOT LIKE '1%' in_vectors FROM t WHERE r_type IN ('simple', 'hyper')"))
+def t17_validity(spark, sf_dir):
+    t = triplets(spark, sf_dir)
+    return retrievers.validity(t.filter("r_type in ('simple', 'hyper')"), t.filter("r_type <> 'hyper'"), held_vectors(spark, sf_dir))
+
+
+_SCORED = "sc AS (SELECT query_id, id r_id, score FROM dense)"
+
+
+@query(retrieval_sql("""SELECT query_id, id, round(score, 6) score, rank FROM (SELECT query_id, r_id id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r_id) AS rank FROM
+ (SELECT query_id, r_id, max(score) score FROM (SELECT * FROM e1 WHERE r <= 5 UNION ALL SELECT * FROM e2 WHERE r <= 5) GROUP BY query_id, r_id)) WHERE rank <= 25""",
+    f""", {_SCORED}, two AS ({_TWO}), l1 AS (SELECT query_id, x.a, CAST(NULL AS VARCHAR) prev, r_id, max(x.b) b, max(score) score FROM two JOIN u x ON x.a = seed JOIN sc USING (query_id, r_id) GROUP BY query_id, x.a, r_id),
+ e1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, a ORDER BY round(score, 9) DESC, r_id) r FROM l1), f1 AS (SELECT DISTINCT query_id, b a, a prev FROM e1 WHERE r <= 3),
+ l2 AS (SELECT f1.query_id, f1.a, f1.prev, x.r_id, max(x.b) b, max(score) score FROM f1 JOIN u x ON x.a = f1.a AND x.b <> f1.prev JOIN sc ON sc.query_id = f1.query_id AND sc.r_id = x.r_id GROUP BY f1.query_id, f1.a, f1.prev, x.r_id),
+ e2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, a, prev ORDER BY round(score, 9) DESC, r_id) r FROM l2)
+"""))
+def t18_explore(spark, sf_dir):
+    found = retrievers.explore(triplets(spark, sf_dir), graph_vectors(spark, sf_dir), questions(spark, sf_dir), question_nodes(spark, sf_dir), saver(spark, "explore"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(graph_sql("SELECT DISTINCT seed, 'forward' direction, t_id, e_name other FROM t JOIN f ON lower(s_name) = n WHERE s_type = 'object' AND e_type = 'object' UNION SELECT seed, 'backward', t_id, s_name FROM t JOIN f ON lower(e_name) = n WHERE s_type = 'object' AND e_type = 'object'", ", f AS (SELECT replace(n_name, '_', ' ') seed, lower(unnest([replace(n_name, '_', ' '), replace(n_name, ' ', '_')])) n FROM nation)\n"))
 def t9_name_expansion(spark, sf_dir):
     seeds = read(spark, sf_dir, "nation").select(F.translate("n_name", "_", " ").alias("seed"))
-    return graph.expand_by_names(triplets(spark, sf_dir, episodes=False), seeds)
+    return graph.expand_by_names(triplets(spark, sf_dir), seeds)
 
 
 # dense retrieval
@@ -205,9 +379,9 @@ def v5_topk(spark, sf_dir):
 
 @query(_V5.replace("WHERE q.vec_id % 100 = 0", "WHERE q.vec_id % 100 = 0 AND v.vec_id % 3 = q.vec_id % 3"))
 def v5_topk_subset(spark, sf_dir):
-    v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
-    subset = q.select("query_id", (F.col("query_id") % 3).alias("m")).join(v.select("id", (F.col("id") % 3).alias("m")), "m").select("query_id", "id")
-    return retrieval.dense_topk(v, q, 10, subset).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    third = lambda c: (F.col(c) % 3).alias("third")
+    v, q = vectors(spark, sf_dir).select("id", "embedding", third("id")), asked_vectors(spark, sf_dir).select("query_id", "q", third("query_id"))
+    return retrieval.dense_topk(v, q, 10, same="third").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT label, count(*)::BIGINT n FROM embeddings GROUP BY label")
@@ -234,88 +408,181 @@ def v4_delete(spark, sf_dir):
     return v.join(v.filter("id % 2 = 0").select("id"), "id", "left_anti")
 
 
+@query("SELECT vec_id id, label FROM embeddings WHERE vec_id % 50 < 3")
+def v1_create(spark, sf_dir):
+    """A third of the rows, then all again: what is known is skipped."""
+    store = Store(spark, new_root(spark, "vectors"), "v", "id")
+    v = vectors(spark, sf_dir).filter("id % 50 < 3")
+    store.create(v.filter("id % 50 = 0"))
+    store.create(v.withColumn("label", F.when(F.col("id") % 50 == 0, -1).otherwise(F.col("label")).cast("int")))
+    return store.read().select("id", "label")
+
+
+@query("SELECT vec_id id, label FROM embeddings WHERE vec_id % 100 = 7")
+def v2_read_by_ids(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return VectorIndex.project(v.join(v.filter("id % 100 = 7").select("id"), "id", "left_semi"), ["label"])
+
+
+@query("SELECT label, n, n AS n_second, n AS n_third FROM (SELECT label, count(*)::BIGINT n FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id % 4 <> 1 GROUP BY label)")
+def v8_composer(spark, sf_dir):
+    """Three indexes over one set of items: rows are added to all, changed in all, deleted from all."""
+    root, v = new_root(spark, "composer"), vectors(spark, sf_dir)
+    every = Composer({n: Store(spark, root, n, "id") for n in ("first", "second", "third")})
+    every.create(v.filter("id % 4 <> 0"))
+    every.upsert(v.filter("id % 4 = 2"))
+    every.delete(v.filter("id % 4 = 1").select("id"))
+    n = lambda name, into: every.read(name).groupBy("label").agg(F.count("*").alias(into))
+    return n("first", "n").join(n("second", "n_second"), "label").join(n("third", "n_third"), "label")
+
+
+@query("SELECT vec_id id, vec_id % 2 = 0 found FROM embeddings")
+def v7_exist(spark, sf_dir):
+    store = Store(spark, new_root(spark, "exist"), "v", "id")
+    v = vectors(spark, sf_dir).select("id", "label")
+    store.create(v.filter("id % 2 = 0"))
+    return store.exist(v)
+
+
+@query(graph_sql("SELECT type, count(*) n, round(sum(list_sum(emb)), 4) total FROM e GROUP BY type", f", {embed_sql('e', 'SELECT type, name AS text FROM nodes UNION ALL SELECT DISTINCT chr(116) || chr(114) || chr(105) || chr(112) || chr(108) || chr(101) || chr(116), stringified FROM t')}\n"))
+def v11_embeddings(spark, sf_dir):
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return graph_vectors(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query(graph_sql("SELECT type, count(*) n FROM (SELECT type, id FROM nodes WHERE type || ':' || id NOT IN (SELECT s_type || ':' || s_id FROM t WHERE r_name = 'lives in') UNION ALL SELECT DISTINCT 'triplet', r_id FROM t WHERE r_name <> 'lives in') GROUP BY type"))
+def v12_delete_embeddings(spark, sf_dir):
+    """Vectors that are left when customers' triplets go."""
+    t = triplets(spark, sf_dir)
+    gone = knowledge.obsolete_vectors(t, t.filter("r_name = 'lives in'").select("t_id"))
+    return graph_vectors(spark, sf_dir).join(gone, "key", "left_anti").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey query_id, n_name || ' in region' AS text, 1.0::DOUBLE AS length FROM nation")
+def v10_embed(spark, sf_dir):
+    """A model called in batches on prefixed texts; its vectors come out with length 1."""
+    q = questions(spark, sf_dir).select("query_id", "text")
+    made = embeddings.encode(q, "text", "query", lambda texts: [[float(len(t)), float(t.startswith("query: "))] for t in texts])
+    return made.select("query_id", "text", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 9).alias("length"))
+
+
 # lexical retrieval
-_TERMS = "SELECT {key}, term, count(*) tf FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) term FROM {table}) WHERE term <> '' GROUP BY ALL"
-_BM25 = f"""WITH tf AS ({_TERMS.format(key="doc_id", table="documents")}), asked AS ({_TERMS.format(key="item_id", table="benchmark")}), len AS (SELECT doc_id, sum(tf) len FROM tf GROUP BY doc_id),
- df AS (SELECT term, count(*) df FROM tf GROUP BY term), n AS (SELECT (SELECT count(*) FROM documents) n, (SELECT sum(len) FROM len) all_len),
- w AS (SELECT tf.term, tf.doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (all_len / n))) w FROM tf JOIN (SELECT DISTINCT term FROM asked) USING (term) JOIN df USING (term) JOIN len USING (doc_id), n),
- s AS (SELECT item_id query_id, doc_id id, sum(w) score FROM w JOIN asked USING (term) GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
-"""
+_DOCS, _ITEMS = "SELECT doc_id id, text FROM documents", "SELECT item_id query_id, text FROM benchmark"
+_BM25 = "WITH " + bm25_sql(_DOCS, _ITEMS) + " "
+
+
+def documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def lexical(spark, sf_dir, k):
-    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    return retrieval.bm25(docs.select(F.col("doc_id").alias("id"), "text"), bench.select(F.col("item_id").alias("query_id"), "text"), k)
+def items(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(_BM25 + "SELECT query_id, id, round(score, 5) score, rank FROM r WHERE rank <= 10")
+@query(_BM25 + "SELECT query_id, id, round(score, 5) score, rank FROM bm WHERE rank <= 10")
 def b3_bm25_topk(spark, sf_dir):
-    return lexical(spark, sf_dir, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return retrieval.bm25(documents(spark, sf_dir), items(spark, sf_dir), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query(f"""WITH hits AS (SELECT query_id, id, score FROM ({_V5.replace("WHERE rank <= 10", "WHERE rank <= 5")}) WHERE score >= 0.2), sub AS (SELECT q.vec_id query_id, v.vec_id id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0),
- e AS (SELECT *, 0 late FROM hits UNION ALL SELECT query_id, id, 0.5, 1 FROM sub ANTI JOIN hits USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, CASE WHEN late = 0 THEN -score ELSE 0 END, id) AS rank FROM e)
- SELECT query_id, id, round(score::DOUBLE, 6) score, rank FROM r WHERE rank <= 10""")
-def b4_backfill(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    hits = retrieval.dense_topk(v, asked_vectors(spark, sf_dir), 5).select("query_id", "id", F.round("score", 6).alias("score")).filter("score >= 0.2")
-    same = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "label").join(v.select("id", "label"), "label").select("query_id", "id")
-    return retrieval.backfill(hits, same, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+@query(_BM25 + "SELECT query_id, id, round(1 / (1 + exp(-score / 8)), 5) score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + exp(-score / 8)), 9) DESC, id) r FROM bm WHERE id % 10 = query_id % 10) WHERE r <= 5")
+def b3_subset_and_scale(spark, sf_dir):
+    docs, asked = documents(spark, sf_dir), items(spark, sf_dir)
+    subset = asked.select("query_id", (F.col("query_id") % 10).alias("m")).join(docs.select("id", (F.col("id") % 10).alias("m")), "m").select("query_id", "id")
+    return retrieval.bm25(docs, asked, 5, subset, True).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
-# re-ranking
-_LIST = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id query_id, v.vec_id id, {score} score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
-_NEAR = "-abs(v.vec_id - q.vec_id)::DOUBLE"
+def lexical_store(spark, sf_dir):
+    """Documents of odd ids, then all (known ones are skipped), then without every seventh; one in five changed."""
+    def fill(root):
+        index, docs = LexicalIndex(spark, root), documents(spark, sf_dir)
+        index.create(docs.filter("id % 2 = 1"))
+        index.create(docs)
+        index.upsert(docs.filter("id % 5 = 0").withColumn("text", F.concat("text", F.lit(" changed anew"))))
+        index.delete(docs.filter("id % 7 = 0").select("id"))
+        return index
 
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = fill(new_root(spark, "lexical"))
+    return _INDEXES[key]
 
-def near_ids(spark, sf_dir, k):
-    """A second index over the same items: closeness of ids."""
-    v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
-    return retrieval.ranked(v.join(q).select("query_id", "id", (-F.abs(F.col("id") - F.col("query_id"))).cast("double").alias("score")), k)
 
+_INDEXES: dict = {}
+_LIVE = "SELECT doc_id id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed anew' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
 
-@query(f"SELECT query_id, id, round(score, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_LIST.format(score=_DOT)}) WHERE rank <= 10 AND score >= 0.2")
-def r1_single_step(spark, sf_dir):
-    hits = retrieval.dense_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 10)
-    return retrieval.single_step(hits, 0.2, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
+@query("WITH " + bm25_sql(_LIVE, _ITEMS) + " SELECT query_id, id, round(score, 5) score, rank FROM bm WHERE rank <= 10")
+def b1_stored_postings(spark, sf_dir):
+    return lexical_store(spark, sf_dir).retrieve(items(spark, sf_dir), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
-@query(f"""WITH a AS (SELECT * FROM ({_LIST.format(score=_NEAR)}) WHERE rank <= 30), b AS (SELECT a.query_id, a.id, {_DOT} score FROM a JOIN embeddings v ON v.vec_id = a.id JOIN embeddings q ON q.vec_id = a.query_id)
- SELECT query_id, id, round(score, 6) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 5""")
-def r2_multi_step(spark, sf_dir):
-    step = near_ids(spark, sf_dir, 30).select("query_id", "id")
-    return retrieval.dense_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 5, step).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
+@query(f"SELECT id, md5(text) hash FROM ({_LIVE}) WHERE id % 10 < 3")
+def b2_read_by_ids(spark, sf_dir):
+    return lexical_store(spark, sf_dir).read(documents(spark, sf_dir).filter("id % 10 < 3").select("id")).select("id", F.md5("text").alias("hash"))
 
-_FUSED = f"""WITH l AS (SELECT query_id, id, rank, 0 list, 0.7::DOUBLE w FROM ({_LIST.format(score=_DOT)}) WHERE rank <= 15 UNION ALL SELECT query_id, id, rank, 1, 0.3::DOUBLE FROM ({_LIST.format(score=_NEAR)}) WHERE rank <= 15),
- s AS (SELECT query_id, id, sum(w / (rank + 60)) score, min(list * 1000000 + rank) f FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, f, id) AS rank FROM s)
-"""
+
+@query(f"SELECT doc_id id, doc_id % 7 <> 0 found, (SELECT count(*) FROM ({_LIVE})) n FROM documents")
+def b5_count_and_exist(spark, sf_dir):
+    index = lexical_store(spark, sf_dir)
+    return index.exist(documents(spark, sf_dir)).withColumn("n", F.lit(index.count()).cast("long"))
+
+
+@query(_BM25 + """, hits AS (SELECT query_id, id, score FROM bm WHERE rank <= 5 AND score >= 12), sub AS (SELECT item_id query_id, doc_id id FROM benchmark JOIN documents ON doc_id % 50 = item_id % 50),
+ h2 AS (SELECT hits.* FROM hits SEMI JOIN sub USING (query_id, id)), e AS (SELECT *, 0 late FROM h2 UNION ALL SELECT query_id, id, 0.5, 1 FROM sub ANTI JOIN h2 USING (query_id, id))
+ SELECT query_id, id, round(score::DOUBLE, 5) score, row_number() OVER (PARTITION BY query_id ORDER BY late, CASE WHEN late = 0 THEN -round(score::DOUBLE, 5) ELSE 0 END, id) AS rank FROM e QUALIFY rank <= 8""")
+def b4_backfill(spark, sf_dir):
+    """Hits among a fiftieth of the documents, filled up with others of these."""
+    docs, asked = documents(spark, sf_dir), items(spark, sf_dir)
+    subset = asked.select("query_id", (F.col("query_id") % 50).alias("m")).join(docs.select("id", (F.col("id") % 50).alias("m")), "m").select("query_id", "id")
+    hits = retrieval.bm25(docs, asked, 5).filter("score >= 12").join(subset, ["query_id", "id"], "left_semi").select("query_id", "id", F.round("score", 5).alias("score"))
+    return retrieval.backfill(hits, subset, 8).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+# re-ranking over the graph's relations, by their vectors and their words
+def relations(spark, sf_dir):
+    return graph_vectors(spark, sf_dir).filter("type = 'triplet'").select("id", "text", "embedding")
+
+
+_RANK = "SELECT query_id, id, round(score, {n}) score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) r FROM {rows}) WHERE r <= {k}"
+
+
+@query(retrieval_sql(_RANK.format(n=6, rows="(SELECT * FROM dense WHERE rank <= 50 AND score >= 0.6)", k=10)))
+def r1_single_step(spark, sf_dir):
+    found = retrievers.ranked_by(relations(spark, sf_dir), questions(spark, sf_dir), "single_step", {"steps": [{"index": "dense", "fetch": 50, "threshold": 0.6}]}, 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def fused(spark, sf_dir, k):
-    return retrieval.fused([retrieval.dense_topk(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), 15), near_ids(spark, sf_dir, 15)], [0.7, 0.3], k)
+@query(retrieval_sql(_RANK.format(n=6, rows="(SELECT dense.* FROM dense SEMI JOIN (SELECT query_id, id FROM bm WHERE rank <= 40) USING (query_id, id))", k=5)))
+def r2_multi_step(spark, sf_dir):
+    """The 40 best by words, of these the 5 best by vectors."""
+    steps = {"steps": [{"index": "bm25", "fetch": 40, "threshold": None}, {"index": "dense", "fetch": 5, "threshold": None}]}
+    return retrievers.ranked_by(relations(spark, sf_dir), questions(spark, sf_dir), "multi_step", steps, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_FUSED + "SELECT query_id, id, round(score, 9) score, rank FROM r WHERE rank <= 10")
+@query(retrieval_sql("SELECT query_id, id, round(score, 9) score, rank FROM fused WHERE rank <= 10", _FUSE))
 def r3_weighted_rrf(spark, sf_dir):
-    return fused(spark, sf_dir, 10).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    found = retrievers.ranked_by(relations(spark, sf_dir), questions(spark, sf_dir), "ensemble_fusion", retrievers.ensemble(), 10)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 _CUTS = " UNION ALL ".join(
     f"""SELECT unnest(['precision', 'recall', 'f1', 'map']) metric, {k} k, round(unnest([avg(h / {k}), avg(h / all_n), avg(CASE WHEN h > 0 THEN 2 * (h / {k}) * (h / all_n) / (h / {k} + h / all_n) ELSE 0 END), avg(ap / all_n)]), 5) AS value
  FROM (SELECT total.query_id, all_n::DOUBLE all_n, coalesce(h, 0)::DOUBLE h, coalesce(ap, 0) ap FROM total LEFT JOIN (SELECT query_id, count(*) h, sum(nth / rank) ap FROM hits WHERE rank <= {k} GROUP BY query_id) x USING (query_id))"""
-    for k in (3, 5, 10)
+    for k in (3, 5, 8, 10)
 )
 
 
 @query(f"""WITH rel AS (SELECT q.vec_id query_id, v.vec_id id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), total AS (SELECT query_id, count(*) all_n FROM rel GROUP BY query_id),
  hits AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank)::DOUBLE nth FROM ({_V5}) JOIN rel USING (query_id, id)) {_CUTS}""")
 def e1_ir_metrics(spark, sf_dir):
+    """Relevant are the other vectors of a query's label: they are counted by label, and only hits are looked up."""
     v = vectors(spark, sf_dir)
-    q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
-    rel = q.join(v.select("id", "label"), "label").filter("id <> query_id").select("query_id", "id")
-    return retrieval.ir_metrics(retrieval.dense_topk(v, asked_vectors(spark, sf_dir), 10), rel, [3, 5, 10])
+    labels = v.select("id", "label")
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("all"))
+    total = labels.filter("id % 100 = 0").join(sizes, "label").filter(F.col("all") > 0).select(F.col("id").alias("query_id"), "all")
+    run = retrieval.dense_topk(v, asked_vectors(spark, sf_dir), 10)
+    run = run.join(labels, "id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return retrieval.ir_metrics(run.select("query_id", "id", "rank", ((F.col("label") == F.col("own")) & (F.col("id") != F.col("query_id"))).alias("hit")), total, [3, 5, 8, 10])
 
 
 # provenance and memory
@@ -531,6 +798,13 @@ def e6_set_scores(spark, sf_dir):
     return corpus.set_scores(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"), "key", "item")
 
 
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS key, o_orderpriority item FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT DISTINCT o_custkey AS key, o_orderpriority item FROM orders WHERE o_orderkey % 3 = 0),
+ j AS (SELECT coalesce(f.key, g.key) k, f.item fi, g.item gi FROM f FULL JOIN g ON f.key = g.key AND f.item = g.item), s AS (SELECT CASE WHEN count(fi) = 0 THEN 0.0::DOUBLE ELSE round(count(fi) FILTER (gi IS NOT NULL) / count(fi)::DOUBLE, 5) END p, CASE WHEN count(gi) = 0 THEN 0.0::DOUBLE ELSE round(count(fi) FILTER (gi IS NOT NULL) / count(gi)::DOUBLE, 5) END r FROM j GROUP BY k)
+ SELECT 'precision' AS "column", count(p) n, round(max(p), 5) AS "max", round(avg(p), 5) mean, round(median(p), 5) median, round(min(p), 5) AS "min", round(stddev_pop(p), 5) std, round(sum(p), 5) AS "sum" FROM s UNION ALL SELECT 'recall', count(r), round(max(r), 5), round(avg(r), 5), round(median(r), 5), round(min(r), 5), round(stddev_pop(r), 5), round(sum(r), 5) FROM s""")
+def e6_summary(spark, sf_dir):
+    return corpus.score_summary(e6_set_scores(spark, sf_dir), ["precision", "recall"])
+
+
 _KEPT = "SELECT md5(text) hash, min(doc_id) doc_id FROM documents WHERE length(text) BETWEEN 64 AND 4096 GROUP BY text"
 
 
@@ -539,17 +813,18 @@ def d1_unique_documents(spark, sf_dir):
     return corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096)
 
 
-_QA = "SELECT conv_id qa_id, [min(turn) + conv_id, max(turn) + conv_id] refs FROM conversations GROUP BY conv_id"
+_QA = "SELECT conv_id qa_id, string_agg(text, ' ' ORDER BY turn) question, [min(turn) + conv_id, max(turn) + conv_id] refs FROM conversations GROUP BY conv_id"
 
 
 def qa(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qa_id")).agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
-    return c.select("qa_id", F.array(F.col("a") + F.col("qa_id"), F.col("b") + F.col("qa_id")).alias("refs"))
+    c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qa_id")).agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("question"))
+    return c.select("qa_id", "question", F.array(F.col("a") + F.col("qa_id"), F.col("b") + F.col("qa_id")).alias("refs"))
 
 
-@query(f"WITH kept AS ({_KEPT}), e AS (SELECT qa_id, unnest(list_distinct(refs)) doc_id FROM ({_QA})) SELECT qa_id, count(*)::BIGINT n_refs FROM e LEFT JOIN kept USING (doc_id) GROUP BY qa_id HAVING count(*) = count(hash)")
+@query(f"""WITH kept AS ({_KEPT}), one AS (SELECT * FROM ({_QA}) QUALIFY row_number() OVER (PARTITION BY question ORDER BY qa_id) = 1), e AS (SELECT qa_id, unnest(list_distinct(refs)) doc_id FROM one),
+ f AS (SELECT qa_id, count(*)::BIGINT n_refs FROM e LEFT JOIN kept USING (doc_id) GROUP BY qa_id HAVING count(*) = count(hash)) SELECT qa_id, n_refs, row_number() OVER (ORDER BY qa_id) - 1 new_id FROM f QUALIFY new_id < 40""")
 def d2_answerable(spark, sf_dir):
-    return corpus.answerable(qa(spark, sf_dir), corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096))
+    return corpus.answerable(qa(spark, sf_dir), corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096), 40)
 
 
 @query(f"WITH kept AS ({_KEPT}), e AS (SELECT DISTINCT unnest(refs) doc_id FROM ({_QA})) SELECT doc_id, hash FROM kept ANTI JOIN e USING (doc_id) ORDER BY hash LIMIT 50")
@@ -558,11 +833,47 @@ def d3_noise_documents(spark, sf_dir):
     return corpus.noise(corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096), used, 50)
 
 
-@query("SELECT doc_id, i::INT chunk, sha1(substring(text, i * 960 + 1, 1024)) hash FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 65, 0) // 960 + 1)) i FROM documents)")
+@query()
 def d7_chunks(spark, sf_dir):
     return corpus.chunks(read(spark, sf_dir, "documents"), 1024, 64).select("doc_id", "chunk", "hash")
 
 
+@query(f"WITH kept AS (SELECT doc_id FROM ({_KEPT})), f AS (SELECT * FROM ({_QA}) WHERE qa_id % 4 <> 0 AND list_has_all((SELECT list(doc_id) FROM kept), refs)) SELECT qa_id, list_extract(refs, 1) first_ref FROM f")
+def d8_tag_filter(spark, sf_dir):
+    """Every fourth question has the tag no-answer."""
+    rows = qa(spark, sf_dir).withColumn("tags", F.when(F.col("qa_id") % 4 == 0, F.array(F.lit("no-answer"))).when(F.col("qa_id") % 4 == 1, F.array(F.lit("count"))))
+    return corpus.tagged(rows, corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096)).select("qa_id", F.get("refs", 0).alias("first_ref"))
+
+
+@query(f"WITH kept AS (SELECT doc_id FROM ({_KEPT})), e AS (SELECT qa_id, unnest(list_distinct(refs)) doc_id FROM ({_QA})), f AS (SELECT * FROM e WHERE qa_id NOT IN (SELECT qa_id FROM e ANTI JOIN kept USING (doc_id))) SELECT doc_id, string_agg(qa_id::VARCHAR, ',' ORDER BY qa_id) qa_ids FROM f GROUP BY doc_id")
+def d6_multi_hop(spark, sf_dir):
+    contexts, _ = corpus.multi_hop(qa(spark, sf_dir), corpus.unique_documents(read(spark, sf_dir, "documents"), 64, 4096))
+    return contexts.select("doc_id", F.array_join(F.transform("qa_ids", lambda x: x.cast("string")), ",").alias("qa_ids"))
+
+
+@query(f"""WITH q AS ({_QA}), r AS (SELECT DISTINCT unnest(refs) doc_id FROM q) SELECT unnest(['repeated_questions', 'repeated_ids', 'without_references', 'repeated_documents', 'unknown_references', 'unused_documents']) fault,
+ unnest([(SELECT count(*) - count(DISTINCT question) FROM q), (SELECT count(*) - count(DISTINCT qa_id) FROM q), (SELECT count(*) FROM q WHERE len(refs) < 1), (SELECT count(*) - count(DISTINCT doc_id) FROM documents), (SELECT count(*) FROM r ANTI JOIN documents USING (doc_id)), (SELECT count(*) FROM documents ANTI JOIN r USING (doc_id))]) n""")
+def d5_dataset_faults(spark, sf_dir):
+    return corpus.dataset_faults(qa(spark, sf_dir), read(spark, sf_dir, "documents"))
+
+
+@query("""WITH a AS (SELECT event_type pack, CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN '<none>' ELSE props END END answer, event_id % 3 AS em, value AS f1, event_id % 7 AS "time" FROM events)
+ SELECT pack, round(avg(em) FILTER (answer IS NOT NULL), 5) em, round(avg(f1) FILTER (answer IS NOT NULL), 5) f1, round(count(*) FILTER (answer IS NULL) / count(*)::DOUBLE, 5) null_share, round(count(*) FILTER (answer = '<none>') / count(*)::DOUBLE, 5) nothing_share, round(sum("time")::DOUBLE, 3) AS "time" FROM a GROUP BY pack""")
+def e10_answer_scores(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    answer = F.when(F.col("event_id") % 9 != 0, F.when(F.col("event_id") % 5 == 0, "<none>").otherwise(F.col("props")))
+    rows = e.select(F.col("event_type").alias("pack"), answer.alias("answer"), (F.col("event_id") % 3).alias("em"), F.col("value").alias("f1"), (F.col("event_id") % 7).cast("double").alias("time"))
+    return corpus.answer_scores(rows, ["em", "f1"], "<none>")
+
+
+@query(graph_sql("""SELECT qa_id, string_agg(DISTINCT t_id, ',' ORDER BY t_id) t_ids, len(list_distinct(flatten(list([s, e])))) n_nodes FROM (SELECT conv_id qa_id, unnest([min(turn) + conv_id, max(turn) + conv_id]) doc_id FROM conversations GROUP BY conv_id)
+ JOIN documents USING (doc_id) JOIN (SELECT t_id, e_name, s_type || ':' || s_id s, e_type || ':' || e_id e FROM t WHERE e_type = 'episodic') x ON e_name = md5(text) GROUP BY qa_id"""))
+def e7_ground_truth(spark, sf_dir):
+    t = triplets(spark, sf_dir)
+    links = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.md5("text").alias("e_name")).join(t.filter("e_type = 'episodic'").select("t_id", "e_name"), "e_name")
+    return corpus.ground_truth(qa(spark, sf_dir), links, t).select("qa_id", F.concat_ws(",", "t_ids").alias("t_ids"), F.size("node_ids").cast("long").alias("n_nodes"))
+
+
 _G = "list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
 _CLIP = "coalesce(list_sum(list_transform(list_distinct({x}), lambda g: least(len(list_filter({x}, lambda w: w = g)), len(list_filter({y}, lambda w: w = g))))), 0)"
 
@@ -631,3 +942,293 @@ def t12_choose_theses(spark, sf_dir):
     save = saver(spark, "theses")
     scored = save(theses.mention_scores(question_theses(spark, sf_dir), seeds), "scored")
     return theses.choose(scored, seeds, save).select("query", "kind", "rank", "t_id", "score")
+
+
+@query(graph_sql("""SELECT a.query, a.entity, CASE WHEN a.hits > 0 THEN 1 ELSE 2 END kind, min(a.t_id) t_id, a.hits FROM rows3 a LEFT JOIN (SELECT query, far FROM rows3 WHERE hits = 0 GROUP BY query, far HAVING count(DISTINCT entity) > 1) m ON a.query = m.query AND a.far = m.far WHERE a.hits > 0 OR m.far IS NOT NULL GROUP BY a.query, a.entity, a.low, a.high, a.hits""",
+    """, seeds AS (SELECT n_nationkey query, 0 entity, n_name seed FROM nation UNION ALL SELECT n_nationkey, 1, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, 2, 'NATION_' || ((n_nationkey + 5) % 25) FROM nation),
+ ends AS (SELECT t_id, lower(replace(s_name, '_', ' ')) s, lower(replace(e_name, '_', ' ')) e, least(s_id, e_id) low, greatest(s_id, e_id) high FROM t WHERE r_type = 'simple'),
+ rows1b AS (SELECT DISTINCT query, entity, t_id, s, e, low, high, CASE WHEN s = lower(replace(seed, '_', ' ')) THEN e ELSE s END far FROM seeds JOIN ends ON s = lower(replace(seed, '_', ' ')) OR e = lower(replace(seed, '_', ' '))),
+ rows3 AS (SELECT *, (EXISTS (SELECT 1 FROM seeds z WHERE z.query = x.query AND z.entity <> x.entity AND lower(replace(z.seed, '_', ' ')) = x.s))::INT + (EXISTS (SELECT 1 FROM seeds z WHERE z.query = x.query AND z.entity <> x.entity AND lower(replace(z.seed, '_', ' ')) = x.e))::INT hits FROM rows1b x)
+"""))
+def t10_joined_chains(spark, sf_dir):
+    """Entities of a question are a nation, its region and the nation five numbers on."""
+    seeds, edges = nation_entities(spark, sf_dir)
+    return chains.joined(edges, seeds, triplets(spark, sf_dir))
+
+
+def nation_entities(spark, sf_dir):
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    row = lambda df, k, c: df.select(F.col("n_nationkey").alias("query"), F.lit(k).alias("entity"), c.alias("seed"))
+    seeds = row(n, 0, F.col("n_name")).union(row(n.join(r, n.n_regionkey == r.r_regionkey), 1, F.col("r_name"))).union(row(n, 2, F.concat(F.lit("NATION_"), ((F.col("n_nationkey") + 5) % 25).cast("string"))))
+    near = graph.expand_by_names(triplets(spark, sf_dir), seeds.select("seed").distinct())
+    return seeds, seeds.join(near, "seed")
+
+
+@query()
+def t13_assembled(spark, sf_dir):
+    seeds, edges = nation_entities(spark, sf_dir)
+    t = triplets(spark, sf_dir)
+    texts = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 25).alias("query"), F.md5("text").alias("e_id")).join(t.filter("r_type = 'hyper'").select("t_id", "e_id"), "e_id")
+    return chains.assembled(chains.joined(edges, seeds, t), edges, seeds, texts.filter("query % 2 = 0").select("query", "t_id"))
+
+
+# memory: what generated answers add, and what they replace
+def answered_texts(spark, sf_dir):
+    """Nations as texts whose generated answers name two triplets and one thesis; every tenth answer has nothing."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    x = n.join(r, n.n_regionkey == r.r_regionkey)
+    none = F.col("n_nationkey") % 10 == 0
+    spo = F.concat(F.lower("n_name"), F.lit(" | lies in | "), F.lower("r_name"), F.lit(".\n'"), F.lower("n_name"), F.lit("' | has number | "), F.col("n_nationkey").cast("string"), F.lit(";"))
+    thesis = F.concat(F.lower("n_name"), F.lit(" belongs to a region | ['"), F.lower("n_name"), F.lit("', \""), F.lower("r_name"), F.lit("\"]."))
+    return x.select(F.col("n_nationkey").alias("text_id"), F.concat(F.lit("About "), "n_name").alias("text"), F.when(F.col("n_nationkey") % 2 == 0, "May 2024").alias("time"), F.when(none, "nothing").otherwise(spo).alias("raw_triplets"), F.when(none, "nothing").otherwise(thesis).alias("raw_theses"))
+
+
+_TOLD = """WITH x AS (SELECT n_nationkey id, lower(n_name) n, lower(r_name) r, 'About ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 10 <> 0),
+ ent AS (SELECT id, 'object' k, n nm, text FROM x UNION SELECT id, 'object', r, text FROM x UNION SELECT id, 'object', id::VARCHAR, text FROM x UNION SELECT id, 'hyper', n || ' belongs to a region', text FROM x),
+ m1 AS (SELECT id text_id, 'object' s_type, n s_name, 'simple' r_type, 'lies in' r_name, 'object' e_type, r e_name FROM x UNION ALL SELECT id, 'object', n, 'simple', 'has number', 'object', id::VARCHAR FROM x
+ UNION ALL SELECT id, 'object', unnest([n, r]), 'hyper', 'hyper', 'hyper', n || ' belongs to a region' FROM x UNION ALL SELECT id, k, nm, 'episodic', 'episodic', 'episodic', text FROM ent
+ UNION ALL SELECT id, 'time', 'May 2024', 'time', 'time', 'episodic', text FROM x WHERE id % 2 = 0 UNION ALL SELECT id, 'time', 'May 2024', 'time', 'time', 'hyper', n || ' belongs to a region' FROM x WHERE id % 2 = 0)
+"""
+
+
+@query(_TOLD + "SELECT *, 'success' status FROM m1 UNION ALL SELECT n_nationkey, NULL, NULL, NULL, NULL, NULL, NULL, 'zero_triplets' FROM nation WHERE n_nationkey % 10 = 0")
+def m1_extract(spark, sf_dir):
+    return knowledge.extract(answered_texts(spark, sf_dir), F.col("raw_triplets"), F.col("raw_theses"))
+
+
+@query(_TOLD + "SELECT r_type, count(*) n, (SELECT count(*) FROM m1) n_links FROM (SELECT DISTINCT s_type, s_name, r_type, r_name, e_type, e_name FROM m1) GROUP BY r_type")
+def m12_remember(spark, sf_dir):
+    store = knowledge.Knowledge(spark, new_root(spark, "memory"), hashed)
+    knowledge.remember(store, answered_texts(spark, sf_dir), F.col("raw_triplets"), F.col("raw_theses"), saver(spark, "remember"))
+    return store.triplets.read().groupBy("r_type").agg(F.count("*").alias("n")).withColumn("n_links", F.lit(store.provenance.count()).cast("long"))
+
+
+@query(_TOLD + "SELECT text_id, count(DISTINCT s_type || s_name || r_type || r_name || e_type || e_name) n FROM m1 GROUP BY text_id")
+def m14_load_provenance(spark, sf_dir):
+    store = knowledge.Knowledge(spark, new_root(spark, "origin"), hashed)
+    knowledge.remember(store, answered_texts(spark, sf_dir), F.col("raw_triplets"), F.col("raw_theses"), saver(spark, "origin"))
+    return store.of_texts(answered_texts(spark, sf_dir)).select("text_id", F.size("t_ids").cast("long").alias("n"))
+
+
+#: New facts: every third nation has moved to the next region; its old place is named as replaced.
+_MOVED = "SELECT n_name n, r.r_name was, x.r_name now FROM nation JOIN region r ON n_regionkey = r.r_regionkey JOIN region x ON x.r_regionkey = (n_regionkey + 1) % 5 WHERE n_nationkey % 3 = 0"
+
+
+def moved(spark, sf_dir):
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    was = n.filter("n_nationkey % 3 = 0").join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("n"), F.col("r_name").alias("was"), ((F.col("n_regionkey") + 1) % 5).alias("k"))
+    return was.join(r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("now")), "k")
+
+
+def new_places(spark, sf_dir):
+    lit = lambda x, c: F.lit(x).alias(c)
+    return graph.triplets(moved(spark, sf_dir).select(lit("object", "s_type"), F.col("n").alias("s_name"), lit("simple", "r_type"), lit("in region", "r_name"), lit("object", "e_type"), F.col("now").alias("e_name")))
+
+
+@query(graph_sql(f"SELECT md5('object' || md5(n) || 'simple' || md5(n || ' in region ' || now) || 'object' || md5(now)) new_id, count(*) n FROM (SELECT DISTINCT n, now, t_id FROM ({_MOVED}) JOIN t ON r_type = 'simple' AND (s_name IN (n, now) OR e_name IN (n, now)) WHERE stringified <> n || ' in region ' || now) GROUP BY n, now"))
+def m7_simple_candidates(spark, sf_dir):
+    return knowledge.simple_candidates(triplets(spark, sf_dir), new_places(spark, sf_dir)).groupBy("new_id").agg(F.count("*").alias("n"))
+
+
+@query(graph_sql("SELECT md5('object' || md5(n_name) || 'hyper' || md5('Big news') || 'hyper' || md5('Big news')) new_id, count(*) n FROM nation JOIN t ON r_type = 'hyper' AND s_name = n_name GROUP BY n_name"))
+def m8_hyper_candidates(spark, sf_dir):
+    lit = lambda x, c: F.lit(x).alias(c)
+    new = graph.triplets(read(spark, sf_dir, "nation").select(lit("object", "s_type"), F.col("n_name").alias("s_name"), lit("hyper", "r_type"), lit("hyper", "r_name"), lit("hyper", "e_type"), lit("Big news", "e_name")))
+    return knowledge.hyper_candidates(triplets(spark, sf_dir), new).groupBy("new_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT n_name AS name, r_name region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0 UNION ALL SELECT n, now FROM ({_MOVED})")
+def m11_update(spark, sf_dir):
+    """Generated answers name old places as replaced by new ones; the store drops the first and adds the second."""
+    t = triplets(spark, sf_dir)
+    store, new = knowledge.Knowledge(spark, new_root(spark, "update"), hashed), new_places(spark, sf_dir)
+    store.add(t.filter("r_type = 'simple' and r_name in ('in region', 'based in')"))
+    raw = moved(spark, sf_dir).select(F.concat(F.lit("[["), "n", F.lit(", in region, "), "was", F.lit(" -> "), "n", F.lit(", in region, "), "now", F.lit("]]")).alias("raw"))
+    pairs = raw.select(F.explode(parsers.replacements(F.col("raw"))).alias("p")).select("p.*")
+    low = lambda df: df.withColumns({c: F.lower(c) for c in ("s_name", "r_name", "e_name")})
+    knowledge.update(store, new, lambda c: knowledge.replaced(pairs, c, low(store.triplets.read()), low(new)))
+    return store.triplets.read().filter("r_name = 'in region'").select(F.col("s_name").alias("name"), F.col("e_name").alias("region"))
+
+
+# parsers over made answers
+@query("SELECT n_nationkey id, lower(n_name) s, 'in region' r, lower(r_name) o FROM nation JOIN region ON n_regionkey = r_regionkey")
+def u6_triplet_list(spark, sf_dir):
+    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    x = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Here they are: 1. "), "n_name", F.lit(", In Region, "), "r_name", F.lit("; two, parts")).alias("raw"))
+    return x.select("id", F.explode(parsers.triplet_list(F.col("raw"))).alias("t")).select("id", "t.*")
+
+
+@query("SELECT n_nationkey id, lower(n_name) || ' is told of' thesis, lower(n_name) || ',' || lower(r_name) entities FROM nation JOIN region ON n_regionkey = r_regionkey")
+def u7_theses(spark, sf_dir):
+    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    raw = F.concat("n_name", F.lit(" is told of | ['"), "n_name", F.lit("', \""), "r_name", F.lit("\"];\nno bar here\nbad | [list"))
+    x = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.explode(parsers.theses(raw)).alias("t"))
+    return x.select("id", "t.thesis", F.concat_ws(",", "t.entities").alias("entities"))
+
+
+@query("SELECT n_nationkey id, md5(lower(n_name) || ', was, a') old, md5(lower(n_name) || ', is, b') AS new FROM nation UNION ALL SELECT n_nationkey, md5('old of ' || lower(n_name)), md5('new of ' || lower(n_name)) FROM nation")
+def u9_replacements(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    one = parsers.replacements(F.concat(F.lit("So: [["), "n_name", F.lit(", was, a -> "), "n_name", F.lit(", is, b], [two, parts -> x, y, z]]")))
+    two = parsers.thesis_replacements(F.concat(F.lit('So: ["New of '), "n_name", F.lit(" <- Old of "), "n_name", F.lit('", "nothing"]')))
+    return n.select(F.col("n_nationkey").alias("id"), F.explode(F.concat(one, two)).alias("p")).select("id", "p.*")
+
+
+@query("SELECT n_nationkey id, CASE WHEN n_nationkey % 2 = 0 THEN 2 END n_second, n_name || ' in short' summary, 'what of ' || n_name || '?' first_part FROM nation")
+def u13_summaries_and_lists(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    names = parsers.name_list(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, " | b").otherwise(" | ")), 2)
+    made = parsers.summary(F.concat(F.lit("thought\n[Output Summary]\n"), "n_name", F.lit(" in short.")))
+    parts = parsers.dashed(F.concat(F.lit("- what of "), "n_name", F.lit("?\n\n- and then?")))
+    return n.select(F.col("n_nationkey").alias("id"), F.when(names.isNotNull(), F.size(names)).alias("n_second"), made.alias("summary"), F.get(parts, 0).alias("first_part"))
+
+
+@query("""WITH l AS (SELECT user_id % 20 log, *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 20 ORDER BY event_id) question FROM events),
+ c AS (SELECT count(*) n, sum(s) s FROM (SELECT log, question, count(*) FILTER (event_type = 'view') s FROM l WHERE question > 0 GROUP BY ALL)) SELECT 'plan_initialing' task, n calls, round(n * 120.5, 3)::DOUBLE prompt_tokens, round(n * 30.25, 3)::DOUBLE generated_tokens FROM c UNION ALL SELECT 'answer_classify', s::BIGINT, round(s * 80.0, 3)::DOUBLE, round(s * 1.5, 3)::DOUBLE FROM c""")
+def e9_token_sums(spark, sf_dir):
+    means = spark.createDataFrame([("plan_initialing", 120.5, 30.25), ("answer_classify", 80.0, 1.5)], "task string, prompt_tokens double, generated_tokens double")
+    return tasks.token_sums(e9_call_counts(spark, sf_dir), means)
+
+
+# answering questions with a provider that knows the forms of answers only
+def echo(requests: DataFrame) -> DataFrame:
+    """Says False to yes-or-no questions, else gives the last line of the request back in the form that is asked for."""
+    user = F.col("user")
+    about = F.regexp_extract(user, r"(?:Question|Text): (.*)", 1)
+    said = F.when(user.contains("True or False"), F.when(user.contains("Found: "), "True").otherwise("False")).when(F.col("system").contains("numbered"), F.concat(F.lit("1. "), about)).when(F.col("system").contains("with bars"), F.regexp_extract(about, r"(\w+_\d+)", 1))
+    return requests.select("key", F.coalesce(said, F.concat(F.lit("[Answer] "), about)).alias("raw"), F.lit(1).cast("long").alias("prompt_tokens"), F.lit(1).cast("long").alias("generated_tokens"), F.lit(0.0).alias("elapsed"))
+
+
+def asker(spark, label):
+    return reasoning.Asker(spark, echo, saver(spark, label))
+
+
+def nation_questions(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("question_id"), F.concat(F.lit("Where does one find "), "n_name", F.lit("?")).alias("query"))
+
+
+def object_nodes(spark, sf_dir):
+    return graph_vectors(spark, sf_dir).filter("type = 'object'").select("id", "text", "embedding")
+
+
+@query("SELECT n_nationkey::VARCHAR question_id, 'Where does one find ' || n_name || '?' better, 1 n_parts, 'success' status FROM nation")
+def u14_preprocess(spark, sf_dir):
+    out = reasoning.preprocess(asker(spark, "preprocess"), nation_questions(spark, sf_dir), enhance=True)
+    return out.select("question_id", "better", F.size("processed").alias("n_parts"), "status")
+
+
+_FOUND = "SELECT n_nationkey::VARCHAR question_id, 'Where does one find ' || n_name || '?' answer, 'success' status FROM nation"
+
+
+def near_seeds(spark, sf_dir):
+    """Retrieval for the reasoners: the simple triplets at the seeds."""
+    u = graph.undirected(triplets(spark, sf_dir)).filter("r_type = 'simple'").select(F.col("a").alias("seed"), "t_id")
+    return lambda asked, seeds: seeds.join(u, "seed").select("query_id", "t_id").distinct()
+
+
+@query(_FOUND)
+def u16_weak_reasoner(spark, sf_dir):
+    return reasoning.weak(asker(spark, "weak"), nation_questions(spark, sf_dir), object_nodes(spark, sf_dir), triplets(spark, sf_dir), hashed, near_seeds(spark, sf_dir))
+
+
+@query(_FOUND)
+def u16_medium_reasoner(spark, sf_dir):
+    return reasoning.medium(asker(spark, "medium"), nation_questions(spark, sf_dir), object_nodes(spark, sf_dir), triplets(spark, sf_dir), hashed, near_seeds(spark, sf_dir), steps=2)
+
+
+@query(_FOUND)
+def u16_answer(spark, sf_dir):
+    """The whole way, with the weak reasoner."""
+    ask = asker(spark, "answer")
+    nodes, t, near = object_nodes(spark, sf_dir), triplets(spark, sf_dir), near_seeds(spark, sf_dir)
+    return reasoning.answer(ask, nation_questions(spark, sf_dir), lambda q: reasoning.weak(ask, q, nodes, t, hashed, near))
+
+
+@query("SELECT unnest(['denoise', 'decompose_classify']) task, 'success' status, count(*) n FROM nation")
+def u17_traces(spark, sf_dir):
+    ask = asker(spark, "traces")
+    reasoning.preprocess(ask, nation_questions(spark, sf_dir))
+    return ask.traces().select("task", "status", "n")
+
+
+@query("SELECT item_id, true AS \"right\", 'success' status FROM benchmark")
+def e5_judge(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.lit("Which text?").alias("query"), F.col("text").alias("gold"), F.col("text").alias("answer"))
+    yes = reasoning.Asker(spark, tasks.stub(["I say True."]), saver(spark, "judge"))
+    return reasoning.judged(yes, b).select("item_id", "right", "status")
+
+
+@query("""WITH e AS (SELECT n_nationkey k, n_name AS entity FROM nation) SELECT k::VARCHAR AS key, entity, md5(entity) id, entity AS name, true AS exact FROM e""")
+def l2_linked_nodes(spark, sf_dir):
+    """Names of nations to the nodes of just their names."""
+    e = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("entity"))
+    return reasoning.linked(object_nodes(spark, sf_dir), e, hashed).select("key", "entity", "id", "name", "exact")
+
+
+@query(graph_sql("SELECT n_nationkey query_id, string_agg(x.txt, chr(10) ORDER BY x.stringified) context FROM nation JOIN (SELECT DISTINCT a, stringified, '- ' || trim(stringified) txt FROM u JOIN t USING (t_id) WHERE t.r_type IN ('hyper', 'simple')) x ON x.a = 'object:' || md5(n_name) GROUP BY n_nationkey"))
+def l5_context(spark, sf_dir):
+    """Episodic triplets are left out."""
+    return reasoning.context_of(around(spark, sf_dir, ("simple", "hyper", "episodic")), triplets(spark, sf_dir))
+
+
+# trees as stores
+def summary_tree(spark, sf_dir):
+    """The root, regions as summarized nodes, nations as leaves."""
+    made = trees.Tree(spark, new_root(spark, "tree"), hashed, saver(spark, "tree"))
+    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    text = lambda c: F.col(c).cast("string")
+    made.create(r.select(F.lit(trees.ROOT).alias("parent"), F.concat(F.lit("r"), text("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("str_id"), F.lit("summarized").alias("type"), F.col("r_name").alias("text"), F.lit(1).alias("depth")))
+    made.create(n.select(F.concat(F.lit("r"), text("n_regionkey")).alias("parent"), F.concat(F.lit("n"), text("n_nationkey")).alias("id"), F.md5("n_name").alias("str_id"), F.lit("leaf").alias("type"), F.col("n_name").alias("text"), F.lit(2).alias("depth")))
+    return made
+
+
+@query("SELECT 'r' || n_regionkey parent, 'n' || n_nationkey child, 'leaf' AS type, n_name AS text FROM nation")
+def tr1_create(spark, sf_dir):
+    return summary_tree(spark, sf_dir).children(read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))).select("parent", "child", "type", "text")
+
+
+@query("SELECT 'n' || n_nationkey id, n_name AS text FROM nation WHERE n_nationkey % 2 = 0")
+def tr2_read_by_string_id(spark, sf_dir):
+    wanted = read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.md5("n_name").alias("str_id"))
+    return summary_tree(spark, sf_dir).read(wanted, "str_id").select("id", "text")
+
+
+@query("SELECT 'n' || n_nationkey id, CASE WHEN n_nationkey < 5 THEN 'summarized' ELSE 'leaf' END AS type, CASE WHEN n_nationkey < 5 THEN 'new ' || n_name ELSE n_name END AS text, 'r' || n_regionkey parent FROM nation")
+def tr3_update(spark, sf_dir):
+    made = summary_tree(spark, sf_dir)
+    n = read(spark, sf_dir, "nation").filter("n_nationkey < 5")
+    made.update(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("str_id"), F.lit("summarized").alias("type"), F.concat(F.lit("new "), "n_name").alias("text"), F.lit(2).alias("depth")))
+    return made.nodes.read().join(made.edges.read().withColumnRenamed("child", "id"), "id").filter("depth = 2").select("id", "type", "text", "parent")
+
+
+@query("SELECT type, count(*) n FROM (SELECT 'root' AS type UNION ALL SELECT 'summarized' FROM region UNION ALL SELECT 'leaf' FROM nation WHERE n_nationkey % 5 <> 1) GROUP BY type")
+def tr4_delete(spark, sf_dir):
+    made = summary_tree(spark, sf_dir)
+    made.delete(read(spark, sf_dir, "nation").filter("n_nationkey % 5 = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id")))
+    return made.counts()
+
+
+@query("SELECT (SELECT count(*) FROM nation) n_leaves, (SELECT count(*) FROM region) n_summarized, 1 n_roots, 2 depth, true sound")
+def tr6_depth_and_check(spark, sf_dir):
+    made = summary_tree(spark, sf_dir)
+    return made.check().select("n_leaves", "n_summarized", "n_roots", F.lit(made.max_depth()).alias("depth"), "sound")
+
+
+@query("SELECT n_nationkey query_id, 'n' || n_nationkey id, n_name AS text FROM nation")
+def tr9_lookup(spark, sf_dir):
+    """Each nation's name finds its leaf: no summary scores below a leaf's 1 except through the fixed comparison, which then gives the summary's best leaf."""
+    made = summary_tree(spark, sf_dir)
+    nodes = made.nodes.read().filter("text is not null").select("id", "type", "text", hashed(F.col("text")).alias("embedding"))
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), hashed(F.col("n_name")).alias("q"))
+    best = trees.lookup(nodes.filter("type = 'leaf'"), made.edges.read(), asked, 2)
+    return best
+
+
+@query()
+def tr10_expand(spark, sf_dir):
+    """Names put in one after another, then one taken out."""
+    made = trees.Tree(spark, new_root(spark, "expand"), hashed, saver(spark, "expand"))
+    texts = [(f"s{r.n_nationkey}", f"{r.n_name} in region {r.n_regionkey}") for r in read(spark, sf_dir, "nation").filter("n_nationkey < 4").orderBy("n_nationkey").collect()]
+    made.expand(texts, lambda old, new, n: None)
+    made.reduce(spark.createDataFrame([("s1",)], "str_id string"))
+    return made.nodes.read().select("type", "text", "depth")

@@ -41,44 +41,92 @@ def made_graph(spark, n=30, m=60):
     return graph.triplets(spark.createDataFrame(sorted(rows), "s_type string, s_name string, r_type string, r_name string, e_type string, e_name string"))
 
 
-def test_hops_and_astar(spark):
-    t = made_graph(spark)
+def neighbours(t):
     near: dict = {}
     for a, b in graph.undirected(t).select("a", "b").distinct().collect():
         near.setdefault(a, set()).add(b)
-    start = sorted(near)[0]
-    want, front = {start: 0}, [start]
-    while front:
-        nxt = []
-        for x in front:
-            for y in near[x]:
-                if y not in want:
-                    want[y] = want[x] + 1
-                    nxt.append(y)
-        front = nxt
-    got = graph.hops(t, spark.createDataFrame([(start,)], "seed string"), 4, Workspace(spark, "t").save)
-    assert {r.b: r.hop for r in got.collect()} == {k: v for k, v in want.items() if v <= 4}
-    edges = {k: sorted(v) for k, v in near.items()}
-    for goal, d in want.items():
-        path = astar.search(edges, start, goal, depth=50, passed=1000)
-        assert len(path) == d + 1 and path[0] == goal and path[-1] == start
+    return near
+
 
+def distances(near, start):
+    level, out, k = {start}, {start: 0}, 0
+    while level:
+        k += 1
+        level = {y for x in level for y in near[x]} - set(out)
+        out |= dict.fromkeys(level, k)
+    return out
 
-def test_bfs(spark):
+
+def test_hops(spark):
     t = made_graph(spark)
-    near: dict = {}
+    near = neighbours(t)
+    start = sorted(near)[0]
+    got = graph.hops(t, spark.createDataFrame([(start,)], "seed string"), 4, Workspace(spark, "t").save)
+    assert {r.b: r.hop for r in got.collect()} == {k: v for k, v in distances(near, start).items() if v <= 4}
+
+
+def test_astar_without_heuristic_finds_shortest_paths(spark):
+    t = made_graph(spark, 12, 15)
+    near = neighbours(t)
+    edges = graph.undirected(t).select("a", "b").distinct()
+    pairs = [(a, b) for a in sorted(near) for b in sorted(near) if a < b]
+    got = astar.astar(edges, spark.createDataFrame(pairs, "start string, goal string"), Workspace(spark, "astar").save, None, "zero", None, 50, 60, -1)
+    paths = {(r.start, r.goal): r.path for r in got.collect()}
+    assert set(paths) == set(pairs)
+    for (start, goal), path in paths.items():
+        assert path[-1] == start and all(b in near[a] for a, b in zip(path, path[1:]))
+        d = distances(near, start).get(goal)
+        assert (path[0] == goal and len(path) == d + 1) if d is not None else path[0] != goal
+
+
+def test_astar_bounds(spark):
+    """A line with branches: vectors lead along it; caps, depth and number of nodes cut it off."""
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [(f"n{i}", f"x{i}{k}") for i in range(6) for k in range(3)]
+    both = spark.createDataFrame([e for a, b in edges for e in ((a, b), (b, a))], "a string, b string")
+    angle = lambda i: [math.cos(i / 10), math.sin(i / 10)]
+    v = spark.createDataFrame([(f"n{i}", angle(i)) for i in range(7)] + [(f"x{i}{k}", angle(-9 - k)) for i in range(6) for k in range(3)], "id string, embedding array<double>")
+    pair = spark.createDataFrame([("n0", "n5"), ("n0", "n0")], "start string, goal string")
+
+    def go(**more):
+        out = astar.astar(both, pair, Workspace(spark, "bounds").save, v, **{"metric": "ip", "cap": 25, **more})
+        return {(r.start, r.goal): r.path for r in out.collect()}
+
+    line = [f"n{i}" for i in range(5, -1, -1)]
+    assert go(depth=6) == {("n0", "n5"): line, ("n0", "n0"): ["n0"]}
+    assert go(depth=6, cap=1)["n0", "n5"] == line  # the nearest to the goal is the next one
+    assert go(depth=3)["n0", "n5"][-1] == "n0" and len(go(depth=3)["n0", "n5"]) <= 4
+    assert go(depth=6, passed=3)["n0", "n5"] == ["n1", "n0"]  # the third one is not looked at
+    hops = graph_hops = spark.createDataFrame([("n5", f"n{i}", abs(5 - i)) for i in range(7)], "seed string, b string, hop int")
+    for metric in ("weight_with_short_path", "avg_weighted_with_short_path"):
+        assert go(depth=6, metric=metric, hops=graph_hops)["n0", "n5"] == line
+    assert one(spark, astar.heuristic("avg_weighted_with_short_path", F.lit(0.5), F.lit(1.0), F.lit(3))) == 4.5
+    assert one(spark, astar.heuristic("weight_with_short_path", F.lit(0.5), F.lit(1.0), F.lit(None).cast("int"))) == 0.5 * 1_000_001
+    with pytest.raises(ValueError, match="metric"):
+        astar.heuristic("none", F.lit(0), F.lit(0), F.lit(0))
+    assert [tuple(r) for r in astar.path_edges(hops.select(F.lit("a").alias("start"), F.lit("c").alias("goal"), F.array(F.lit("c"), F.lit("b"), F.lit("a")).alias("path")).limit(1)).orderBy("a").collect()] == [("a", "c", "b", "a"), ("a", "c", "c", "b")]
+    seeds = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (2, "z")], "query_id int, seed string")
+    assert sorted(tuple(r) for r in astar.seed_pairs(seeds).collect()) == [(1, "a", "b"), (1, "a", "c"), (1, "b", "c")]
+
+
+@pytest.mark.parametrize(("width", "passed"), [(2, 50), (100, 50), (4, 7), (-1, -1)])
+def test_bfs(spark, width, passed):
+    """What holds of a walk: every node has one triplet's other end seen before it, levels come in order, first ones first, up to `passed` nodes."""
+    t = made_graph(spark)
+    near, between = neighbours(t), {}
     for r in graph.undirected(t).select("a", "b", "t_id").collect():
-        near.setdefault(r.a, {}).setdefault(r.b, set()).add(r.t_id)
-    for width in (2, 100):
-        got, want = graph.bfs(t, spark.createDataFrame([(x,) for x in near], "seed string"), 3, width, Workspace(spark, "t").save), set()
-        for seed in near:
-            seen, front = {seed}, {seed}
-            for _ in range(3):
-                step = {(a, b) for a in front for b in sorted(x for x in near[a] if x not in seen)[:width]}
-                want |= {(seed, i) for a, b in step for i in near[a][b]}
-                front = {b for _, b in step}
-                seen |= front
-        assert {tuple(r) for r in got.collect()} == want
+        between.setdefault((r.a, r.b), set()).add(r.t_id)
+    looked = {a: [b for b in sorted(bs)[: width if width >= 0 else None] if b != a] for a, bs in near.items()}
+    got, want = graph.bfs(t, spark.createDataFrame([(x,) for x in near], "seed string"), 3, width, Workspace(spark, "t").save, passed), set()
+    for seed in near:
+        order, level = [seed], [seed]
+        for _ in range(3):
+            fresh = {}
+            for a in level:
+                fresh |= {b: a for b in looked[a] if b not in order and b not in fresh}
+            level = list(fresh)[: None if passed < 0 else max(0, passed - len(order) + 1)]
+            order += level
+            want |= {(seed, i) for b in level for i in between[fresh[b], b]}
+    assert {tuple(r) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("paths", [1, 100_000])
@@ -88,7 +136,7 @@ def test_beam(spark, paths):
     edges = graph.undirected(t).select("a", "b", "t_id", "r_id").collect()
     seeds, cost = sorted({e.a for e in edges})[:3], {r: rng.uniform(0.1, 1) for r in sorted({e.r_id for e in edges})}
     scores = spark.createDataFrame([(s, r, x) for s in seeds for r, x in cost.items()], "seed string, r_id string, s double")
-    got = graph.beam(t, spark.createDataFrame([(s,) for s in seeds], "seed string"), scores, 3, paths, 0.75, Workspace(spark, "t").save)
+    got = graph.beam(t, spark.createDataFrame([(s,) for s in seeds], "seed string"), lambda ext: ext.join(scores, ["seed", "r_id"]), 3, paths, 0.75, Workspace(spark, "t").save)
     want = {}
     for seed in seeds:
         live = [((seed,), (), 0.0)]
@@ -102,6 +150,8 @@ def test_beam(spark, paths):
                 out += more[:paths]
             live = out
         want |= {(seed, i): acc / len(i) ** 0.75 for _, i, acc in live}
+    if paths == 1:  # one of each seed stays
+        want = {k: v for k, v in want.items() if (v, k[1]) == min((x, i[1]) for i, x in want.items() if i[0] == k[0])}
     assert {(r.seed, tuple(r.t_ids)): r.cost for r in got.collect()} == pytest.approx(want)
 
 
@@ -163,60 +213,48 @@ def test_contract():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def plain_choice(rows, seeds, last):
-    """The choice of one question's texts, step by step: rows (entity, seed, kind, text, score, flag), seeds of each entity."""
-    rows = sorted(rows, key=lambda r: (r[0], -r[4], r[3]))
-    share = [1.0, 0.67, 0.5][min(len(seeds), 3) - 1]
-    cap = {k: int(share * n) for k, n in theses.MOST.items()}
-    seen, out = set(), {"hyper": [], "episodic": []}
-
-    def go(mine, levels, flagged):
-        got = []
-        for v in levels:
-            if len(got) > 1 or (v == 0.6 and got):
-                break
-            for r in mine:
-                if r[4] > v and (r[5] or not flagged) and r[3] not in seen:
-                    seen.add(r[3])
-                    got.append(r)
-        return got
-
-    got = go(rows, theses.LEVELS, True)
-    if got:
-        for k in out:
-            out[k] = [r[3] for r in got if r[2] == k][: cap[k]]
-        return out
-    for e in sorted(seeds):
-        first = min(seeds[e])
-        got = go([r for r in rows if r[0] == e], theses.OWN_LEVELS, False) if first[:1].isupper() else []
-        for k in out:
-            out[k] += [r[3] for r in got if r[2] == k][: cap[k]]
-    if not out["hyper"] and not out["episodic"]:
-        for k in out:
-            out[k] = [r[3] for r in rows if r[0] == last and r[2] == k][: cap[k]]
-    return {k: v[: theses.MOST[k]] for k, v in out.items()}
-
-
-def test_choice_of_theses(spark, tmp_path):
+def ladder_end(scores, levels):
+    """The first threshold that more than one text passes, or a single one if the next is 0.6; else the last."""
+    passing = {v: sum(x > v for x in scores) for v in levels}
+    enough = [v for v, after in zip(levels, [*levels[1:], None]) if passing[v] > (after != 0.6)]
+    return enough[0] if enough else levels[-1]
+
+
+def test_choice_of_theses(spark):
+    """Of every question: which texts may be chosen, how many of each kind, and which come when no ladder lets any through."""
     rng = random.Random(3)
-    seeds, rows, want = [], [], set()
+    seeds, rows = [], []
     for q in range(40):
-        names = {e: [rng.choice(["Ann", "oak", "Bob", "elm"]) + str(e)] for e in range(rng.randint(1, 3))}
-        names = {e: [n.rstrip("0123456789") + "xyz"[e] for n in v] for e, v in names.items()}
-        seeds += [(q, e, n) for e, v in names.items() for n in v]
-        mine = []
+        names = {e: rng.choice(["Ann", "oak", "Bob", "elm"]) + "xyz"[e] for e in range(rng.randint(1, 3))}
+        seeds += [(q, e, n) for e, n in names.items()]
         for e in names:
             for i in range(rng.choice([0, 1, 3, 40])):
-                mine.append((e, names[e][0], rng.choice(["hyper", "hyper", "episodic"]), f"t{q}.{e}.{i:03d}", rng.choice([0.0, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0]), q % 3 == 0 and rng.random() < 0.3))
-        rows += [(q, *r) for r in mine]
-        for kind, texts in plain_choice(mine, names, max(names)).items():
-            want |= {(q, kind, x) for x in texts}
-    space = Workspace(spark, "test_theses")
+                rows.append((q, e, names[e], rng.choice(["hyper", "hyper", "episodic"]), f"t{q}.{e}.{i:03d}", rng.choice([0.0, 0.5, 0.7, 1.0, 1.2, 1.5, 2.0]), q % 3 == 0 and rng.random() < 0.3))
     s = spark.createDataFrame(seeds, "query int, entity int, seed string")
     r = spark.createDataFrame(rows, "query int, entity int, seed string, kind string, text string, score double, flag boolean").withColumn("t_id", F.col("text"))
-    got = {(x.query, x.kind, x.text) for x in theses.choose(r, s, space.save).collect()}
-    assert got == want
-    same = theses.choose(r, s, space.save, same_types=True)
+    out: dict = {}
+    for x in theses.choose(r, s, Workspace(spark, "test_theses").save).collect():
+        out.setdefault((x.query, x.kind), []).append((x["rank"], x.text))
+    for q in range(40):
+        mine, own = [x for x in rows if x[0] == q], {e: n for k, e, n in seeds if k == q}
+        cap = {k: int([1.0, 0.67, 0.5][len(own) - 1] * n) for k, n in theses.MOST.items()}
+        flagged = [x for x in mine if x[6]]
+        passed = [x for x in flagged if x[5] > ladder_end([y[5] for y in flagged], theses.LEVELS)]
+        groups = [passed] if passed else []
+        if not passed:
+            for e, n in own.items():
+                its = [x for x in mine if x[1] == e] if n[0].isupper() else []
+                groups.append([x for x in its if x[5] > ladder_end([y[5] for y in its], theses.OWN_LEVELS)])
+            if not any(groups):
+                groups = [[x for x in mine if x[1] == max(own)]]
+        for kind, most in theses.MOST.items():
+            got = [t for _, t in sorted(out.get((q, kind), []))]
+            allowed = [[x for x in g if x[3] == kind] for g in groups]
+            assert len(got) == len(set(got)) == min(most, sum(min(cap[kind], len(g)) for g in allowed))
+            assert set(got) <= {x[4] for g in allowed for x in g}
+            if not passed and groups == [[x for x in mine if x[1] == max(own)]]:  # the best ones, no threshold
+                assert got == [x[4] for x in sorted(allowed[0], key=lambda x: (-x[5], x[4]))][: cap[kind]]
+    same = theses.choose(r, s, Workspace(spark, "test_same").save, same_types=True)
     assert same.groupBy("query", "kind").agg(F.max("rank").alias("m")).filter("m > if(kind = 'hyper', 25, 15)").count() == 0
     assert theses.choose(r.limit(0), s.limit(0), Workspace(spark, "test_no_theses").save).count() == 0
 
