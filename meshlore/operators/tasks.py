@@ -38,6 +38,39 @@ def batched(generate: Callable[[str, str, str | None], tuple[str, int, int, floa
     return lambda requests: requests.select("key", "system", "user", "assistant").mapInPandas(work, ANSWERS)
 
 
+def chat(url: str, model: str, style: str = "openai", options: dict | None = None, token: str | None = None, timeout: float = 60.0, trials: int = 5, wait: float = 10.0) -> Callable[[str, str, str | None], tuple[str, int, int, float]]:
+    """A function for `batched` that asks a chat server, in the OpenAI or the Ollama form; lost connections are tried again."""
+    if style not in ("openai", "ollama"):
+        raise ValueError("style must be openai or ollama")
+    path = "/chat/completions" if style == "openai" else "/api/chat"
+
+    def generate(system: str, user: str, assistant: str | None) -> tuple[str, int, int, float]:
+        import json
+        import time
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        from meshlore.sources.parquet import retried
+
+        told = [("system", system), ("user", user), *([("assistant", assistant)] if assistant is not None else [])]
+        body = {"model": model, "messages": [{"role": r, "content": c} for r, c in told], "stream": False, **({"options": options or {}} if style == "ollama" else options or {})}
+        head = {"Content-Type": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})}
+
+        @retried(trials, wait, (URLError, ConnectionError, TimeoutError))
+        def post() -> dict:
+            with urlopen(Request(url.rstrip("/") + path, json.dumps(body).encode(), head), timeout=timeout) as answer:
+                return json.load(answer)
+
+        start = time.time()
+        got = post()
+        if style == "ollama":
+            return got["message"]["content"], got.get("prompt_eval_count", 0), got.get("eval_count", 0), time.time() - start
+        used = got.get("usage", {})
+        return got["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0), time.time() - start
+
+    return generate
+
+
 def fill(template: Column, values: dict[str, Column]) -> Column:
     """The template with {name} replaced; null if a placeholder stays without value. Values are not scanned for placeholders."""
     parts = F.split(template, r"(?=\{\w+\})|(?<=\})")

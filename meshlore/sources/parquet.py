@@ -171,24 +171,28 @@ class Store:
 
 
 def stores_under(spark: SparkSession, root: str) -> list[str]:
-    """Paths of all stores below root, in order."""
+    """Paths from root of all stores below it, in order; '' is root itself."""
     path, files = hadoop(spark, root)
     if not files.exists(path):
         return []
-    below = sorted(s.getPath().toString() for s in files.listStatus(path) if s.isDirectory())
-    if any(p.rstrip("/").endswith("/commits") for p in below):
-        return [root]
-    return [s for p in below for s in stores_under(spark, p)]
+    below = sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory())
+    if "commits" in below:
+        return [""]
+    return [f"{p}/{s}".rstrip("/") for p in below for s in stores_under(spark, f"{root}/{p}")]
+
+
+def _store_at(spark: SparkSession, root: str, name: str) -> Store:
+    return Store(spark, *f"{root}/{name}".rstrip("/").rsplit("/", 1), "")
 
 
 def store_sizes(spark: SparkSession, root: str) -> dict[str, int]:
     """Rows of every store below root, by its path from there: what caches and statistics hold, stage by stage."""
-    return {p.split(root.split(":")[-1].rstrip("/") + "/")[-1]: Store(spark, *p.rsplit("/", 1), "").count() for p in stores_under(spark, root)}
+    return {p: _store_at(spark, root, p).count() for p in stores_under(spark, root)}
 
 
 def clear_stores(spark: SparkSession, root: str) -> None:
     for p in stores_under(spark, root):
-        Store(spark, *p.rsplit("/", 1), "").clear()
+        _store_at(spark, root, p).clear()
 
 
 def dump(df: DataFrame, root: str, name: str, rewrite: bool = True) -> str:

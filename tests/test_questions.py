@@ -1,6 +1,9 @@
 """Retrievers, reasoners, chains, graph reports and corpus preparation on small made inputs."""
 
+import json
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +113,36 @@ def provider(answers):
     return give
 
 
+@pytest.mark.parametrize("style", ["openai", "ollama"])
+def test_chat_servers(spark, style):
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization")))
+            said = "[Answer] " + body["messages"][-1]["content"].upper()
+            out = {"choices": [{"message": {"content": said}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}} if style == "openai" else {"message": {"content": said}, "prompt_eval_count": 3, "eval_count": 4}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = tasks.batched(tasks.chat(f"http://127.0.0.1:{server.server_port}", "m", style, {"temperature": 0}, "secret"))
+    rows = spark.createDataFrame([("k", "be brief", "hello", None)], "key string, system string, user string, assistant string")
+    assert [(r.raw, r.prompt_tokens, r.generated_tokens) for r in ask(rows).collect()] == [("[Answer] HELLO", 3, 4)]
+    server.shutdown()
+    assert set(seen) == {("/chat/completions" if style == "openai" else "/api/chat", "Bearer secret")}
+    with pytest.raises(Exception, match="refused"):
+        tasks.chat(f"http://127.0.0.1:{server.server_port}", "m", style, trials=2, wait=0, timeout=1)("a", "b", None) if not server.server_close() else None
+    with pytest.raises(ValueError, match="style"):
+        tasks.chat("", "m", "other")
+
+
 def test_preprocessing_statuses(spark):
     q = spark.createDataFrame([("a", "first and second?")], "question_id string, query string")
     go = lambda answers, **steps: reasoning.preprocess(reasoning.Asker(spark, provider(answers), saver(spark)), q, **steps).first()
