@@ -53,7 +53,7 @@ def counterfactual(words: list[str], rng: np.random.Generator) -> list[str] | No
     return None
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 3, l1: float = 1.0, seed: int = 11) -> np.ndarray:
+def train(texts: list[str], y: np.ndarray, epochs: int = 3, l1: float = 3.0, seed: int = 11) -> np.ndarray:
     model, ids, rng = Ftrl(1 << BITS, alpha=0.3, l1=l1, l2=0.1), WordIds(), np.random.default_rng(seed)
     rows = []
     for text in texts:
