@@ -13,7 +13,8 @@ for texts of 100,000 bytes and more that is out of reach. So the construction ru
    zero). A window repeats just if its common prefix with a neighbour is L or more. Rows come in order from sorted shuffle files and
    go through in bounded collections, a round at a time.
 4. Anchor strings with over HOT different contexts are split by whole windows instead: counts of 128-bit window hashes, combined before the
-   shuffle.
+   shuffle. Those that are in very many texts are known from a count ahead (of strings that some batch has HEAVY times), and their contexts are
+   dealt by their own hashes in step 2, so that no task sees all of them.
 
 Contexts meet by the hash of their anchor string and their own, 128 bits in all.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 
-LENGTH, K, HOT, ROWS, PIECE = 200, 32, 20_000, 16_384, 1 << 20
+LENGTH, K, HOT, ROWS, PIECE, HEAVY, MOST_HEAVY = 200, 32, 20_000, 16_384, 1 << 20, 32, 50_000
 ANCHOR = "ek long, kind int, k long, ctx long, cnt int, did long, rk long, p int, jlo int, jhi int"
 FOUND = "kind int, k long, settled boolean, did long, rk long, p int, jlo int, jhi int"
 
@@ -97,7 +98,25 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], (reach - shift)[np.append(new[1:], len(doc)) - 1]
 
 
-def _anchor_task(length: int):
+def _heavy_task(length: int, heavy: int):
+    """Texts -> (k, n) of the anchor strings that a batch has `heavy` times, and (null, n) of all its anchors."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for group in _pieces([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], length):
+                found.append(anchors(np.frombuffer(b"".join(x[2] for x in group), np.uint8), np.cumsum([len(x[2]) for x in group]), length)[0])
+            every = np.concatenate(found)
+            k, n = np.unique(every, return_counts=True)
+            k, n = k[n >= heavy], n[n >= heavy]
+            yield pa.RecordBatch.from_arrays([pa.array([*k.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(every)], pa.int64())], ["k", "n"])
+
+    return task
+
+
+def _anchor_task(length: int, heavy):
+    """heavy: a broadcast of sorted anchor hashes; their rows are of kind 2 and dealt by their contexts."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
@@ -124,11 +143,14 @@ def _anchor_task(length: int):
             s_doc, s_lo, s_hi = _merged(doc[order][twice], lo[order][twice], hi[order][twice] + length)
             one = order[first]
             n, m = len(one), len(s_doc)
+            known, at = heavy.value, np.searchsorted(heavy.value, k[one])
+            many = known[np.minimum(at, len(known) - 1)] == k[one] if len(known) else np.zeros(n, bool)
+            deal = np.where(many, k[one] ^ (ctx[one] * np.uint64(0x9E3779B97F4A7C15)), k[one])
             ints = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
             zero = np.zeros(m, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ints(k[one].view(np.int64), did[s_doc] ^ rk[s_doc], np.int64), ints(np.ones(n), zero, np.int32), ints(k[one].view(np.int64), zero, np.int64), ints(ctx[one].view(np.int64), zero, np.int64),
+                    ints(deal.view(np.int64), did[s_doc] ^ rk[s_doc], np.int64), ints(1 + many, zero, np.int32), ints(k[one].view(np.int64), zero, np.int64), ints(ctx[one].view(np.int64), zero, np.int64),
                     ints(np.minimum(times, 2), zero, np.int32), ints(did[doc[one]], did[s_doc], np.int64), ints(rk[doc[one]], rk[s_doc], np.int64), ints(p[one], zero, np.int32), ints(lo[one], s_lo, np.int32), ints(hi[one], s_hi, np.int32),
                 ],
                 [x.split()[0] for x in ANCHOR.split(", ")],
@@ -138,18 +160,18 @@ def _anchor_task(length: int):
 
 
 def _settle_task(length: int):
-    """Rows sorted by (kind, k, ctx): spans pass; of each anchor string, contexts seen twice become spans, the others candidates."""
+    """Rows sorted by (kind, k, ctx): spans pass; of each anchor string, contexts seen twice become spans; where it has several, or is heavy, each is a candidate."""
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def out(kind, k, settled, did, rk, p, lo, hi):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(did), kind, np.int32)), pa.array(k), pa.array(settled), pa.array(did), pa.array(rk), pa.array(p), pa.array(lo), pa.array(hi)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(kind, len(did)).astype(np.int32)), pa.array(k), pa.array(settled), pa.array(did), pa.array(rk), pa.array(p), pa.array(lo), pa.array(hi)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None
 
         def settle(cols, last: bool):
             nonlocal held, before
-            k, ctx, cnt, did, rk, p, lo, hi = cols
+            kind, k, ctx, cnt, did, rk, p, lo, hi = cols
             if not len(k):
                 return
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1])])
@@ -166,21 +188,21 @@ def _settle_task(length: int):
             run = k[first]
             after = np.append(run[1:] == run[:-1], k_next is not None and run[-1] == k_next)
             prior = np.append(before is not None and run[0] == before, run[1:] == run[:-1])
-            many, before = after | prior, run[-1]
+            many, before = after | prior | (kind[first] == 2), run[-1]
             size = np.diff(np.append(first, stop))
             span = np.flatnonzero(np.repeat(total > 1, size) & (cnt[:stop] == 1))
             if len(span):
                 yield out(0, np.zeros(len(span), np.int64), np.ones(len(span), bool), did[span], rk[span], p[span], lo[span], (hi[span] + length).astype(np.int32))
             cand = first[many]
             if len(cand):
-                yield out(1, k[cand], total[many] > 1, did[cand], rk[cand], p[cand], lo[cand], hi[cand])
+                yield out(kind[cand], k[cand], total[many] > 1, did[cand], rk[cand], p[cand], lo[cand], hi[cand])
 
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
             kind = col("kind")
-            cols = [col(c) for c in ("k", "ctx", "cnt", "did", "rk", "p", "jlo", "jhi")]
+            cols = [kind, *(col(c) for c in ("k", "ctx", "cnt", "did", "rk", "p", "jlo", "jhi"))]
             if (at := kind == 0).any():
-                k, _, _, did, rk, p, lo, hi = (x[at] for x in cols)
+                _, k, _, _, did, rk, p, lo, hi = (x[at] for x in cols)
                 yield out(0, k, np.ones(len(k), bool), did, rk, p, lo, hi)
                 cols = [x[~at] for x in cols]
             if held is not None:
@@ -313,18 +335,22 @@ def _kept_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, hot: int = HOT, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary): maximal runs of repeated bytes and what remains without them."""
     ship(spark)
     scratch = Scratch(spark, "repeats")
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("did"), F.xxhash64("doc_id", "text").alias("rk"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    rows = keyed.select("did", "rk", "text").mapInArrow(_anchor_task(length), ANCHOR)
+    counts = scratch.save(keyed.select("text").mapInArrow(_heavy_task(length, heavy), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "counts")
+    every = counts.filter("k is null").first()
+    bar = max(hot, (every.n if every else 0) // MOST_HEAVY)  # so at most MOST_HEAVY strings reach it
+    known = np.array(sorted(r.k % (1 << 64) for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > bar)).select("k").collect()), np.uint64)
+    rows = keyed.select("did", "rk", "text").mapInArrow(_anchor_task(length, spark.sparkContext.broadcast(known)), ANCHOR)
     rows = rows.repartition("ek").sortWithinPartitions("kind", "k", "ctx")
     found = scratch.save(rows.mapInArrow(_settle_task(length), FOUND), "found")
     cand = found.filter("kind = 1").select("k", "settled", "did", "rk", "p", "jlo", "jhi")
     many = scratch.save(cand.groupBy("k").count().filter(F.col("count") > hot).select("k"), "hot")
-    n_hot = many.count()
+    n_hot, wide = many.count(), found.filter("kind = 2").select("k", "settled", "did", "rk", "p", "jlo", "jhi")
     packed = keyed.mapInArrow(_pack_task, "did long, rk long, z binary, doc_id long")
 
     def with_texts(c: DataFrame) -> DataFrame:
@@ -333,10 +359,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, h
 
     spans = found.filter("kind = 0").select("did", "rk", "jlo", "jhi")
     cool = cand
-    if n_hot:
+    if n_hot or len(known):
         side = F.broadcast(many) if n_hot <= 20_000 else many
         cool = cand.join(side, "k", "left_anti")
-        windows = scratch.save(with_texts(cand.join(side, "k", "left_semi")).mapInArrow(_context_task(length, True), "h binary, n long, did long, rk long, jlo int"), "windows")
+        windows = scratch.save(with_texts(cand.join(side, "k", "left_semi").union(wide)).mapInArrow(_context_task(length, True), "h binary, n long, did long, rk long, jlo int"), "windows")
         twice = windows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
         spans = spans.union(windows.filter("n = 1").join(twice, "h").select("did", "rk", "jlo", (F.col("jlo") + length).alias("jhi")))
     contexts = with_texts(cool).mapInArrow(_context_task(length, False), "k long, settled boolean, did long, rk long, p int, jlo int, bytes binary")
