@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlore.operators.graph import UNREACHABLE
 from meshlore.operators.retrieval import dot
 
-#: Distance of nodes without a path; the names of the heuristics.
-UNREACHABLE = 1_000_001
+#: The names of the heuristics.
 METRICS = ("zero", "ip", "weight_with_short_path", "avg_weighted_with_short_path")
 
 

@@ -18,13 +18,24 @@ from meshlore.functions import ids
 LEGAL = {"simple": [("object", "object")], "hyper": [("object", "hyper")], "episodic": [("object", "episodic"), ("hyper", "episodic")], "time": [("time", "episodic"), ("time", "hyper")]}
 
 
+PROPS = "array<struct<k:string,v:string>>"
+
+
 def triplets(rows: DataFrame) -> DataFrame:
-    """From (s_type, s_name, r_type, r_name, e_type, e_name); illegal endpoint types raise."""
+    """From (s_type, s_name, r_type, r_name, e_type, e_name) and, where there are such, s_props, r_props, e_props (array<struct<k, v>>, in order); illegal endpoint types raise.
+
+    A node's id is that of its text with time and properties, so one name with other properties is another node.
+    """
     legal = reduce(lambda a, b: a | b, [(F.col("r_type") == r) & (F.col("s_type") == s) & (F.col("e_type") == e) for r, pairs in LEGAL.items() for s, e in pairs])
     rows = rows.filter(F.when(legal, True).otherwise(F.raise_error(F.lit("a relation of this type can't join these nodes"))))
     rows = rows.withColumn("r_name", F.when(F.col("r_type") == "simple", F.col("r_name")).otherwise(F.col("r_type")))
-    text = ids.triplet_text(F.col("r_type"), F.col("s_name"), F.col("r_name"), F.col("e_name"))
-    rows = rows.withColumns({"stringified": text, "s_id": ids.create_id(F.col("s_name")), "e_id": ids.create_id(F.col("e_name"))}).withColumn("r_id", ids.create_id(F.col("stringified")))
+    props = {x: F.coalesce(F.col(f"{x}_props"), F.array().cast(PROPS)) for x in "sre" if f"{x}_props" in rows.columns}
+    shown = {x: F.concat(F.col(f"{x}_name"), ids.suffix(props[x])) if x in props else F.col(f"{x}_name") for x in "sre"}
+    text = ids.triplet_text(F.col("r_type"), F.when(F.col("r_type") == "time", F.col("s_name")).otherwise(shown["s"]), shown["r"], shown["e"])
+    for kinds, x in ((("simple",), "r"), (("hyper", "episodic"), "e")):
+        if x in props:
+            text = F.concat(F.when(F.col("r_type").isin(*kinds), ids.time_prefix(props[x])).otherwise(""), text)
+    rows = rows.withColumns({"stringified": text, **{f"{x}_id": ids.create_id(ids.node_text(F.col(f"{x}_name"), props.get(x))) for x in "se"}}).withColumn("r_id", ids.create_id(F.col("stringified")))
     return rows.withColumn("t_id", ids.triplet_id(*(F.col(c) for c in ("s_type", "s_id", "r_type", "r_id", "e_type", "e_id"))))
 
 
@@ -224,6 +235,16 @@ def hops(t: DataFrame, seeds: DataFrame, depth: int, save) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+#: Fixed value: the distance of nodes without a path.
+UNREACHABLE = 1_000_001
+
+
+def distances(t: DataFrame, pairs: DataFrame, depth: int, save) -> DataFrame:
+    """(a, b, hop) of pairs (a, b): the least number of edges, UNREACHABLE if there is no path within depth."""
+    near = hops(t, pairs.select(F.col("a").alias("seed")).distinct(), depth, save).withColumnRenamed("seed", "a")
+    return pairs.select("a", "b").distinct().join(near, ["a", "b"], "left").select("a", "b", F.coalesce("hop", F.lit(UNREACHABLE)).alias("hop"))
+
+
 def bfs(t: DataFrame, seeds: DataFrame, depth: int, width: int, save, passed: int = 50) -> DataFrame:
     """(seed, t_id): triplets between each node and those first seen from it, on a walk breadth first from every seed (seed).
 

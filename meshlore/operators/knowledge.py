@@ -91,24 +91,33 @@ class Knowledge:
 
 
 def extract(texts: DataFrame, raw_triplets: Column, raw_theses: Column) -> DataFrame:
-    """texts (text_id, text, time) with generated answers -> (text_id, s_type, ..., e_name, status): rows of triplets, or one with status zero_triplets.
+    """texts (text_id, text, time, and props where there are such) with generated answers -> (text_id, s_type, ..., e_name, s_props, r_props, e_props, status): rows of triplets, or one with status zero_triplets.
 
-    Simple triplets and theses with their entities as parsed; every entity and thesis is linked to the text, and the time, where there is one, to text and theses. Entities
-    of one text count once.
+    Simple triplets and theses with their entities as parsed; every entity and thesis is linked to the text, and the time, where there is one, to text and theses. A text's
+    properties and its time are its relations' in simple triplets, and those of theses, their entities and the text's node; entities of one text that read alike count once.
     """
-    spo = texts.select("text_id", F.explode(parsers.triplet_lines(raw_triplets)).alias("x")).select("text_id", "x.*")
-    row = lambda df, s, r, e, types: df.select("text_id", F.lit(types[0]).alias("s_type"), s.alias("s_name"), F.lit(types[1]).alias("r_type"), r.alias("r_name"), F.lit(types[2]).alias("e_type"), e.alias("e_name"))
-    simple = row(spo, F.col("s"), F.col("r"), F.col("o"), ("object", "simple", "object"))
-    th = texts.select("text_id", F.explode(parsers.theses(raw_theses)).alias("x")).select("text_id", "x.thesis", F.explode("x.entities").alias("entity"))
-    hyper = row(th, F.col("entity"), F.lit("hyper"), F.col("thesis"), ("object", "hyper", "hyper"))
-    entities = reduce(DataFrame.union, [spo.select("text_id", F.lit("object").alias("kind"), F.col("s").alias("name")), spo.select("text_id", F.lit("object"), "o"), th.select("text_id", F.lit("object"), "entity"), th.select("text_id", F.lit("hyper"), "thesis")]).distinct()
-    told = entities.join(texts.select("text_id", "text", "time"), "text_id")
-    episodic = told.select("text_id", F.col("kind").alias("s_type"), F.col("name").alias("s_name"), F.lit("episodic").alias("r_type"), F.lit("episodic").alias("r_name"), F.lit("episodic").alias("e_type"), F.col("text").alias("e_name"))
-    timed = told.filter("time is not null")
-    time = row(timed.select("text_id", "time", "text").distinct(), F.col("time"), F.lit("time"), F.col("text"), ("time", "time", "episodic")).union(row(timed.filter("kind = 'hyper'").distinct(), F.col("time"), F.lit("time"), F.col("name"), ("time", "time", "hyper")))
-    every = reduce(DataFrame.union, [simple, hyper, episodic, time]).distinct().withColumn("status", F.lit("success"))
-    none = texts.select("text_id").join(every.select("text_id").distinct(), "text_id", "left_anti").select("text_id", *[F.lit(None).cast("string").alias(c) for c in ROWS], F.lit("zero_triplets").alias("status"))
-    return every.unionByName(none)
+    given = F.coalesce(F.col("props"), F.array().cast(graph.PROPS)) if "props" in texts.columns else F.array().cast(graph.PROPS)
+    timed = F.when(F.col("time").isNotNull(), F.array(F.struct(F.lit("time").alias("k"), F.col("time").alias("v")))).otherwise(F.array().cast(graph.PROPS))
+    texts = texts.withColumn("p", F.concat(given, timed))
+    none = F.array().cast(graph.PROPS)
+
+    def row(df: DataFrame, s: str, r: Column, e: str, types: tuple[str, str, str], props: tuple[Column, Column, Column]) -> DataFrame:
+        kinds = [F.lit(k).alias(c) for k, c in zip(types, ("s_type", "r_type", "e_type"), strict=True)]
+        return df.select("text_id", kinds[0], F.col(s).alias("s_name"), kinds[1], r.alias("r_name"), kinds[2], F.col(e).alias("e_name"), *[p.alias(c) for p, c in zip(props, ("s_props", "r_props", "e_props"), strict=True)])
+
+    spo = texts.select("text_id", "p", F.explode(parsers.triplet_lines(raw_triplets)).alias("x")).select("text_id", "p", "x.*")
+    simple = row(spo, "s", F.col("r"), "o", ("object", "simple", "object"), (none, F.col("p"), none))
+    th = texts.select("text_id", "p", F.explode(parsers.theses(raw_theses)).alias("x")).select("text_id", "p", "x.thesis", F.explode("x.entities").alias("entity"))
+    hyper = row(th, "entity", F.lit("hyper"), "thesis", ("object", "hyper", "hyper"), (F.col("p"), none, F.col("p")))
+    entity = lambda df, kind, name, props: df.select("text_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), props.alias("own"))
+    entities = reduce(DataFrame.union, [entity(spo, "object", "s", none), entity(spo, "object", "o", none), entity(th, "object", "entity", F.col("p")), entity(th, "hyper", "thesis", F.col("p"))]).distinct()
+    told = entities.join(texts.select("text_id", "text", "time", "p"), "text_id")
+    episodic = told.select("text_id", F.col("kind").alias("s_type"), F.col("name").alias("s_name"), *[F.lit("episodic").alias(c) for c in ("r_type", "r_name", "e_type")], F.col("text").alias("e_name"), F.col("own").alias("s_props"), none.alias("r_props"), F.col("p").alias("e_props"))
+    dated = told.filter("time is not null")
+    time = row(dated, "time", F.lit("time"), "text", ("time", "time", "episodic"), (none, none, F.col("p"))).union(row(dated.filter("kind = 'hyper'"), "time", F.lit("time"), "name", ("time", "time", "hyper"), (none, none, F.col("own"))))
+    every = reduce(DataFrame.unionByName, [simple, hyper, episodic, time]).distinct().withColumn("status", F.lit("success"))
+    left = texts.select("text_id").join(every.select("text_id").distinct(), "text_id", "left_anti")
+    return every.unionByName(left.select("text_id", *[F.lit(None).cast("string").alias(c) for c in ROWS], *[F.lit(None).cast(graph.PROPS).alias(c) for c in ("s_props", "r_props", "e_props")], F.lit("zero_triplets").alias("status")))
 
 
 def simple_candidates(t: DataFrame, new: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def remember(store: Knowledge, texts: DataFrame, raw_triplets: Column, raw_these
     """Extract from texts (text_id, text, time, generated answers), update the store and save what came from which text. Returns (text_id, status, n)."""
     rows = save(extract(texts, raw_triplets, raw_theses), "extracted")
     good = rows.filter("status = 'success'")
-    t = save(graph.triplets(good.select("text_id", *ROWS)), "triplets")
+    t = save(graph.triplets(good.drop("status")).drop("s_props", "r_props", "e_props"), "triplets")
     store.save_origin(t.select("text_id", "t_id"))
     new = t.drop("text_id").dropDuplicates(["t_id"])
     update(store, new.filter("r_type <> 'time'"), choose)

@@ -1,5 +1,6 @@
 """Retrievers, reasoners, chains, graph reports and corpus preparation on small made inputs."""
 
+import hashlib
 import json
 import random
 import threading
@@ -193,6 +194,19 @@ def test_extraction_and_statuses(spark):
     assert values(got.filter("text_id = 2"), "status") == [("zero_triplets",)]
 
 
+def test_properties_are_part_of_ids(spark):
+    texts = spark.createDataFrame([(1, "T", "May", [("lang", "en"), ("type", "x")], "a | b | c", "th | ['a']")], "text_id int, text string, time string, props array<struct<k:string,v:string>>, r string, th string")
+    rows = knowledge.extract(texts, F.col("r"), F.col("th"))
+    t = graph.triplets(rows.drop("status"))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    got = {(r.s_name, r.r_type, r.e_name, r.s_id): (r.stringified, r.e_id) for r in t.collect()}
+    seen = "May: a (lang: en)"
+    assert got["a", "simple", "c", md5("a")] == ("May: a b (lang: en) c", md5("c"))
+    assert got["a", "hyper", "th", md5(seen)] == ("May: th (lang: en)", md5("May: th (lang: en)"))
+    assert {k[3] for k in got if k[:2] == ("a", "episodic")} == {md5("a"), md5(seen)}
+    assert got["May", "time", "T", md5("May")] == ("May: T (lang: en)", md5("May: T (lang: en)"))
+
+
 def test_parsers_of_bad_answers(spark):
     assert one(spark, parsers.triplet_lines(F.lit("a | . | c"))) is None and one(spark, parsers.triplet_list(F.lit("a, , c"))) is None
     for bad in (parsers.triplet_lines(F.lit("a | . | c"), True), parsers.triplet_list(F.lit(""), True)):
