@@ -19,7 +19,7 @@ def suffix(props: Column) -> Column:
 
 
 def time_prefix(props: Column) -> Column:
-    found = F.element_at(F.filter(props, lambda p: p.k == "time"), 1)
+    found = F.get(F.filter(props, lambda p: p.k == "time"), 0)
     return F.when(F.exists(props, lambda p: p.k == "time"), F.concat(found.v, F.lit(": "))).otherwise("")
 
 

@@ -27,7 +27,6 @@ def triplets(rows: DataFrame) -> DataFrame:
     A node's id is that of its text with time and properties, so one name with other properties is another node.
     """
     legal = reduce(lambda a, b: a | b, [(F.col("r_type") == r) & (F.col("s_type") == s) & (F.col("e_type") == e) for r, pairs in LEGAL.items() for s, e in pairs])
-    rows = rows.filter(F.when(legal, True).otherwise(F.raise_error(F.lit("a relation of this type can't join these nodes"))))
     rows = rows.withColumn("r_name", F.when(F.col("r_type") == "simple", F.col("r_name")).otherwise(F.col("r_type")))
     props = {x: F.coalesce(F.col(f"{x}_props"), F.array().cast(PROPS)) for x in "sre" if f"{x}_props" in rows.columns}
     shown = {x: F.concat(F.col(f"{x}_name"), ids.suffix(props[x])) if x in props else F.col(f"{x}_name") for x in "sre"}
@@ -36,7 +35,8 @@ def triplets(rows: DataFrame) -> DataFrame:
         if x in props:
             text = F.concat(F.when(F.col("r_type").isin(*kinds), ids.time_prefix(props[x])).otherwise(""), text)
     rows = rows.withColumns({"stringified": text, **{f"{x}_id": ids.create_id(ids.node_text(F.col(f"{x}_name"), props.get(x))) for x in "se"}}).withColumn("r_id", ids.create_id(F.col("stringified")))
-    return rows.withColumn("t_id", ids.triplet_id(*(F.col(c) for c in ("s_type", "s_id", "r_type", "r_id", "e_type", "e_id"))))
+    wrong = F.raise_error(F.lit("a relation of this type can't join these nodes"))  # in the id, since a filter could run before rows are dropped
+    return rows.withColumn("t_id", F.when(legal, ids.triplet_id(*(F.col(c) for c in ("s_type", "s_id", "r_type", "r_id", "e_type", "e_id")))).otherwise(wrong.cast("string")))
 
 
 def nodes(t: DataFrame) -> DataFrame:

@@ -169,10 +169,10 @@ def test_reasoners_statuses(spark, small):
     assert run(reasoning.weak, say) == ("a", "in Rome", "success")
     assert run(reasoning.weak, say, none) == ("a", None, "zero_retrieved_triplets")
     assert run(reasoning.weak, {**say, "Name": " | "}) == ("a", None, "bad_parser")
-    assert run(reasoning.medium, {**say, "Tell whether what": "True"}, steps=2) == ("a", "Rome at last", "success")
+    assert run(reasoning.medium, {**say, "Tell whether what": "True"}, steps=1) == ("a", "Rome at last", "success")
     stays = {**say, "Tell whether what": "False", "Tell whether the rest": "False"}
-    assert run(reasoning.medium, stays, steps=3) == ("a", reasoning.NO_ANSWER, "success")
-    assert run(reasoning.medium, stays, steps=2, behaviour="answer") == ("a", "Rome at last", "success")
+    assert run(reasoning.medium, stays, steps=2) == ("a", reasoning.NO_ANSWER, "success")
+    assert run(reasoning.medium, stays, steps=1, behaviour="answer") == ("a", "Rome at last", "success")
     assert run(reasoning.medium, {**say, "Write numbered": "no plan"}, steps=2) == ("a", None, "bad_parser")
     with pytest.raises(ValueError, match="behaviour"):
         run(reasoning.medium, say, behaviour="other")
@@ -190,14 +190,14 @@ def test_parts_are_put_together(spark):
 def test_extraction_and_statuses(spark):
     texts = spark.createDataFrame([(1, "T", "now", "a | b | c", "th | ['a', 'd']"), (2, "U", None, "no", "no")], "text_id int, text string, time string, r string, th string")
     got = knowledge.extract(texts, F.col("r"), F.col("th"))
-    assert values(got.filter("text_id = 1"), "s_name", "r_type", "e_name") == [("a", "episodic", "T"), ("a", "hyper", "th"), ("a", "simple", "c"), ("c", "episodic", "T"), ("d", "episodic", "T"), ("d", "hyper", "th"), ("now", "time", "T"), ("now", "time", "th"), ("th", "episodic", "T")]
+    assert values(got.filter("text_id = 1"), "s_name", "r_type", "e_name") == [("a", "episodic", "T"), ("a", "episodic", "T"), ("a", "hyper", "th"), ("a", "simple", "c"), ("c", "episodic", "T"), ("d", "episodic", "T"), ("d", "hyper", "th"), ("now", "time", "T"), ("now", "time", "th"), ("th", "episodic", "T")]
     assert values(got.filter("text_id = 2"), "status") == [("zero_triplets",)]
 
 
 def test_properties_are_part_of_ids(spark):
     texts = spark.createDataFrame([(1, "T", "May", [("lang", "en"), ("type", "x")], "a | b | c", "th | ['a']")], "text_id int, text string, time string, props array<struct<k:string,v:string>>, r string, th string")
     rows = knowledge.extract(texts, F.col("r"), F.col("th"))
-    t = graph.triplets(rows.drop("status"))
+    t = graph.triplets(rows.filter("status = 'success'").drop("status"))
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     got = {(r.s_name, r.r_type, r.e_name, r.s_id): (r.stringified, r.e_id) for r in t.collect()}
     seen = "May: a (lang: en)"
