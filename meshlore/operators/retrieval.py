@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from meshlore.sources.parquet import Workspace
+
 K1, B = 1.5, 0.75
 #: Queries that one task holds, and vectors that meet them there.
 FEW_QUERIES, VECTOR_BLOCK = 2048, 1 << 18
@@ -161,7 +163,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, subset: DataFrame | None =
     """
     asked = asked_terms(queries)
     total = docs.agg(F.count("*").alias("n"), F.sum(F.size(words("text"))).alias("all_len"))
-    return bm25_scores(postings(docs, asked.select("term").distinct()), total, asked, k, subset, scale)
+    index = Workspace(docs.sparkSession, "bm25").save(postings(docs, asked.select("term").distinct()), "postings")  # read twice
+    return bm25_scores(index, total, asked, k, subset, scale)
 
 
 def backfill(hits: DataFrame, subset: DataFrame, k: int, score: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ from meshlore.functions import embeddings, ids, parsers
 from meshlore.functions.embeddings import hashed
 from meshlore.operators import astar, chains, corpus, graph, knowledge, memory, reasoning, retrieval, retrievers, tasks, theses, trees
 from meshlore.operators.retrieval import dot
-from meshlore.plans.tables import bm25_sql, embed_sql, graph_sql, questions, read, retrieval_sql, saver, stored, triplets
+from meshlore.plans.tables import bm25_sql, embed_sql, graph_sql, questions, read, retrieval_sql, saver, spread, triplets
 from meshlore.plans.tables import vectors as graph_vectors
 from meshlore.sources.index import Composer, LexicalIndex, VectorIndex
 from meshlore.sources.parquet import Store, Workspace
@@ -481,7 +481,7 @@ _BM25 = "WITH " + bm25_sql(_DOCS, _ITEMS) + " "
 
 
 def documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def items(spark, sf_dir):
@@ -844,7 +844,7 @@ def d3_noise_documents(spark, sf_dir):
 
 @query()
 def d7_chunks(spark, sf_dir):
-    return corpus.chunks(read(spark, sf_dir, "documents"), 1024, 64).select("doc_id", "chunk", "hash")
+    return corpus.chunks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), 1024, 64).select("doc_id", "chunk", "hash")
 
 
 @query(f"WITH kept AS (SELECT doc_id FROM ({_KEPT})), f AS (SELECT * FROM ({_QA}) WHERE qa_id % 4 <> 0 AND list_has_all((SELECT list(doc_id) FROM kept), refs)) SELECT qa_id, list_extract(refs, 1) first_ref FROM f")

@@ -17,6 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores has few row groups, and is dealt out; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def triplet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: read(spark, sf_dir, n)
     region, nation, customer, supplier, part = (t(x) for x in ("region", "nation", "customer", "supplier", "part"))
