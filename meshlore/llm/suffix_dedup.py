@@ -13,7 +13,7 @@ for texts of 100,000 bytes and more that is out of reach. So the construction ru
    zero). A window repeats just if its common prefix with a neighbour is L or more. Rows come in order from sorted shuffle files and
    go through in bounded collections, a round at a time.
 4. Anchor strings with over HOT different contexts are split by whole windows instead: counts of 128-bit window hashes, combined before the
-   shuffle. Those that are in very many texts are known from a count ahead (of strings that some batch has HEAVY times), and their contexts are
+   shuffle. Those that come over HEAVY_ROWS times are known from a count ahead (of strings that some batch has HEAVY times), and their contexts are
    dealt by their own hashes in step 2, so that no task sees all of them.
 
 Contexts meet by the hash of their anchor string and their own, 128 bits in all.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 
-LENGTH, K, HOT, ROWS, PIECE, HEAVY, MOST_HEAVY = 200, 32, 20_000, 16_384, 1 << 20, 32, 50_000
+LENGTH, K, HOT, ROWS, PIECE, HEAVY, HEAVY_ROWS, MOST_HEAVY = 200, 32, 20_000, 16_384, 1 << 20, 32, 1 << 20, 50_000
 ANCHOR = "ek long, kind int, k long, ctx long, cnt int, did long, rk long, p int, jlo int, jhi int"
 FOUND = "kind int, k long, settled boolean, did long, rk long, p int, jlo int, jhi int"
 
@@ -335,7 +335,7 @@ def _kept_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, hot: int = HOT, heavy: int = HEAVY) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, hot: int = HOT, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary): maximal runs of repeated bytes and what remains without them."""
     ship(spark)
     scratch = Scratch(spark, "repeats")
@@ -343,7 +343,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, h
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("did"), F.xxhash64("doc_id", "text").alias("rk"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     counts = scratch.save(keyed.select("text").mapInArrow(_heavy_task(length, heavy), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "counts")
     every = counts.filter("k is null").first()
-    bar = max(hot, (every.n if every else 0) // MOST_HEAVY)  # so at most MOST_HEAVY strings reach it
+    bar = max(heavy_rows, (every.n if every else 0) // MOST_HEAVY)  # so at most MOST_HEAVY strings reach it
     known = np.array(sorted(r.k % (1 << 64) for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > bar)).select("k").collect()), np.uint64)
     rows = keyed.select("did", "rk", "text").mapInArrow(_anchor_task(length, spark.sparkContext.broadcast(known)), ANCHOR)
     rows = rows.repartition("ek").sortWithinPartitions("kind", "k", "ctx")

@@ -53,9 +53,9 @@ def repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("hot", "heavy"), [(20_000, 32), (1, 32), (1, 1), (3, 2)])
-def test_repeated_spans(docs, texts, hot, heavy):
-    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(docs.sparkSession, docs, hot=hot, heavy=heavy).collect()}
+@pytest.mark.parametrize(("hot", "heavy", "rows"), [(20_000, 32, 1 << 20), (1, 32, 1 << 20), (1, 1, 1), (20_000, 2, 3)])
+def test_repeated_spans(docs, texts, hot, heavy, rows):
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(docs.sparkSession, docs, hot=hot, heavy=heavy, heavy_rows=rows).collect()}
     for i, kept in enumerate(repeats(texts)):
         assert bytes(got[i].kept) == kept, i
         assert got[i].n_bytes - sum(s.end - s.start for s in got[i].spans) == len(kept)
