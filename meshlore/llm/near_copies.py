@@ -1,10 +1,15 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles.
+"""Near copies by SimHash and the generalised pigeonhole principle, with the exact Jaccard similarity of the sets of five-word shingles.
 
-Every set has BANDS keys, each from ROWS minima of its shingles under hashes of their own; sets that share a key are candidates. Two sets of
-similarity s share none with probability (1 - s**ROWS)**BANDS, which is 4e-7 at 0.8 and less above, whatever the edit (scattered words or
-whole blocks). Candidates are linked only if the exact similarity of their sets is SIMILARITY or more.
+A set's fingerprint has BITS bits, each 1 if set in over half of the shingles' hashes. As in simhash.py the bits are grouped into PARTS partitions of
+correlated bits and a dynamic programme gives each its threshold, so that the thresholds sum to TAU - PARTS + 1 at the least estimated cost; fingerprints
+that differ in at most TAU bits agree within the threshold in some partition. Sets of similarity 0.8 differ in 15 % of the bits, more than TAU;
+but as bits differ at random, 16 of them agree in 7 of 100 partitions, so that some of PARTS do with probability 0.997, and more above 0.8. Groups and
+thresholds are chosen by the SAMPLE nodes of least hash; whatever they are, TAU is covered.
 
-Equal sets are one node. Buckets with the same members are one bucket. A bucket is cut into cells of about BLOCK nodes, each with the
+Nodes that agree in a partition and differ in at most NEAR of the first 128 bits are candidates (of similarity 0.8: all but 1 in 20,000; of unrelated
+ones 4 in 10 million). Their connected components are the buckets, and sets in a bucket are linked only if the exact similarity is SIMILARITY or more.
+
+Equal sets are one node. A bucket is cut into cells of about BLOCK nodes, each with the
 bucket's least node too; where nodes of a cut bucket are still apart after that, those outside its largest component meet all others.
 Cells return spanning forests, not pairs. Null and empty texts are the empty set.
 """
@@ -12,6 +17,8 @@ Cells return spanning forests, not pairs. Null and empty texts are the empty set
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordIds, ship
 from .components import connected_components
 from .decontaminate import shingle_hashes
-from .simhash import words_of
+from .simhash import PROBE, allocate, correlated_groups, words_of
 
-WIDTH, SIMILARITY, BANDS, ROWS, BLOCK, DOCS_A_TIME = 5, 0.8, 28, 4, 1024, 500
+WIDTH, SIMILARITY, BLOCK, DOCS_A_TIME = 5, 0.8, 1024, 500
+#: Words of 64 bits in a fingerprint, each cut into PARTS / WORDS partitions. MOST: the largest threshold of a partition.
+WORDS, PARTS, MOST, NEAR, SAMPLE, LARGE = 20, 80, 2, 36, 8192, 256
+BITS, TAU = 64 * WORDS, PARTS - 1
 _RNG = np.random.default_rng(42)
-FLIP, TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+FLIP, TIMES = _RNG.integers(0, 1 << 64, WORDS, np.uint64), _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 
 
 class WordHashes(WordIds):
@@ -45,17 +54,59 @@ def shingle_set(ids: WordHashes, text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)), WIDTH))
 
 
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits, packed into bytes: those set in over half of the shingles' hashes; zero without shingles."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 240):  # sums of a byte each
+        h = (shingles[at : at + 240, None] ^ FLIP) * TIMES
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(shingles))
+
+
+def partition_values(prints: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """(nodes, partitions) values of packed fingerprints; the first bit of a group is the lowest of the value."""
+    bits, out = np.unpackbits(prints, axis=1), np.zeros((len(prints), len(groups)), np.int32)
+    for i, group in enumerate(groups):
+        for k, b in enumerate(group):
+            out[:, i] |= bits[:, b].astype(np.int32) << k
+    return out
+
+
+def plain_groups() -> list[list[int]]:
+    return np.arange(BITS).reshape(PARTS, -1).tolist()
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        low = np.minimum(low, ((shingles[at : at + 512, None] ^ FLIP) * TIMES).min(0))
-    low ^= low >> np.uint64(31)
-    out = (low.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) + MIX[:, 0]
-    return out ^ (out >> np.uint64(29))
+    """Keys under which a set is met, with bits grouped in their order and all thresholds zero."""
+    return partition_values(fingerprint(shingles)[None], plain_groups())[0] | np.arange(PARTS, dtype=np.int32) << 16
+
+
+def partitions(sample: np.ndarray, n: int) -> tuple[list[list[int]], list[int]]:
+    """Groups of bits and their thresholds for n nodes, by the packed fingerprints of a sample of these."""
+    if len(sample) < 2:
+        return plain_groups(), [0] * PARTS
+    bits, groups = np.unpackbits(sample, axis=1).astype(np.float32), []
+    share = bits.mean(0, dtype=np.float64)
+    differ = 2 * share * (1 - share)
+    for w in range(0, BITS, 64):
+        x = bits[:, w : w + 64]
+        groups += [[w + b for b in g] for g in correlated_groups((x.T @ x).astype(np.float64) / len(x), PARTS // WORDS)]
+    values, scale, costs = partition_values(sample, groups), n / len(sample), []
+    for i, group in enumerate(groups):
+        ways = [1.0] + [0.0] * MOST  # as in simhash.links_within
+        for b in group:
+            q = min(differ[b], 0.499)
+            for k in range(MOST, 0, -1):
+                ways[k] += ways[k - 1] * q / (1 - q)
+        met = (np.bincount(values[:, i]).astype(np.float64) ** 2).sum() * scale**2
+        costs.append([met * sum(ways[: t + 1]) + PROBE * n * sum(comb(len(group), k) for k in range(t + 1)) for t in range(MOST + 1)])
+    return groups, allocate(costs, TAU - PARTS + 1)
 
 
 def prints(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, node, bands, shingles): key is the text's hash, node that of its set."""
+    """(row, doc_id, key, node, print, shingles): key is the text's hash, node that of its set."""
     ship(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +116,93 @@ def prints(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, DOCS_A_TIME)
                 sets = [shingle_set(ids, x.as_py()) for x in part.column(2)]
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([band_keys(s) for s in sets]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(1), pa.array(node), bands, pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "doc_id", "key", "node", "bands", "shingles"])
+                found = pa.array([fingerprint(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(1), pa.array(node), found, pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "doc_id", "key", "node", "print", "shingles"])
                 row += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(task, "row long, doc_id long, key long, node long, bands array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(task, "row long, doc_id long, key long, node long, print binary, shingles binary")
+
+
+def near_forest(role: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Places of one bucket's rows, a spanning forest of the pairs that differ in at most NEAR bits, one of them at home."""
+    comp, links, todo = np.arange(len(c)), [], np.ones(len(c), bool)
+    while True:  # a pair both of whose rows are still to do is in one component at the end
+        left = np.bincount(comp[todo], minlength=1)
+        if (left > 0).sum() < 2:
+            return links
+        x = int(np.flatnonzero(todo & (comp != left.argmax()))[0]) if not todo.all() else 0
+        near = (np.bitwise_count(c ^ c[x]).sum(1, dtype=np.int64) <= NEAR) & (comp != comp[x])
+        if role[x]:
+            near &= role == 0
+        for y in np.unique(comp[near], return_index=True)[1]:
+            links.append((x, int(np.flatnonzero(near)[y])))
+        comp[np.isin(comp, comp[near])] = comp[x]
+        todo[x] = False
+
+
+def near_pairs(k: np.ndarray, role: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows sorted by k that meet in small buckets and differ in at most NEAR bits, forests of those in large ones."""
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(first, len(k)))
+    last = np.repeat(first + size, size)
+    at, d, x, y = np.flatnonzero(np.repeat((size > 1) & (size <= LARGE), size)), 1, [], []
+    while len(at := at[at + d < last[at]]):
+        ok = at[((role[at] == 0) | (role[at + d] == 0)) & (np.bitwise_count(c[at] ^ c[at + d]).sum(1, dtype=np.int64) <= NEAR)]
+        x.append(ok)
+        y.append(ok + d)
+        d += 1
+    for a, n in zip(first[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
+        found = a + np.array(near_forest(role[a : a + n], c[a : a + n]), np.int64).reshape(-1, 2)
+        x.append(found[:, 0])
+        y.append(found[:, 1])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *x]), np.concatenate([none, *y])
+
+
+def _near_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, role, node, c0, c1) sorted by k -> candidate links (a, b)."""
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        k, role, node, c0, c1 = (rows.column(i).to_numpy() for i in range(5))
+        x, y = near_pairs(k, role, np.stack([c0, c1], 1).view(np.uint64))
+        pairs = np.unique(np.sort(np.stack([node[x], node[y]], 1), axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
+        if cut or held and held[0].column(0)[0].as_py() != int(k[0]):
+            yield linked(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield linked(pa.Table.from_batches(held))
+
+
+def candidates(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links with the components of all nodes that agree within a partition's threshold and differ in at most NEAR bits."""
+    sample = [r.print for r in nodes.select("node", "print").orderBy("node").limit(SAMPLE).collect()]
+    groups, thresholds = partitions(np.frombuffer(b"".join(sample), np.uint8).reshape(-1, BITS // 8), nodes.count())
+    flips = [(i, [sum(1 << b for b in flip) for k in range(t + 1) for flip in combinations(range(len(groups[i])), k)]) for i, t in enumerate(thresholds) if t >= 0]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_A_TIME):
+                part = batch.slice(at, DOCS_A_TIME)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                values = partition_values(prints, groups)
+                k = np.concatenate([values[:, i] ^ flip | i << 16 for i, masks in flips for flip in masks])
+                role = np.repeat(np.array([int(flip > 0) for _, masks in flips for flip in masks], np.int8), len(prints))
+                turn = np.tile(np.arange(len(prints)), len(k) // len(prints))
+                c = prints[:, :16].copy().view(np.int64)[turn]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role), pa.array(part.column(0).to_numpy()[turn]), pa.array(c[:, 0]), pa.array(c[:, 1])], ["k", "role", "node", "c0", "c1"])
+
+    rows = nodes.select("node", "print").mapInArrow(probe, "k int, role byte, node long, c0 long, c1 long")
+    return scratch.save(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_near_task, "a long, b long"), "near")
 
 
 def similar_links(sets: list[np.ndarray], known: np.ndarray) -> list[tuple[int, int]]:
@@ -125,12 +258,11 @@ def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_of(spark: SparkSession, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links with the components of all candidate pairs of similarity SIMILARITY; rows are prints, nodes (node, row, bands) one of each set."""
-    keyed = nodes.select("node", F.explode("bands").alias("k"))
-    buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("hub")).filter("n > 1")
-    buckets = scratch.save(buckets.groupBy("n", "h", "hub").agg(F.min("k").alias("k")).drop("h"), "buckets")
+    """(a, b): links with the components of all candidate pairs of similarity SIMILARITY; rows are prints, nodes (node, row, print) one of each set."""
+    keyed = connected_components(spark, candidates(spark, nodes, scratch), scratch, "near-cc").withColumnRenamed("root", "k")
+    buckets = scratch.save(keyed.groupBy("k").agg(F.count("*").alias("n")).withColumn("hub", F.col("k")), "buckets")
     members = scratch.save(keyed.join(buckets, "k").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))), "members")
-    wanted = scratch.save(nodes.select("node", "row").join(members.select("node").distinct(), "node", "left_semi").select("row"), "wanted")
+    wanted = scratch.save(nodes.select("node", "row").join(members.select("node"), "node", "left_semi").select("row"), "wanted")
     sets = scratch.save(rows.select("row", "node", "shingles").join(wanted, "row", "left_semi").drop("row"), "sets")
 
     def linked(cells: DataFrame, name: str) -> DataFrame:
@@ -158,7 +290,7 @@ def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near")
     rows = scratch.save(prints(spark, docs), "prints")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
-    nodes = scratch.save(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), least.alias("least")), "nodes")
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("print").alias("print"), least.alias("least")), "nodes")
     roots = connected_components(spark, links_of(spark, rows, nodes, scratch), scratch)
     named = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     kept = scratch.save(named.filter("least is not null").select("least.doc_id", "least.key"), "kept")

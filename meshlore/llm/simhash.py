@@ -73,6 +73,25 @@ def fingerprints(spark: SparkSession, docs: DataFrame, width: int = 3, checked_w
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, a long, b0 long, b1 long")
 
 
+def correlated_groups(both: np.ndarray, m: int) -> list[list[int]]:
+    """m groups of BITS bits, correlated ones together; both: the share of fingerprints in which two bits are set."""
+    p = np.diag(both)
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+    close = np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
+    np.fill_diagonal(close, 0)
+    left, groups = set(range(BITS)), []
+    for g in range(m):
+        size = (BITS - sum(map(len, groups))) // (m - g)
+        order = sorted(left)
+        group = [max(order, key=lambda b: (close[b, order].max(), -b))]
+        left.discard(group[0])
+        while len(group) < size:
+            group.append(max(sorted(left), key=lambda b: (close[b, group].mean(), -b)))
+            left.discard(group[-1])
+        groups.append(sorted(group))
+    return groups
+
+
 def correlated_partitions(nodes: DataFrame, m: int) -> tuple[list[list[int]], np.ndarray]:
     """m groups of bits, correlated ones together, and how often two fingerprints differ in each bit; from counts over all nodes."""
 
@@ -90,20 +109,7 @@ def correlated_partitions(nodes: DataFrame, m: int) -> tuple[list[list[int]], np
     n = max(1.0, got.get(BITS * BITS, 1.0))
     both = np.array([got.get(k, 0.0) for k in range(BITS * BITS)]).reshape(BITS, BITS) / n
     p = np.diag(both)
-    spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-    close = np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
-    np.fill_diagonal(close, 0)
-    left, groups = set(range(BITS)), []
-    for g in range(m):
-        size = (BITS - sum(map(len, groups))) // (m - g)
-        order = sorted(left)
-        group = [max(order, key=lambda b: (close[b, order].max(), -b))]
-        left.discard(group[0])
-        while len(group) < size:
-            group.append(max(sorted(left), key=lambda b: (close[b, group].mean(), -b)))
-            left.discard(group[-1])
-        groups.append(sorted(group))
-    return groups, 2 * p * (1 - p)
+    return correlated_groups(both, m), 2 * p * (1 - p)
 
 
 def allocate(costs: list[list[float]], total: int) -> list[int]:

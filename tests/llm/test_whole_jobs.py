@@ -66,6 +66,43 @@ def test_pairs_around_the_bound():
     assert seen == {True, False}
 
 
+def test_near_copies_meet_by_pigeonholes():
+    """Whatever the sample, fingerprints within TAU bits agree in a partition within its threshold."""
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 256, (1, near_copies.BITS // 8), np.uint8)
+    for sample in (one[:0], one, np.repeat(one, 50, 0), rng.integers(0, 256, (400, near_copies.BITS // 8), np.uint8) & rng.integers(0, 256, near_copies.BITS // 8, np.uint8)):
+        groups, thresholds = near_copies.partitions(sample, 1000)
+        assert sorted(b for g in groups for b in g) == list(range(near_copies.BITS))
+        assert sum(thresholds) == near_copies.TAU - near_copies.PARTS + 1 and min(thresholds) >= -1
+        for _ in range(50):
+            flip = np.zeros(near_copies.BITS, np.uint8)
+            flip[rng.permutation(near_copies.BITS)[: near_copies.TAU]] = 1
+            a, b = near_copies.partition_values(np.concatenate([one, one ^ np.packbits(flip)]), groups)
+            assert (np.bitwise_count(a ^ b) <= np.array(thresholds)).any()
+
+
+@pytest.mark.parametrize("large", [256, 3])
+def test_candidate_links_equal_all_pairs(monkeypatch, large):
+    """Components of the links of small and large buckets, against all pairs."""
+    monkeypatch.setattr(near_copies, "LARGE", large)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 64, (6, 2), np.uint64)
+    c = base[rng.integers(0, 6, 120)]
+    for i in range(120):
+        for b in rng.integers(0, 128, 18).tolist():
+            c[i, b >> 6] ^= np.uint64(1 << (b & 63))
+    k, role = np.sort(rng.integers(0, 9, 120)).astype(np.int32), rng.integers(0, 2, 120).astype(np.int8)
+
+    def classes(pairs):
+        comp = np.arange(120)
+        for i, j in pairs:
+            comp[comp == comp[j]] = comp[i]
+        return {frozenset(np.flatnonzero(comp == x).tolist()) for x in comp}
+
+    want = [(i, j) for i in range(120) for j in range(i) if k[i] == k[j] and not (role[i] and role[j]) and np.bitwise_count(c[i] ^ c[j]).sum() <= near_copies.NEAR]
+    assert 5 < len(want) and classes(zip(*(x.tolist() for x in near_copies.near_pairs(k, role, c)))) == classes(want)
+
+
 def later_runs(rows):
     """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
