@@ -206,21 +206,14 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     df = document_frequencies(tokens, kind, size)
     model = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, total / max(1, n))))
 
-    def key_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(KEYS, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                ids = np.frombuffer(x.as_buffer(), kind)
-                out[content_key(ids, *model.value)] += len(ids)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["key", "n"])
-
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [content_key(np.frombuffer(x.as_buffer(), kind), *model.value) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["doc_id", "ids", "key"])
+            found = [content_key(np.frombuffer(x.as_buffer(), kind), *model.value) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["doc_id", "n", "ids", "key"])
 
-    sizes = tokens.select("ids").mapInArrow(key_sizes, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most KEYS rows
+    keyed = scratch.save(tokens.mapInArrow(with_key, "doc_id long, n long, ids binary, key int"), "keyed")
+    scratch.drop("tokens")
+    sizes = keyed.groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most KEYS rows
     dealt, shards = dealt_keys({r.key: r.n for r in sizes}, shard_tokens)
     keys = spark.createDataFrame(dealt, "key int, first int, parts int")
     names = [x.split()[0] for x in PIECES.split(", ")]
@@ -259,7 +252,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
             yield from packed(now, owners, ids)
 
     shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")
-    placed = tokens.select("doc_id", "ids").mapInArrow(with_key, "doc_id long, ids binary, key int").join(F.broadcast(keys), "key").select(shard.alias("shard"), "doc_id", "ids")
+    placed = keyed.join(F.broadcast(keys), "key").select(shard.alias("shard"), "doc_id", "ids")
     return placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(task, PIECES)
 
 

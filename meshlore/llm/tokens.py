@@ -1,19 +1,24 @@
 """Byte-level BPE encoding by merge ranks: the same ids as the tokenizer gives.
 
 Where a vocabulary's ids are its merge ranks, texts are cut by the byte-level pattern and merged by rank, which is the same and faster; texts that hold
-one of its added tokens, and other vocabularies, go to the tokenizer.
+one of its added tokens, and other vocabularies, go to the tokenizer. The byte-level pattern looks ahead only to leave a run's last space to the word that
+follows; texts are cut there first, so that the pattern used, FLAT, does without, which is faster.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+FLAT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: What \s is in FLAT (Python's own has four signs more), and the places before the last of two or more that something follows.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CUT = re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,6 +47,14 @@ class Encoder:
             found.byteswap()
         return found.tobytes()
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        if text.isascii():
+            low = np.frombuffer(text.encode(), np.uint8) <= 32
+            if not (low[1:] & low[:-1]).any():
+                return [text]
+        return CUT.split(text)
+
     def _ranked(self, path: str):
         """The encoding by merge ranks; None where ids aren't ranks."""
         import tiktoken
@@ -51,12 +64,12 @@ class Encoder:
         if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
             return None
         ranks = {bytes(letter[c] for c in w): i for w, i in vocab.items() if w not in self.added}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("ranks", pat_str=FLAT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         if self.ranked is None or any(t in text for t in self.added):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self._packed(self.ranked(text))
+        return b"".join([self._packed(self.ranked(x)) for x in self._parts(text)])
 
 
 @lru_cache(maxsize=2)

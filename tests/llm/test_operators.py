@@ -166,6 +166,17 @@ def test_nearest_neighbours(spark, cell_values):
     assert ann.nearest(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_encoder_needs_no_look_ahead():
+    """The pattern has none; texts are cut before the last space of a run that something follows, others stay whole."""
+    from meshlore.llm import tokens
+
+    enc = encoder(default_path())
+    assert "(?" not in tokens.FLAT and enc.ranked.__self__._pat_str == tokens.FLAT
+    assert enc._parts("a  b \n c  ") == ["a ", " b \n", " c  "] and enc._parts("é\u3000\xa0x\x1c y") == ["é\u3000", "\xa0x\x1c y"] and enc._parts("a b\nc") == ["a b\nc"]
+    for t in ("a  b \n c  ", "é\u3000\xa0x\x1c y", "\n\n x"):
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_equals_tokenizer(texts):
     enc = encoder(default_path())
     odd = [" a", "a ", "a  b", "x\n\ny z", "x \ny", "it's 's", "a\xa0b c", "<|endoftext|> z", "é ²³ x½ ", "ab_cd !!! 12ab", "\n", " ", "a\n\n\n b", "\n a", "x, y. z,\nB", "\x1c a", "日本 語"]
