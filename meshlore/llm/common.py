@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only on one machine, where the session names no spark.checkpoint.dir, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/meshlore"
 
+#: Python workers are kept from task to task and from operator to operator; by these what one task freed goes back to the machine.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+
 WORD = re.compile(r"\w+")
 WORD_OR_SIGN = re.compile(r"\w+|[^\w\s]+")
 
@@ -23,8 +26,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where they share the driver's file system; elsewhere use --py-files."""
+    """Let Python workers import this package where they share the driver's file system (elsewhere use --py-files), and give memory back."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, os.environ.get(name, value))
     have = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
@@ -105,7 +110,7 @@ class Ftrl:
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z = self.z[at]
-        l1 = np.where(np.arange(self.size + 1)[at] == self.size, 0.0, self.l1)
+        l1 = np.where((np.arange(self.size + 1) if isinstance(at, slice) else at) == self.size, 0.0, self.l1)
         w = -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 

@@ -224,3 +224,27 @@ def test_blocks_find_all_within_the_radius_and_little_else():
     assert sorted(zip(w.tolist(), i.tolist())) == sorted(map(tuple, np.argwhere(apart <= decontaminate.RADIUS).tolist()))
     passed = (np.bitwise_count(own[:, None] ^ items[None]) <= decontaminate.IN_BLOCK).any(2).mean()
     assert passed < 0.01
+
+
+def test_workers_give_memory_back(spark):
+    from meshlore.llm.common import LEAN, ship
+
+    ship(spark)
+    assert LEAN and all(spark.sparkContext.environment.get(name) for name in LEAN)
+
+
+def test_weights_at_places_make_no_table():
+    """Same weights as the whole table's, without an array of the table's size."""
+    import tracemalloc
+
+    from meshlore.llm.common import Ftrl
+
+    model, rng = Ftrl(1 << 18), np.random.default_rng(2)
+    model.z[:], model.n[:] = rng.normal(0, 3, model.size + 1), rng.random(model.size + 1)
+    at = np.array([3, 70, model.size])
+    want = model.weights()[at]
+    tracemalloc.start()
+    got = model.weights(at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 100_000
