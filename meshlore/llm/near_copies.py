@@ -8,6 +8,8 @@ thresholds are chosen by the SAMPLE nodes of least hash; whatever they are, TAU
 
 Nodes that agree in a partition and differ in at most NEAR of the first 128 bits are candidates (of similarity 0.8: all but 1 in 20,000; of unrelated
 ones 4 in 10 million). Their connected components are the buckets, and sets in a bucket are linked only if the exact similarity is SIMILARITY or more.
+EARLY partitions are met first; in the others only links between the components known from these are told, so a group of many near copies doesn't
+come back from each partition.
 
 Equal sets are one node. A bucket is cut into cells of about BLOCK nodes, each with the
 bucket's least node too; where nodes of a cut bucket are still apart after that, those outside its largest component meet all others.
@@ -34,7 +36,7 @@ from .simhash import PROBE, allocate, correlated_groups, words_of
 
 WIDTH, SIMILARITY, BLOCK, DOCS_A_TIME = 5, 0.8, 1024, 500
 #: Words of 64 bits in a fingerprint, each cut into PARTS / WORDS partitions. MOST: the largest threshold of a partition.
-WORDS, PARTS, MOST, NEAR, SAMPLE, LARGE = 20, 80, 2, 36, 8192, 256
+WORDS, PARTS, MOST, NEAR, SAMPLE, LARGE, EARLY = 20, 80, 2, 36, 8192, 256, 8
 BITS, TAU = 64 * WORDS, PARTS - 1
 _RNG = np.random.default_rng(42)
 FLIP, TIMES = _RNG.integers(0, 1 << 64, WORDS, np.uint64), _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -123,15 +125,15 @@ def prints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(task, "row long, doc_id long, key long, node long, print binary, shingles binary")
 
 
-def near_forest(role: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
-    """Places of one bucket's rows, a spanning forest of the pairs that differ in at most NEAR bits, one of them at home."""
-    comp, links, todo = np.arange(len(c)), [], np.ones(len(c), bool)
+def near_forest(role: np.ndarray, c: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Places of one bucket's rows, a forest that joins the components comp (places) by pairs that differ in at most NEAR bits, one of them at home."""
+    comp, links, todo = comp.copy(), [], np.ones(len(c), bool)
     while True:  # a pair both of whose rows are still to do is in one component at the end
         left = np.bincount(comp[todo], minlength=1)
         if (left > 0).sum() < 2:
             return links
-        x = int(np.flatnonzero(todo & (comp != left.argmax()))[0]) if not todo.all() else 0
-        near = (np.bitwise_count(c ^ c[x]).sum(1, dtype=np.int64) <= NEAR) & (comp != comp[x])
+        x = int(np.flatnonzero(todo & (comp != left.argmax()))[0])
+        near = (comp != comp[x]) & (np.bitwise_count(c ^ c[x]).sum(1, dtype=np.int64) <= NEAR)
         if role[x]:
             near &= role == 0
         for y in np.unique(comp[near], return_index=True)[1]:
@@ -140,33 +142,49 @@ def near_forest(role: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
         todo[x] = False
 
 
-def near_pairs(k: np.ndarray, role: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows sorted by k that meet in small buckets and differ in at most NEAR bits, forests of those in large ones."""
+def merge(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of the places x and y; comp has each place's least one."""
+    while (apart := comp[x] != comp[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(comp, np.maximum(comp[x], comp[y]), np.minimum(comp[x], comp[y]))
+        while ((up := comp[comp]) != comp).any():
+            comp[:] = up
+
+
+def near_pairs(k: np.ndarray, role: np.ndarray, c: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows sorted by k: for each k, a forest of the components of rows that differ in at most NEAR bits; rows of one node are together."""
+    node = np.arange(len(k)) if node is None else node
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.append(first, len(k)))
     last = np.repeat(first + size, size)
-    at, d, x, y = np.flatnonzero(np.repeat((size > 1) & (size <= LARGE), size)), 1, [], []
+    order = np.lexsort((node, k))  # stable
+    new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (node[order][1:] != node[order][:-1])])
+    start = np.empty(len(k), np.int64)
+    start[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    mixed = np.add.reduceat(start == np.arange(len(k)), first, dtype=np.int64) > 1
+    comp, at, d = start.copy(), np.flatnonzero(np.repeat(mixed & (size <= LARGE), size)), 1
     while len(at := at[at + d < last[at]]):
-        ok = at[((role[at] == 0) | (role[at + d] == 0)) & (np.bitwise_count(c[at] ^ c[at + d]).sum(1, dtype=np.int64) <= NEAR)]
-        x.append(ok)
-        y.append(ok + d)
+        ok = at[(comp[at] != comp[at + d]) & ((role[at] == 0) | (role[at + d] == 0))]
+        ok = ok[np.bitwise_count(c[ok] ^ c[ok + d]).sum(1, dtype=np.int64) <= NEAR]
+        merge(comp, ok, ok + d)
         d += 1
-    for a, n in zip(first[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
-        found = a + np.array(near_forest(role[a : a + n], c[a : a + n]), np.int64).reshape(-1, 2)
+    x = [np.flatnonzero((start == np.arange(len(k))) & (comp != start))]
+    y = [comp[x[0]]]
+    large = np.flatnonzero(mixed & (size > LARGE))
+    for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+        found = a + np.array(near_forest(role[a : a + n], c[a : a + n], start[a : a + n] - a), np.int64).reshape(-1, 2)
         x.append(found[:, 0])
         y.append(found[:, 1])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *x]), np.concatenate([none, *y])
+    return np.concatenate(x), np.concatenate(y)
 
 
 def _near_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, role, node, c0, c1) sorted by k -> candidate links (a, b)."""
+    """Rows (k, role, node, c0, c1) sorted by k -> links (a, b) of nodes, fewer than rows; rows of one node are together already."""
 
     def linked(rows: pa.Table) -> pa.RecordBatch:
         k, role, node, c0, c1 = (rows.column(i).to_numpy() for i in range(5))
-        x, y = near_pairs(k, role, np.stack([c0, c1], 1).view(np.uint64))
+        x, y = near_pairs(k, role, np.stack([c0, c1], 1).view(np.uint64), node)
         pairs = np.unique(np.sort(np.stack([node[x], node[y]], 1), axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
@@ -184,25 +202,34 @@ def _near_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links with the components of all nodes that agree within a partition's threshold and differ in at most NEAR bits."""
+    """(a, b): links with the components of all nodes that agree within a partition's threshold and differ in at most NEAR bits; at most one a node from
+    the early partitions, and in each other one fewer than the bucket has components of these."""
     sample = [r.print for r in nodes.select("node", "print").orderBy("node").limit(SAMPLE).collect()]
     groups, thresholds = partitions(np.frombuffer(b"".join(sample), np.uint8).reshape(-1, BITS // 8), nodes.count())
     flips = [(i, [sum(1 << b for b in flip) for k in range(t + 1) for flip in combinations(range(len(groups[i])), k)]) for i, t in enumerate(thresholds) if t >= 0]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_A_TIME):
-                part = batch.slice(at, DOCS_A_TIME)
-                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                values = partition_values(prints, groups)
-                k = np.concatenate([values[:, i] ^ flip | i << 16 for i, masks in flips for flip in masks])
-                role = np.repeat(np.array([int(flip > 0) for _, masks in flips for flip in masks], np.int8), len(prints))
-                turn = np.tile(np.arange(len(prints)), len(k) // len(prints))
-                c = prints[:, :16].copy().view(np.int64)[turn]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role), pa.array(part.column(0).to_numpy()[turn]), pa.array(c[:, 0]), pa.array(c[:, 1])], ["k", "role", "node", "c0", "c1"])
-
-    rows = nodes.select("node", "print").mapInArrow(probe, "k int, role byte, node long, c0 long, c1 long")
-    return scratch.save(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_near_task, "a long, b long"), "near")
+    def met(nodes: DataFrame, flips: list[tuple[int, list[int]]], name: str) -> DataFrame:
+        """Links between the values of column node, by some of the partitions."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, DOCS_A_TIME):
+                    part = batch.slice(at, DOCS_A_TIME)
+                    prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                    values = partition_values(prints, groups)
+                    k = np.concatenate([values[:, i] ^ flip | i << 16 for i, masks in flips for flip in masks])
+                    role = np.repeat(np.array([int(flip > 0) for _, masks in flips for flip in masks], np.int8), len(prints))
+                    turn = np.tile(np.arange(len(prints)), len(k) // len(prints))
+                    c = prints[:, :16].copy().view(np.int64)[turn]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(role), pa.array(part.column(0).to_numpy()[turn]), pa.array(c[:, 0]), pa.array(c[:, 1])], ["k", "role", "node", "c0", "c1"])
+
+        rows = nodes.select("node", "print").mapInArrow(probe, "k int, role byte, node long, c0 long, c1 long")
+        return scratch.save(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_near_task, "a long, b long"), name)
+
+    flips.sort(key=lambda x: len(x[1]))
+    known = connected_components(spark, met(nodes, flips[:EARLY], "near-early"), scratch, "early-cc")
+    rooted = nodes.select("node", "print").join(known, "node", "left").select(F.coalesce("root", "node").alias("node"), "print")
+    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(met(rooted, flips[EARLY:], "near"))
 
 
 def similar_links(sets: list[np.ndarray], known: np.ndarray) -> list[tuple[int, int]]:

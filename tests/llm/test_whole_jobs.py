@@ -103,6 +103,51 @@ def test_candidate_links_equal_all_pairs(monkeypatch, large):
     assert 5 < len(want) and classes(zip(*(x.tolist() for x in near_copies.near_pairs(k, role, c)))) == classes(want)
 
 
+@pytest.mark.parametrize("large", [256, 3])
+def test_links_of_a_bucket_are_fewer_than_its_rows(monkeypatch, large):
+    """A group of 200 equal prints, and rows of which some are known to be together: a forest, with the components of all pairs."""
+    monkeypatch.setattr(near_copies, "LARGE", large)
+    rng = np.random.default_rng(9)
+    x, y = near_copies.near_pairs(np.zeros(200, np.int32), np.zeros(200, np.int8), np.ones((200, 2), np.uint64))
+    assert len(x) == len(y) == 199
+    c = rng.integers(0, 1 << 64, (5, 2), np.uint64)[rng.integers(0, 5, 150)]
+    for i in range(150):
+        for b in rng.integers(0, 128, 18).tolist():
+            c[i, b >> 6] ^= np.uint64(1 << (b & 63))
+    k, role, node = np.sort(rng.integers(0, 6, 150)).astype(np.int32), rng.integers(0, 2, 150).astype(np.int8), rng.integers(0, 60, 150)
+    x, y = near_copies.near_pairs(k, role, c, node)
+    for one in range(6):
+        rows = np.flatnonzero(k == one)
+        got, want = ({n: n for n in node[rows].tolist()} for _ in range(2))
+        near = [(i, j) for i in rows for j in rows if not (role[i] and role[j]) and np.bitwise_count(c[i] ^ c[j]).sum() <= near_copies.NEAR]
+        for comp, pairs in ((want, near), (got, [(i, j) for i, j in zip(x, y) if k[i] == one])):
+            for i, j in pairs:
+                old, new = comp[node[i]], comp[node[j]]
+                comp.update({n: new for n, r in comp.items() if r == old})
+        assert len({(got[n], want[n]) for n in got}) == len(set(got.values())) == len(set(want.values()))
+        assert (k[x] == one).sum() == len(got) - len(set(got.values()))
+
+
+def test_a_group_of_near_copies_makes_few_links(spark):
+    """400 texts that differ in a word or two, 40 others: one component, told about once and not again by each partition."""
+    from meshlore.llm.common import Scratch
+
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    texts = [" ".join([*base[: (at := rng.randrange(120))], f"own{i}", *base[at + 1 :]]) for i in range(400)] + [" ".join(prose(rng, 120)) for _ in range(40)]
+    scratch = Scratch(spark, "test")
+    nodes = scratch.save(near_copies.prints(spark, spark.createDataFrame(list(enumerate(texts)), NAMED).repartition(3)), "prints")
+    links = [(r.a, r.b) for r in near_copies.candidates(spark, nodes, scratch).collect()]
+    comp = {r.node: r.node for r in nodes.select("node").collect()}
+    for a, b in links:
+        old, new = comp[a], comp[b]
+        comp.update({n: new for n, r in comp.items() if r == old})
+    made = spark.read.parquet(f"{scratch.root}/near-early").count(), spark.read.parquet(f"{scratch.root}/near").count()
+    scratch.drop()
+    assert Counter(Counter(comp.values()).values()) == {400: 1, 1: 40}
+    assert made[0] <= near_copies.EARLY * 399 and made[1] < 400 and len(links) < 3 * 400
+
+
 def later_runs(rows):
     """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
