@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordIds, ship
-from .components import connected_components
+from .components import connected_components, merge
 from .decontaminate import shingle_hashes
 from .simhash import PROBE, allocate, correlated_groups, words_of
 
 WIDTH, SIMILARITY, BLOCK, DOCS_A_TIME = 5, 0.8, 1024, 500
+#: So many links are joined in one task; the rounds for more take dozens of broadcasts, which fill the executors' memory.
+FEW = 100_000
 #: Words of 64 bits in a fingerprint, each cut into PARTS / WORDS partitions. MOST: the largest threshold of a partition.
 WORDS, PARTS, MOST, NEAR, SAMPLE, LARGE, EARLY = 20, 80, 2, 36, 8192, 256, 8
 BITS, TAU = 64 * WORDS, PARTS - 1
@@ -142,15 +144,6 @@ def near_forest(role: np.ndarray, c: np.ndarray, comp: np.ndarray) -> list[tuple
         todo[x] = False
 
 
-def merge(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Join the components of the places x and y; comp has each place's least one."""
-    while (apart := comp[x] != comp[y]).any():
-        x, y = x[apart], y[apart]
-        np.minimum.at(comp, np.maximum(comp[x], comp[y]), np.minimum(comp[x], comp[y]))
-        while ((up := comp[comp]) != comp).any():
-            comp[:] = up
-
-
 def near_pairs(k: np.ndarray, role: np.ndarray, c: np.ndarray, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of rows sorted by k: for each k, a forest of the components of rows that differ in at most NEAR bits; rows of one node are together."""
     node = np.arange(len(k)) if node is None else node
@@ -227,7 +220,7 @@ def candidates(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataF
         return scratch.save(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_near_task, "a long, b long"), name)
 
     flips.sort(key=lambda x: len(x[1]))
-    known = connected_components(spark, met(nodes, flips[:EARLY], "near-early"), scratch, "early-cc")
+    known = connected_components(spark, met(nodes, flips[:EARLY], "near-early"), scratch, "early-cc", few=FEW)
     rooted = nodes.select("node", "print").join(known, "node", "left").select(F.coalesce("root", "node").alias("node"), "print")
     return known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(met(rooted, flips[EARLY:], "near"))
 
@@ -286,7 +279,7 @@ def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links_of(spark: SparkSession, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links with the components of all candidate pairs of similarity SIMILARITY; rows are prints, nodes (node, row, print) one of each set."""
-    keyed = connected_components(spark, candidates(spark, nodes, scratch), scratch, "near-cc").withColumnRenamed("root", "k")
+    keyed = connected_components(spark, candidates(spark, nodes, scratch), scratch, "near-cc", few=FEW).withColumnRenamed("root", "k")
     buckets = scratch.save(keyed.groupBy("k").agg(F.count("*").alias("n")).withColumn("hub", F.col("k")), "buckets")
     members = scratch.save(keyed.join(buckets, "k").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))), "members")
     wanted = scratch.save(nodes.select("node", "row").join(members.select("node"), "node", "left_semi").select("row"), "wanted")
@@ -301,7 +294,7 @@ def links_of(spark: SparkSession, rows: DataFrame, nodes: DataFrame, scratch: Sc
     links = linked(cells.withColumn("known", F.col("node")), "links")
     if buckets.filter(F.col("n") > BLOCK).isEmpty():
         return links
-    roots = connected_components(spark, links, scratch, "first")
+    roots = connected_components(spark, links, scratch, "first", few=FEW)
     cut = scratch.save(members.filter("blocks > 1").join(roots, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"), "cut")
     most = cut.groupBy("k", "known").count().groupBy("k").agg(F.max_by("known", F.struct("count", "known")).alias("main"), (F.sum("count") - F.max("count")).alias("out"))
     cut = cut.join(scratch.save(most.filter("out > 0"), "most"), "k").withColumn("parts", F.ceil(F.col("out") / BLOCK).cast("long"))
@@ -318,7 +311,7 @@ def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = scratch.save(prints(spark, docs), "prints")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
     nodes = scratch.save(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("print").alias("print"), least.alias("least")), "nodes")
-    roots = connected_components(spark, links_of(spark, rows, nodes, scratch), scratch)
+    roots = connected_components(spark, links_of(spark, rows, nodes, scratch), scratch, few=FEW)
     named = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     kept = scratch.save(named.filter("least is not null").select("least.doc_id", "least.key"), "kept")
     for name in ("prints", "sets"):

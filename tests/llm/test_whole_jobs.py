@@ -148,6 +148,19 @@ def test_a_group_of_near_copies_makes_few_links(spark):
     assert made[0] <= near_copies.EARLY * 399 and made[1] < 400 and len(links) < 3 * 400
 
 
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(5, 3), (3, 5), (3, 9), (None, 3), (12, 11), (4, 4), (-7, 12)] + [(i, i + 1) for i in range(100, 140)]])
+def test_components_in_one_task_and_in_rounds(spark, edges):
+    from meshlore.llm.common import Scratch
+    from meshlore.llm.components import connected_components
+
+    scratch, table = Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")
+    one = connected_components(spark, table, scratch, "one", few=1000)
+    assert one.inputFiles() and all("one-few" in x for x in one.inputFiles())
+    got, want = (sorted(map(tuple, x.collect())) for x in (one, connected_components(spark, table, scratch, "all", few=len(set(edges)) // 2)))
+    scratch.drop()
+    assert got == want and (len(edges) < 2 or got[0] == (-7, -7) and (140, 100) in got)
+
+
 def later_runs(rows):
     """Runs that the two tasks of line dedup find in one batch of (doc_id, key, text)."""
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["did", "rk", "text"])
