@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,50 +34,63 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """(terms, BM25 weights) of a document or piece."""
-    terms, tf = np.unique(ids, return_counts=True)
+    ids = np.sort(ids, kind="stable")  # numbers of 16 bits by radix
+    new = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    at = np.flatnonzero(new)
+    terms, tf = ids[at[:-1]], at[1:] - at[:-1]
     return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32)
 
 
+@lru_cache(maxsize=2)
+def term_hashes(size: int) -> np.ndarray:
+    h = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
 def content_key(ids: np.ndarray, idf: np.ndarray, mean: float) -> int:
     """The least-hashed of the KEY_TERMS heaviest terms (ties: the smaller), as a number under KEYS."""
     terms, w = weights(ids, idf, mean)
     if len(w) > KEY_TERMS:
         terms = terms[w >= np.partition(w, len(w) - KEY_TERMS)[len(w) - KEY_TERMS]][:KEY_TERMS]
-    h = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = int((h ^ (h >> np.uint64(31))).min())
-    return least * 0xD6E8FEB86659FD93 % (1 << 64) >> 48
+    return int(term_hashes(len(idf))[terms].min()) * 0xD6E8FEB86659FD93 % (1 << 64) >> 48
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the text's ids and the end id, as little-endian numbers of the vocabulary's width."""
+    """(doc_id, n, ids, term): the text's ids and the end id, as little-endian numbers of the vocabulary's width, term null.
+
+    Besides, of every task's terms, (null, documents with it, null, term): what a second pass would count.
+    """
     ship(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
+        end, df = np.array([end_id], enc.kind).tobytes(), np.zeros(enc.size, np.int64)
+        names = ["doc_id", "n", "ids", "term"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [enc.encode(x.as_py() or "") + end for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, ids binary")
+                for x in ids:
+                    df[np.frombuffer(x, enc.kind)] += 1  # once for each term, however often it comes
+                n = [len(x) // enc.kind.itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.int32())], names)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(df[at]), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32())], names)
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, ids binary, term int")
 
-def document_frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                df[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["t", "n"])
 
-    out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(task, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
-        out[r.t] = r.n
-    return out
+def frequencies(tokens: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
+    """Of encoded(): documents, their ids, and the documents with each term."""
+    n, total, df = 0, 0, np.zeros(size, np.int64)
+    for r in tokens.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect():  # at most `size` rows and one
+        if r.term is None:
+            n, total = r.rows, r.n
+        else:
+            df[r.term] = r.n
+    return n, total, df
 
 
 def dealt_keys(sizes: dict[int, int], shard_tokens: int) -> tuple[list[tuple[int, int, int]], int]:
@@ -201,9 +215,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     scratch = Scratch(spark, "packing")
     tokens = scratch.save(encoded(spark, docs, path, end_id), "tokens")
     kind, size = encoder(path).kind, encoder(path).size
-    n, total = tokens.agg(F.count("*"), F.sum("n")).first()
-    n, total = n or 0, total or 0
-    df = document_frequencies(tokens, kind, size)
+    n, total, df = frequencies(tokens, size)
     model = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, total / max(1, n))))
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +223,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
             found = [content_key(np.frombuffer(x.as_buffer(), kind), *model.value) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["doc_id", "n", "ids", "key"])
 
-    keyed = scratch.save(tokens.mapInArrow(with_key, "doc_id long, n long, ids binary, key int"), "keyed")
+    keyed = scratch.save(tokens.filter("term is null").drop("term").mapInArrow(with_key, "doc_id long, n long, ids binary, key int"), "keyed")
     scratch.drop("tokens")
     sizes = keyed.groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most KEYS rows
     dealt, shards = dealt_keys({r.key: r.n for r in sizes}, shard_tokens)

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +17,8 @@ FLAT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: What \s is in FLAT (Python's own has four signs more), and the places before the last of two or more that something follows.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
+#: Bytes of UTF-8: 1 for ASCII spaces, 2 for those that the other spaces (and more) begin with.
+KINDS = bytes(2 if chr(b) in "\xc2\xe1\xe2\xe3" else chr(b) in "\t\n\x0b\x0c\r " for b in range(256))
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,22 +38,12 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.ranked = self._ranked(path)
 
-    def _packed(self, ids: list[int]) -> bytes:
-        found = array(self.code, ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
     @staticmethod
     def _parts(text: str) -> list[str]:
-        if text.isascii():
-            low = np.frombuffer(text.encode(), np.uint8) <= 32
-            if not (low[1:] & low[:-1]).any():
-                return [text]
-        return CUT.split(text)
+        kinds = text.encode().translate(KINDS)
+        return CUT.split(text) if b"\1\1" in kinds or b"\2" in kinds else [text]
 
     def _ranked(self, path: str):
         """The encoding by merge ranks; None where ids aren't ranks."""
@@ -64,12 +54,13 @@ class Encoder:
         if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
             return None
         ranks = {bytes(letter[c] for c in w): i for w, i in vocab.items() if w not in self.added}
-        return tiktoken.Encoding("ranks", pat_str=FLAT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        special = {w: self.size + i for i, w in enumerate(self.added or ["<|none|>"])}  # encoded as other text is; with none at all, encode_to_numpy would stop at every place
+        return tiktoken.Encoding("ranks", pat_str=FLAT, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
     def encode(self, text: str) -> bytes:
         if self.ranked is None or any(t in text for t in self.added):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join([self._packed(self.ranked(x)) for x in self._parts(text)])
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join([self.ranked(x, disallowed_special=()).astype(self.kind).tobytes() for x in self._parts(text)])
 
 
 @lru_cache(maxsize=2)

@@ -214,6 +214,26 @@ def test_packing_is_whole(spark, docs, texts, empty):
     assert sorted(map(repr, rows)) == sorted(repr(r.asDict()) for r in again.collect())
 
 
+def test_terms_are_counted_while_encoding(spark, docs, texts, empty):
+    """One pass gives the ids and the documents of each term; spaces are found in bytes; no lists of ids are made."""
+    enc = encoder(default_path())
+    assert enc.ranked.__name__ == "encode_to_numpy"
+    found = packing.encoded(spark, docs.repartition(3), default_path(), 1).cache()
+    whole = [enc.encode(t or "") + np.array([1], enc.kind).tobytes() for t in texts]
+    assert sorted(bytes(r.ids) for r in found.filter("term is null").collect()) == sorted(whole)
+    want = np.bincount(np.concatenate([np.unique(np.frombuffer(x, enc.kind)) for x in whole]), minlength=enc.size)
+    n, total, df = packing.frequencies(found, enc.size)
+    assert (n, total) == (len(texts), sum(map(len, whole)) // enc.kind.itemsize) and (df == want).all()
+    n, total, df = packing.frequencies(packing.encoded(spark, empty, default_path(), 1), enc.size)
+    assert (n, total, df.sum()) == (0, 0, 0)
+    for kind in (np.uint16, np.uint32):
+        for size in (0, 1, 500):
+            ids = np.random.default_rng(size).integers(0, 200, size).astype(kind)
+            terms, tf = np.unique(ids, return_counts=True)
+            got, w = packing.weights(ids, np.ones(200), 100.0)
+            assert got.tolist() == terms.tolist() and w.tolist() == (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 100))).astype(np.float32).tolist()
+
+
 def test_neighbours_and_keys(spark):
     """The index against a plain BM25 over all pieces, also after used ones left it; near copies share their key, hot keys are split."""
     rng = np.random.default_rng(1)
